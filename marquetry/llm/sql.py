@@ -33,6 +33,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND {_RULES} AS kept FROM f
 """
 
+OP2 = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM it WHERE len(w) > 0),
+pat AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS k, least(10, len(w)) AS n FROM starts),
+sizes AS (SELECT DISTINCT n FROM pat),
+win AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM low, sizes WHERE len(w) >= n),
+hits AS (SELECT win.doc_id, win.i, win.n, pat.item_id FROM win JOIN pat ON pat.n = win.n AND pat.k = array_to_string(win.w[win.i:win.i + win.n - 1], ' ')),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+np AS (SELECT doc_id, count(*)::BIGINT AS n_hit FROM pos GROUP BY doc_id),
+ni AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hits GROUP BY doc_id)
+SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN np ON np.doc_id = low.doc_id LEFT JOIN ni ON ni.doc_id = low.doc_id
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS bits FROM documents),
@@ -68,4 +84,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op7_mixing": OP7, "op9_line_dedup": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op7_mixing": OP7, "op9_line_dedup": OP9}

@@ -75,3 +75,28 @@ def quality(rows):
         lines = [x for x in (text or "").split("\n") if x.encode().split()]
         out[doc] = (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit))
     return out
+
+
+def contamination(docs, items, window=10):
+    import re
+
+    low = {i: i + 32 for i in range(65, 91)}
+    toks = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    wins = defaultdict(set)
+    for item, t in items:
+        w = toks(t)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            wins[tuple(w[i : i + window])].add(str(item))
+    sizes = {len(k) for k in wins}
+    out = {}
+    for doc, t in docs:
+        w = toks(t)
+        hit, found = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                k = tuple(w[i : i + n])
+                if k in wins:
+                    hit |= set(range(i, i + n))
+                    found |= wins[k]
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
+    return out
