@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +62,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def carried(names: Sequence[str]) -> Column:
+    """Columns that an operator hands on untouched, as one struct ``row``, so that no name clashes with its own."""
+    return F.struct(*[F.col(n) for n in names] or [F.lit(None).cast("boolean").alias("none")]).alias("row")
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id as text; null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

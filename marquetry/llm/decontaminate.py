@@ -14,7 +14,7 @@ other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytespans import Rolling, merged
-from .common import small_batches
+from .common import carried, small_batches
 from .linededup import as_bytes
 
 WINDOW = 10
@@ -282,19 +282,19 @@ def _pass(p: Patterns | None, keep_text: bool, window: int):
                     items.append(sorted({*f[1], *oi}))
                     spans.append([{"first": a, "last": z, "start": int(f[4][a]), "end": int(f[5][z - 1])} for a, z in zip(first.tolist(), last.tolist(), strict=True)] if len(first) else os)
                 text = b.column(1).slice(at, upto - at) if keep_text else pa.nulls(upto - at, pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, upto - at), text, pa.array(items, pa.list_(pa.string())), pa.array(spans, _ARROW), pa.array([f[0] for f in found], pa.int64())], ["doc_id", "text", "items", "spans", "n_words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, upto - at), text, pa.array(items, pa.list_(pa.string())), pa.array(spans, _ARROW), pa.array([f[0] for f in found], pa.int64()), b.column(5).slice(at, upto - at)], ["doc_id", "text", "items", "spans", "n_words", "row"])
                 at = upto
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, keep_text: bool = False) -> DataFrame:
-    """``doc_id, text, items, spans, n_words`` of each row; text is null unless ``keep_text``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text, items, spans, n_words`` of each row; text is null unless ``keep_text``; ``row`` has the columns to carry."""
     small_batches(docs.sparkSession)
     rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
     empty = F.array().cast("array<string>"), F.array().cast(_SPANS), F.lit(0).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for c, k in zip(empty, ("items", "spans", "n_words"), strict=True)))
-    schema = f"doc_id long, text string, items array<string>, spans {_SPANS}, n_words long"
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for c, k in zip(empty, ("items", "spans", "n_words"), strict=True)), carried(carry))
+    schema = f"doc_id long, text string, items array<string>, spans {_SPANS}, n_words long, row {out.schema['row'].dataType.simpleString()}"
     waiting: Patterns | None = None
     for p in pattern_blocks(rows, window, block):
         if waiting is not None:
@@ -312,14 +312,15 @@ def cut_spans(text: bytes, spans: list[dict]) -> bytes:
     return b"\n".join((*kept, text[at:])) if spans else text
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, text`` with all benchmark passages cut out, and ``n_hit``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text`` with all benchmark passages cut out, ``n_hit``, and ``row`` with the columns to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [x or [] for x in b.column(3).to_pylist()]
             texts = [cut_spans(t, s) for t, s in zip(as_bytes(b.column(1)), spans, strict=True)]
             hit = [sum(x["last"] - x["first"] for x in s) for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hit, pa.int64())], ["doc_id", "text", "n_hit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hit, pa.int64()), b.column(5)], ["doc_id", "text", "n_hit", "row"])
 
-    return contamination(docs, benchmark, window, keep_text=True).mapInArrow(run, "doc_id long, text string, n_hit long")
+    found = contamination(docs, benchmark, window, keep_text=True, carry=carry)
+    return found.mapInArrow(run, f"doc_id long, text string, n_hit long, row {found.schema['row'].dataType.simpleString()}")

@@ -15,7 +15,7 @@ rows are judged one by one; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of, small_batches
+from .common import carried, crc_of, small_batches
 
 UNKNOWN = "und"
 ROWS = 200
@@ -176,12 +176,15 @@ def sample_texts(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
     return {k: [t for _, t in sorted(v)] for k, v in found.items()}
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, lang_pred, score, bits`` (a symbol, in the best language) of each row; reads the text only."""
+def predict(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, lang_pred, score, bits`` (a character, in the best language) of each row; reads the text only.
+
+    ``row`` is a struct of the columns to carry.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = ["doc_id", "lang_pred", "score", "bits"]
+    names = ["doc_id", "lang_pred", "score", "bits", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = shared.value
@@ -202,10 +205,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     score[at + i] = float((two[i, 1] - two[i, 0]) / two[i, 1]) if two.shape[1] > 1 else 1.0
                     bits[at + i] = float(two[i, 0] / max(1, len(texts[at + i])))
                 at = upto
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), b.column(2)], names)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return out.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
+    return out.mapInArrow(run, f"doc_id long, lang_pred string, score double, bits double, row {out.schema['row'].dataType.simpleString()}")
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

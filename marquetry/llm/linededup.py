@@ -11,14 +11,14 @@ never keeps one; an empty table gives an empty result; other columns are left ou
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import carried, small_batches
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -51,11 +51,11 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, "h binary, doc_id long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, text`` (the kept lines), ``n_lines, n_dropped`` of each row."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text`` (the kept lines), ``n_lines, n_dropped`` of each row, and ``row``, a struct of the columns to carry."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = line_hashes(docs, min_chars)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
+    lines = line_hashes(docs.select("doc_id", "text"), min_chars)
     common = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     lost = lines.join(common, "h").where(F.col("doc_id") != F.col("keeper"))
     drops = lost.groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
@@ -70,9 +70,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 texts.append(b"\n".join(kept))
                 counts.append(len(lines))
                 gone.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), b.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "row"])
 
-    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(reassemble, "doc_id long, text string, n_lines long, n_dropped long")
+    out = f"doc_id long, text string, n_lines long, n_dropped long, row {docs.schema['row'].dataType.simpleString()}"
+    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "row").mapInArrow(reassemble, out)
 
 
 def digest(text: bytes) -> str:

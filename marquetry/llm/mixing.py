@@ -72,11 +72,28 @@ def thresholds(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "passes", (F.col("prefix") + nearer).alias("threshold"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of each row."""
+def budgets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Narrow rows ``doc_id, source, size, bits``, and a row for each source with its target and threshold, both staged."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), mix_hash(F.col(id_col)).alias("bits")), "mix-sizes")
-    cut = staged(thresholds(sizes, targets(sizes)), "mix-thresholds")
-    copies = F.col("passes") + F.when(F.col("bits") < F.col("threshold"), 1).otherwise(0)
+    return sizes, staged(thresholds(sizes, targets(sizes)), "mix-thresholds")
+
+
+def copies() -> Column:
+    """How often a row is taken, by its ``bits`` and its source's threshold."""
+    return (F.col("passes") + F.when(F.col("bits") < F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of each row."""
+    sizes, cut = budgets(docs, id_col, text_col, source_col)
     out = sizes.alias("d").join(cut.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    return out.select("doc_id", "d.source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("doc_id", "d.source", "size", "source_size", "target", copies().alias("copies"), (F.col("size") * copies()).cast("long").alias("taken"))
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``; texts meet the sources' thresholds and aren't shuffled by id."""
+    _, cut = budgets(docs)
+    cut = cut.select(F.col("source").alias("of"), "passes", "threshold")
+    out = docs.withColumn("bits", mix_hash(F.col("doc_id"))).join(cut, F.col("source").eqNullSafe(F.col("of")))
+    return out.select(*docs.columns, copies().alias("copies")).where(F.col("copies") > 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, ctw, decontaminate, langid, linededup, mixing, pii, quality, simhash
+from . import bytespans, ctw, decontaminate, langid, linededup, mixing, pii, quality, simhash, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
