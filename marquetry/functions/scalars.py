@@ -80,7 +80,8 @@ def positive(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    """Within the bounds; null stays null, which least and greatest would pass over."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def rating(c: Column, scale: float) -> Column:

@@ -99,10 +99,10 @@ def candidates(ids: DataFrame, rules: DataFrame, media: str = "media_id", order:
 
 
 def document(media: DataFrame, episodes: DataFrame, key: str = "media_id") -> DataFrame:
-    """Each media row with its episodes as a list in order; without any the list is empty."""
+    """Each media row with its episodes as ``episode_list`` in order, empty without any; ``episodes`` stays their number."""
     rest = [c for c in episodes.columns if c != key]
     order = F.struct(*[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in NUMBERS])
     packed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(*rest).alias("e"))))
-    listed = episodes.groupBy(key).agg(F.transform(packed, lambda x: x["e"]).alias("episodes"))
-    kind = listed.schema["episodes"].dataType
-    return media.join(listed, key, "left").withColumn("episodes", F.coalesce("episodes", F.array().cast(kind)))
+    listed = episodes.groupBy(key).agg(F.transform(packed, lambda x: x["e"]).alias("episode_list"))
+    kind = listed.schema["episode_list"].dataType
+    return media.join(listed, key, "left").withColumn("episode_list", F.coalesce("episode_list", F.array().cast(kind)))

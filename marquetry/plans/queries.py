@@ -189,7 +189,7 @@ def document_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("turn").cast("int")
     many = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), F.lit(1).alias("season_number"), n.alias("episode_number"), F.lit(None).cast("int").alias("absolute_number"), "role")
     out = episodes.document(one, many)
-    return out.select("media_id", F.size("episodes").alias("n_episodes"), F.array_join(F.transform("episodes", lambda e: F.concat(e["episode_number"].cast("string"), F.lit(":"), e["role"])), ",").alias("episodes"))
+    return out.select("media_id", F.size("episode_list").alias("n_episodes"), F.array_join(F.transform("episode_list", lambda e: F.concat(e["episode_number"].cast("string"), F.lit(":"), e["role"])), ",").alias("episodes"))
 
 
 @query

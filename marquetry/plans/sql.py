@@ -150,7 +150,7 @@ r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y) SELEC
 SQL["ambiguous_external_id"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT source, source_id, count(DISTINCT media_id) AS n_media FROM stored GROUP BY source, source_id HAVING count(DISTINCT media_id) > 1"
 SQL["second_source_ids"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT media_id, source, count(DISTINCT source_id) AS n_ids FROM stored GROUP BY media_id, source HAVING count(DISTINCT source_id) > 1"
 SQL["unique_lookup"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT DISTINCT media_id FROM stored WHERE source = 'anilist' AND source_id = 'a6'"
-SQL["left_join_ratings"] = "SELECT doc_id, least(greatest((quality * 7 + n_chars % 5)::DOUBLE / 10, 0), 1) AS provider_rating FROM documents LEFT JOIN labels USING (doc_id)"
+SQL["left_join_ratings"] = "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN least(greatest((quality * 7 + n_chars % 5)::DOUBLE / 10, 0), 1) END AS provider_rating FROM documents LEFT JOIN labels USING (doc_id)"
 SQL["semi_join_parents"] = "SELECT l_orderkey AS o_orderkey, l_linenumber, l_quantity FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')"
 SQL["hash_join_episode"] = "SELECT l_orderkey, l_linenumber, p_partkey, p_name, CASE WHEN p_size - 25 > 0 THEN p_size - 25 END AS size_over FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45"
 SQL["json_key_join"] = "SELECT event_id, s_suppkey, s_name FROM events JOIN supplier ON s_suppkey = TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"

@@ -51,7 +51,13 @@ SHOW_EPISODE = "id long, url string, name string, season int, number int, airdat
 LISTS = {"anime": "anime", "show": "anime", "manga": "manga", "movie": "manga"}
 
 
-def _parsed(rows: DataFrame, schema: str, *more: str) -> DataFrame:
+def _kept(rows: DataFrame) -> list[str]:
+    """The arrival number goes through a projection if rows have one."""
+    return [c for c in ("seq",) if c in rows.columns]
+
+
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    more = _kept(rows)
     return rows.select(*more, "raw_json", F.from_json("raw_json", schema).alias("j")).where("j IS NOT NULL").select(*more, "raw_json", "j.*")
 
 
@@ -83,7 +89,7 @@ def _canonical(rows: DataFrame, schema, **values: Column | str) -> DataFrame:
         if c is None:
             c = F.array() if f.dataType.typeName() == "array" else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return rows.select(*cols)
+    return rows.select(*_kept(rows), *cols)
 
 
 def graph_media(rows: DataFrame, kind: str) -> DataFrame:
@@ -198,8 +204,8 @@ def _best_image(name: str) -> Column:
 
 def api_media(rows: DataFrame, kind: str) -> DataFrame:
     """Resources with ``included_json``, the response's sideloaded resources. Of several ids of the other list the first stays."""
-    r = rows.select("raw_json", F.from_json("raw_json", API_MEDIA).alias("j"), F.coalesce(F.from_json("included_json", API_INCLUDED), F.from_json(F.lit("[]"), API_INCLUDED)).alias("inc"))
-    r = r.where("j IS NOT NULL").select("raw_json", "inc", "j.id", "j.relationships", "j.attributes.*")
+    r = rows.select(*_kept(rows), "raw_json", F.from_json("raw_json", API_MEDIA).alias("j"), F.coalesce(F.from_json("included_json", API_INCLUDED), F.from_json(F.lit("[]"), API_INCLUDED)).alias("inc"))
+    r = r.where("j IS NOT NULL").select(*_kept(rows), "raw_json", "inc", "j.id", "j.relationships", "j.attributes.*")
     title = F.coalesce("canonicalTitle", "titles.en", "titles.en_jp", "titles.ja_jp")
     tags = F.filter(F.transform(_sideloaded(F.col("relationships.categories.data"), F.col("inc"), "categories"), lambda a: a["title"]), lambda t: t.isNotNull())
     others = F.filter(_sideloaded(F.col("relationships.mappings.data"), F.col("inc"), "mappings"), lambda a: a["externalId"].isNotNull() & S.lower_ascii(a["externalSite"]).contains("myanimelist"))
@@ -231,7 +237,7 @@ def api_media(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def api_episodes(rows: DataFrame, kind: str) -> DataFrame:
-    r = rows.select("raw_json", F.from_json("raw_json", API_EPISODE).alias("j")).where("j IS NOT NULL").select("raw_json", "j.id", "j.attributes.*")
+    r = rows.select(*_kept(rows), "raw_json", F.from_json("raw_json", API_EPISODE).alias("j")).where("j IS NOT NULL").select(*_kept(rows), "raw_json", "j.id", "j.attributes.*")
     return _canonical(
         r,
         CANONICAL_EPISODE,
