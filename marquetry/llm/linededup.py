@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, small_batches
+from .common import carried, small_batches, staged
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -57,6 +57,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
     lines = line_hashes(docs.select("doc_id", "text"), min_chars)
     common = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    common = staged(common.select("h", "keeper"), "common-lines")  # a staged side lets a hot line's rows be split
     lost = lines.join(common, "h").where(F.col("doc_id") != F.col("keeper"))
     drops = lost.groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
 
