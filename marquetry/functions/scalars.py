@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from marquetry.schemas import MEDIA_KINDS, SOURCES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"\p{IsWhite_Space}"
+# The characters with Unicode's White_Space property.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _ascii(c: Column, plain: Column, other: Column) -> Column:
@@ -19,6 +22,11 @@ def _ascii(c: Column, plain: Column, other: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(other)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_ascii(c: Column) -> Column:
     return _ascii(c, F.lower(c), F.translate(c, UPPER, LOWER))
 
@@ -33,7 +41,7 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_for_lookup(c: Column) -> Column:

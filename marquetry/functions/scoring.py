@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import clamp, lower_ascii, trim_space
+from .scalars import clamp, let, lower_ascii, trim_space
 
 # Trust in each source, and its rank for episodes.
 WEIGHTS = {"anilist": 0.90, "jikan": 0.76, "myanimelist": 0.80, "kitsu": 0.78, "tvmaze": 0.82, "imdb": 0.85}
@@ -34,19 +34,23 @@ def text_completeness(value: Column) -> Column:
 
 
 def text_quality(value: Column, synopsis: bool) -> Column:
-    trimmed = trim_space(value)
-    size = F.char_length(trimmed)
-    base = clamp(size / F.lit(600.0), 0.15, 1.0) if synopsis else clamp(size / F.lit(80.0), 0.20, 1.0)
-    bonus = F.when(trimmed.contains("\n"), 0.10).otherwise(0.0)
-    penalty = F.when(trimmed.contains("<") | trimmed.contains(">"), 0.15).otherwise(0.0)
-    return F.when(trimmed == "", 0.0).otherwise(clamp(base + bonus - penalty, 0.0, 1.0))
+    def judged(trimmed: Column) -> Column:
+        size = F.char_length(trimmed)
+        base = clamp(size / F.lit(600.0), 0.15, 1.0) if synopsis else clamp(size / F.lit(80.0), 0.20, 1.0)
+        bonus = F.when(trimmed.contains("\n"), 0.10).otherwise(0.0)
+        penalty = F.when(trimmed.contains("<") | trimmed.contains(">"), 0.15).otherwise(0.0)
+        return F.when(trimmed == "", 0.0).otherwise(clamp(base + bonus - penalty, 0.0, 1.0))
+
+    return let(trim_space(value), judged)
 
 
 def cover_quality(url: Column) -> Column:
-    low = lower_ascii(url)
-    large = low.contains("large") | low.contains("extra") | low.contains("original")
-    total = F.lit(0.35) + F.when(large, 0.35).otherwise(0.0) + F.when(low.endswith(".webp"), 0.15).otherwise(0.0) + F.when(low.startswith("https://"), 0.15).otherwise(0.0)
-    return clamp(total, 0.0, 1.0)
+    def judged(low: Column) -> Column:
+        large = low.contains("large") | low.contains("extra") | low.contains("original")
+        total = F.lit(0.35) + F.when(large, 0.35).otherwise(0.0) + F.when(low.endswith(".webp"), 0.15).otherwise(0.0) + F.when(low.startswith("https://"), 0.15).otherwise(0.0)
+        return clamp(total, 0.0, 1.0)
+
+    return let(lower_ascii(url), judged)
 
 
 def consistency(english: Column, romaji: Column, synopsis: Column, cover: Column, has_ids: Column) -> Column:
