@@ -72,7 +72,7 @@ class SuffixAutomaton:
 class Model:
     """``symbol`` numbers every code point: 0 a blank, 1 a letter that no sample has, from 2 letters of samples.
 
-    The table holds states as places of their rows in it, laid flat.
+    The table holds states as places of their rows in it, laid flat; its last row has no way on.
     """
 
     langs: list[str]
@@ -119,27 +119,28 @@ def build(samples: dict[str, list[str]]) -> Model | None:
         starts.append(base)
         price.append(np.log2(max(4, len(taken))))
         base += len(table)
+    tables.append(np.full((1, len(letters) + 2), -1))
     return Model(list(samples), symbol, np.concatenate(tables).astype(np.int32), np.array(starts), np.array(price))
 
 
 def phrases(model: Model, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases that each language needs for each stretch of ``symbols``: languages by stretches."""
+    """Phrases that each language needs for each stretch of ``symbols``, none of them empty: languages by stretches."""
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     flat, width = model.table.ravel(), model.table.shape[1]
     first = model.table[model.starts]
-    first = np.where(first < 0, model.starts[:, None] * width, first).astype(np.int32)
-    state = np.repeat(model.starts[:, None] * width, len(start), 1).astype(np.int32)
-    count = np.zeros(state.shape, np.int32)
-    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-    for t, k in enumerate(live.tolist()):
+    # From the last row nothing goes on: a symbol that a sample lacks is a phrase of its own.
+    first = np.where(first < 0, len(flat) - width, first).astype(np.int32)
+    state = first.take(symbols[start], axis=1) if len(start) else np.zeros((len(first), 0), np.int32)
+    count = np.ones(state.shape, np.int32)
+    live = np.searchsorted(-size, -np.arange(1, int(size[0]) if len(size) else 0), "left")
+    for t, k in enumerate(live.tolist(), 1):
         s = symbols[start[:k] + t]
         to = flat.take(state[:, :k] + s)
         miss = to < 0
         count[:, :k] += miss
         np.copyto(to, first.take(s, axis=1), where=miss)
         state[:, :k] = to
-    count += 1
     out = np.empty_like(count)
     out[:, order] = count
     return out
