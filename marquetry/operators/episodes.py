@@ -84,7 +84,6 @@ CANDIDATE_RULES = (
     ("anime", "myanimelist", "jikan"),
     ("anime", "kitsu", "kitsu"),
     ("show", "tvmaze", "tvmaze"),
-    ("show", "imdb", "imdb"),
 )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from marquetry.api import Catalog
 from marquetry.operators.merge import keyed_upsert
 from marquetry.schemas import SYNC_MODES, SYNC_STATE
 from marquetry.sources.paged import LIMITS, page_size, retried
+from marquetry.sources.remote import FetchItem, fetch_each
+from marquetry.store import cut
 
 Project = Callable[[DataFrame], DataFrame]
 FetchPage = Callable[[int, int], tuple[list[str], bool]]
@@ -121,6 +124,24 @@ class Sync:
         """Sources in the given order, which decides ties."""
         return SyncReport([self.run(*j) for j in jobs])
 
+    def enrich_episodes(self, fetch: dict[str, FetchItem], project: dict[str, Project]) -> DataFrame:
+        """Fetches episodes of the whole catalog from the sources given, and gives back the targets that failed.
+
+        Targets are the catalog's candidates; they are fetched in the executors and merged in one batch.
+        """
+        failed, rows = [], []
+        targets = self.catalog.episode_candidates()
+        for i, source in enumerate(fetch):
+            got = cut(fetch_each(targets.where(F.col("source") == source), fetch[source]))
+            failed.append(got.where("error IS NOT NULL").select("media_id", "source", "source_id", "error"))
+            # Sources come in order; within an item its own order decides.
+            numbered = got.where("raw_json IS NOT NULL").withColumn("seq", F.lit(i * 1_000_000).cast("long") + F.col("pos"))
+            for_media = numbered.select(F.struct("media_id", "seq").alias("seq"), "raw_json")
+            rows.append(project[source](for_media).withColumn("media_id", F.col("seq.media_id")).withColumn("seq", F.col("seq.seq")))
+        if rows:
+            self.catalog.ingest_episodes(reduce(DataFrame.unionByName, rows))
+        return reduce(DataFrame.unionByName, failed) if failed else targets.select("media_id", "source", "source_id", F.lit("").alias("error")).limit(0)
+
     def stream(self, pages: DataFrame, project: Project, checkpoint: str):
         """Ingests a stream of pages (``source, page, pos, raw_json``) up to what is there now, a batch at a time.
 

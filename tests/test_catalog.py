@@ -75,7 +75,7 @@ def test_episodes_and_documents(spark, catalog, tmp_path):
     catalog.export(str(tmp_path / "export"))
     assert {len(r["episode_list"]) for r in spark.read.json(str(tmp_path / "export")).collect()} == {0, 2}
     assert catalog.sql("SELECT count(*) AS n FROM episode").first()["n"] == 2
-    assert {(r["source"], r["source_id"]) for r in catalog.episode_candidates(0).collect()} == {("tvmaze", "1"), ("imdb", "tt1")}
+    assert {(r["source"], r["source_id"]) for r in catalog.episode_candidates(0).collect()} == {("tvmaze", "1")}
 
 
 def test_sync_pages_resumes_and_repeats(catalog):
