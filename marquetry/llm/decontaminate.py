@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index of each shard of training text, searched backwards for benchmark windows.
 
-A shard is a few MB of documents as a sequence of word numbers. Words that no window of the block has are
+A shard is some MB of documents as a sequence of word numbers. Words that no window of the block has are
 only separators, and runs too short for any window are left out; what remains gets a suffix array by prefix
 doubling, its Burrows-Wheeler transform, and a wavelet tree over that. All windows are searched backwards at
 once by wavelet ranks; their rows walk back to the next sampled suffix position, which locates them.
@@ -28,8 +28,8 @@ from .linededup import as_bytes
 WINDOW = 10
 #: Windows searched in one pass; bytes of text and of a tokeniser's piece in a shard; distance of sampled suffixes.
 BLOCK = 200_000
-SHARD = 4 << 20
-PIECE = 1 << 20
+SHARD = 2 << 20
+PIECE = 1 << 19
 SAMPLE = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -30,7 +30,7 @@ ROWS = 200
 SYMBOLS = 16_000
 SEGMENT = 2048
 #: Code points of a batch that are parsed at once.
-CHARS = 4 << 20
+CHARS = 2 << 20
 
 
 class SuffixAutomaton:
