@@ -277,7 +277,7 @@ def train(docs: DataFrame) -> Model:
     return Model(rows.ravel(), np.concatenate(logs))
 
 
-_BAGS = "unit string, token binary, place int, n long, doc_id long, held_out boolean, n_tokens long, places binary, times binary, score double"
+_BAGS = "unit long, token binary, place int, n long, doc_id long, held_out boolean, n_tokens long, places binary, times binary, score double"
 
 
 def _bags(shared, training_fold: int):
@@ -285,7 +285,7 @@ def _bags(shared, training_fold: int):
     names = [x.split()[0] for x in _BAGS.split(", ")]
 
     def flush(docs: list[tuple], model: Model) -> Iterator[pa.RecordBatch]:
-        unit, places, train = uuid.uuid4().hex, {}, Counter()
+        unit, places, train = uuid.uuid4().int >> 65, {}, Counter()
         bags = []
         for doc, held, text in docs:
             bag = Counter(text.lower().split())
@@ -294,17 +294,18 @@ def _bags(shared, training_fold: int):
                 train.update(bag)
             ids = np.fromiter((places.setdefault(t, len(places)) for t in bag), np.int32, len(bag))
             times = np.fromiter(bag.values(), np.int32, len(bag))
-            bags.append((doc, held, int(times.sum()), ids.tobytes(), times.tobytes()))
+            order = np.argsort(ids)  # steps between places are small, and compress
+            bags.append((doc, held, int(times.sum()), np.diff(ids[order], prepend=0).astype(np.int32).tobytes(), times[order].tobytes()))
         score = np.concatenate([model.scores(p) for p in pieces([d[2] for d in docs])])
         token = list(places)
         for at in range(0, len(token), 50_000):
             own = token[at : at + 50_000]
             n = len(own)
             none = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([unit] * n), pa.array(own, pa.binary()), pa.array(range(at, at + n), pa.int32()), pa.array([train[t] for t in own], pa.int64()), *none], names)
+            yield pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.array(own, pa.binary()), pa.array(range(at, at + n), pa.int32()), pa.array([train[t] for t in own], pa.int64()), *none], names)
         n = len(bags)
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([unit] * n), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(pa.array([b[i] for b in bags], k) for i, k in enumerate(kinds)), pa.array(score)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(pa.array([b[i] for b in bags], k) for i, k in enumerate(kinds)), pa.array(score)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held, size = shared.value, [], 0
@@ -331,7 +332,7 @@ def _scored(total: int, distinct: int):
         logs = np.log10(count + 1.0)
         known, base = [], []
         for ids, times in zip(docs.column("places").to_pylist(), docs.column("times").to_pylist(), strict=True):
-            ids, times = np.frombuffer(ids, np.int32), np.frombuffer(times, np.int32)
+            ids, times = np.cumsum(np.frombuffer(ids, np.int32)), np.frombuffer(times, np.int32)
             known.append(int(times[count[ids] > 0].sum()))
             base.append(float((times * logs[ids]).sum() - times.sum() * floor))
         n = docs.num_rows
