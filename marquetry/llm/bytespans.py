@@ -139,18 +139,23 @@ def _sole(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> t
     return order, new
 
 
-_FILED = "route long, h long, c long, doc_id long, start long, n long"
+_FILED = "h long, c long, doc_id long, start long, n long"
 
 
 def _filed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block: the first of each key under its hash, and the spans of the others (n < 0) under any route."""
+    """Rows of one block: the first of each key, and the spans of the others (n < 0)."""
     order, new = _sole((h, c), doc, start)
     one, rest = order[new], order[~new]
     gone = _merged_by(doc[rest], start[rest], start[rest] + n[rest] + length - 1)
-    yield _batch((h[one], h[one], c[one], doc[one], start[one], n[one]))
-    if len(gone[0]):
-        zero = np.zeros(len(gone[0]), np.int64)
-        yield _batch(((gone[0] + gone[1]) * np.int64(0x5851F42D4C957F2D & (1 << 62) - 1), zero, zero, gone[0], gone[1], gone[1] - gone[2]))
+    yield _batch((h[one], c[one], doc[one], start[one], n[one]))
+    yield from _known(*gone)
+
+
+def _known(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans that a block has found itself; any hash will do to deal them out."""
+    if len(doc):
+        spread = mix((doc * 31 + start).view(np.uint64)).view(np.int64)
+        yield _batch((spread, np.zeros(len(doc), np.int64), doc, start, start - end))
 
 
 def _batch(cols: tuple[np.ndarray, ...], schema: str = _FILED) -> pa.RecordBatch:
@@ -182,7 +187,7 @@ def _resolve(length: int, close: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last first-of-its-key row, and whether it was given out
         for b in batches:
-            h, c, doc, start, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            h, c, doc, start, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             spans = n < 0
             out = [(doc[spans], start[spans], n[spans])]
             h, c, doc, start, n = (x[~spans] for x in (h, c, doc, start, n))
@@ -230,10 +235,8 @@ def _close_look(length: int):
             rows = view[at[one[a : a + (1 << 14)]]].astype(np.uint64) + np.uint64(1)
             g[a : a + (1 << 14)], h2[a : a + (1 << 14)] = mix(rows @ full), mix(rows @ odd)
         gone = _merged_by(doc[rest], start[rest], start[rest] + length)
-        yield _batch((g.view(np.int64), g.view(np.int64), h2.view(np.int64), doc[one], start[one], np.ones(len(one), np.int64)))
-        if len(gone[0]):
-            zero = np.zeros(len(gone[0]), np.int64)
-            yield _batch(((gone[0] + gone[1]) * np.int64(0x5851F42D4C957F2D & (1 << 62) - 1), zero, zero, gone[0], gone[1], gone[1] - gone[2]))
+        yield _batch((g.view(np.int64), h2.view(np.int64), doc[one], start[one], np.ones(len(one), np.int64)))
+        yield from _known(*gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -252,7 +255,7 @@ def _close_look(length: int):
 
 
 def _sorted_by_key(filed: DataFrame) -> DataFrame:
-    return filed.repartition("route").sortWithinPartitions("h", "c", "doc_id", "start")
+    return filed.repartition("h").sortWithinPartitions("h", "c", "doc_id", "start")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
