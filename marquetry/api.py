@@ -16,7 +16,7 @@ from marquetry.operators import episodes, identity, merge, validate
 from marquetry.operators import search as text
 from marquetry.operators.lookups import first_matching_kind, unique_media
 from marquetry.operators.search import SearchOptions
-from marquetry.schemas import EPISODE, EPISODE_SOURCE_RECORD
+from marquetry.schemas import EPISODE_SOURCE_RECORD
 from marquetry.store import Store, cut
 
 
@@ -100,13 +100,13 @@ class Catalog:
         new_ids = merge.external_ids(taken, "media_id").select("media_id", "media_kind", "source", "source_id", "url")
         payload = merge.payloads(taken, "media_id").select("media_id", "media_kind", "source", "source_id", "url", "remote_updated_at", F.current_timestamp().alias("fetched_at"), "raw_json", "payload_hash")
         key = ["source", "media_kind", "source_id"]
-        self.store.write(
+        self.store.merge(
             {
-                "media": merge.keyed_upsert(media, rows.select(*media.columns), ["media_id"]),
-                "media_alias": merge.replace_children(self.table("media_alias"), alias, "media_id"),
-                "media_external_id": merge.keyed_upsert(self.table("media_external_id"), merge.last_wins(new_ids, key, "media_id"), key),
-                "source_record": merge.keyed_upsert(self.table("source_record"), merge.last_wins(payload, key, "media_id"), key),
-                "field_provenance": merge.replace_children(provenance, merge.provenance_rows(merged, "media_id").withColumn("updated_at", F.current_timestamp()).select(*provenance.columns), "media_id"),
+                "media": rows.select(*media.columns),
+                "media_alias": alias,
+                "media_external_id": merge.last_wins(new_ids, key, "media_id"),
+                "source_record": merge.last_wins(payload, key, "media_id"),
+                "field_provenance": merge.provenance_rows(merged, "media_id").withColumn("updated_at", F.current_timestamp()),
             },
             batch,
         )
@@ -123,10 +123,11 @@ class Catalog:
         new = rows.withColumn("titles_json", F.col("raw_titles_json")).withColumn("fetched_at", F.current_timestamp())
         new = episodes.back_references(new.withColumn("titles_json", S.json_or_null(F.col("titles_json"))).withColumn("raw_json", S.json_or_null(F.col("raw_json"))))
         new = merge.last_wins(new.select(*EPISODE_SOURCE_RECORD.names), ["source", "source_id", "media_id"], "seq")
-        sources = cut(merge.keyed_upsert(self.table("episode_source_record"), new, ["source", "source_id", "media_id"]))
-        touched = sources.join(new.select("media_id").distinct(), "media_id", "left_semi")
-        merged = episodes.merge_catalog(touched)
-        self.store.write({"episode_source_record": sources, "episode": merge.replace_children(self.table("episode"), merged.select(*EPISODE.names), "media_id")})
+        new = cut(new)
+        touched = new.select("media_id").distinct()
+        stored = self.table("episode_source_record").join(touched, "media_id", "left_semi")
+        sources = merge.keyed_upsert(stored, new, ["source", "source_id", "media_id"])
+        self.store.merge({"episode_source_record": new, "episode": episodes.merge_catalog(sources)})
 
     def episodes_for(self, media_id: int) -> DataFrame:
         return episodes.in_order(self.table("episode").where(F.col("media_id") == media_id))

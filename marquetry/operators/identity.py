@@ -39,16 +39,15 @@ def components(ids: DataFrame, seq: str = "seq", max_rounds: int = 50) -> DataFr
     minima that combine before the shuffle, so a hot id is no burden. Lineage is cut each round.
     """
     links = cut(ids.select(F.col(seq).alias("r"), F.struct("media_kind", "source", "source_id").alias("k")).distinct())
-    labels = cut(links.groupBy("r").agg(F.min("r").alias("label")))
+    labels = links.select("r", F.col("r").alias("label")).distinct()
     for _ in range(max_rounds):
-        of_id = cut(links.join(labels, "r").groupBy("k").agg(F.min("label").alias("label")))
+        of_id = links.join(labels, "r").groupBy("k").agg(F.min("label").alias("label"))
         near = links.join(of_id, "k").groupBy("r").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("r").alias("near"), F.col("label").alias("far"))
-        new = near.join(jump, "near", "left").select("r", F.least("near", F.coalesce("far", "near")).alias("label"))
-        new = cut(new)
-        moved = new.join(labels.withColumnRenamed("label", "was"), "r").where(F.col("label") != F.col("was")).limit(1).count()
-        labels = new
-        if not moved:
+        new = near.join(labels, "r").join(jump, "near", "left").select("r", F.least("near", F.coalesce("far", "near")).alias("label"), F.col("label").alias("was"))
+        new = cut(new.select("r", "label", (F.col("label") != F.col("was")).alias("moved")))
+        labels = new.select("r", "label")
+        if new.where("moved").isEmpty():
             return labels.select(F.col("r").alias(seq), F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

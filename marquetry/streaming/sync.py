@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.api import Catalog
-from marquetry.operators.merge import keyed_upsert
 from marquetry.schemas import SYNC_MODES, SYNC_STATE
 from marquetry.sources.paged import LIMITS, page_size, retried
 from marquetry.sources.remote import FetchItem, fetch_each
@@ -79,7 +78,7 @@ class Sync:
         page = old.get("page") if page is None else page
         done = old.get("last_success_at") if error else str(int(time.time()))
         row = self.catalog.spark.createDataFrame([(request.source, request.scope, page, done, error, page, request.mode)], SYNC_STATE)
-        self.catalog.store.write({"sync_state": keyed_upsert(self.catalog.table("sync_state"), row, ["source", "scope"])})
+        self.catalog.store.merge({"sync_state": row})
 
     def next_seq(self) -> int:
         """The first arrival number that no batch has used: the pointer names it after the last colon."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marquetry.api import Catalog
 from marquetry.operators.search import SearchOptions
+from marquetry.schemas import TABLES
 from marquetry.sources import paged, payloads
+from marquetry.store import DELTAS, Store
 from marquetry.streaming.sync import SourceMismatch, Sync, SyncRequest
 
 SHOWS = [{"id": i, "url": f"u{i}", "name": f"Show {i}", "externals": {"imdb": f"tt{i}"}, "rating": {"average": 5.0 + i / 10}, "genres": ["Drama"]} for i in range(5)]
@@ -118,5 +120,22 @@ def test_stream(spark, catalog, tmp_path):
 def test_old_versions_can_go(spark, catalog):
     catalog.ingest(records(spark, 0, SHOWS[1]))
     catalog.ingest(records(spark, 1, SHOWS[2]))
-    assert catalog.store.vacuum() > 0
+    assert len(catalog.store.pointer()["tables"]["media"]["deltas"]) == 2
+    assert catalog.store.vacuum() == 0
+    catalog.store.compact("media")
+    assert catalog.store.pointer()["tables"]["media"]["deltas"] == []
+    assert catalog.store.vacuum() == 2
     assert catalog.media().count() == 2
+
+
+def test_the_last_delta_of_an_owner_counts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    row = lambda i, page: spark.createDataFrame([(f"s{i}", "all", page, None, None, page, "full")], TABLES["sync_state"])
+    store.write({"sync_state": row(0, 1).unionByName(row(1, 1))})
+    for n in range(2, 5):
+        store.merge({"sync_state": row(n % 2, n)})
+    assert {(r["source"], r["page"]) for r in store.read("sync_state").collect()} == {("s0", 4), ("s1", 3)}
+    for n in range(5, 20):
+        store.merge({"sync_state": row(2, n)})
+    assert len(store.pointer()["tables"]["sync_state"]["deltas"]) < DELTAS
+    assert {(r["source"], r["page"]) for r in store.read("sync_state").collect()} == {("s0", 4), ("s1", 3), ("s2", 19)}
