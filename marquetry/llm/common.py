@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -40,8 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+#: What this driver has written to the shared folder.
+_SCRATCH: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(drop_scratch)
+    _SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch() -> None:
+    """Deletes this driver's tables in the shared folder; results that still read them are lost. Runs when the driver ends."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _SCRATCH:
+        with contextlib.suppress(Exception):  # the session may have ended
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

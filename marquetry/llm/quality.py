@@ -81,10 +81,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) >= window, whole).otherwise(F.lit(0).cast("long"))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The measures that rules may name, as columns of a text."""
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    """The measures that rules may name, of a text and its words."""
     body = F.coalesce(text, F.lit(""))
-    words = F.array_remove(F.split(body, BLANKS), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     stops = list(dict.fromkeys(STOP_WORDS))
     return {
@@ -114,13 +113,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The id, all measures, ``base_failed`` and ``kept`` of each row."""
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANKS), "")
-    cols = measures(F.col(text_col))
-    cols["n_repeat_words"] = repeated_words(F.col("_words"))
-    cols["n_words"] = F.size("_words").cast("long")
-    cols["word_chars"] = F.char_length(F.array_join("_words", "")).cast("long")
-    stops = list(dict.fromkeys(STOP_WORDS))
-    cols["n_stop_words"] = F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))).cast("long")
     split = docs.select(F.col(id_col), F.col(text_col), words.alias("_words"))
-    measured = split.select(F.col(id_col), *[c.alias(n) for n, c in cols.items()])
+    measured = split.select(F.col(id_col), *[c.alias(n) for n, c in measures(F.col(text_col), F.col("_words")).items()])
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
