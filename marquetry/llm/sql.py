@@ -49,6 +49,19 @@ SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM low LEFT JOIN np ON np.doc_id = low.doc_id LEFT JOIN ni ON ni.doc_id = low.doc_id
 """
 
+#: Five hex digits are four digits of base 32.
+OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS x, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::BIGINT) AS v FROM d),
+a AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS digits)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda q: digits[(q // 32768) % 32 + 1] || digits[(q // 1024) % 32 + 1] || digits[(q // 32) % 32 + 1] || digits[q % 32 + 1]), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b, a
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS bits FROM documents),
@@ -84,4 +97,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op7_mixing": OP7, "op9_line_dedup": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op5_warc": OP5, "op7_mixing": OP7, "op9_line_dedup": OP9}
