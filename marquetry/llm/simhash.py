@@ -1,7 +1,7 @@
-"""SimHash near-dedup by multi-index hashing.
+"""SimHash near-dedup by enumeration of neighbours.
 
-A fingerprint is cut into segments. In each segment the Hamming ball of radius 1 is enumerated while the
-rest stays, and the result is the key under which the fingerprint is filed. Fingerprints that differ in at
+A fingerprint is filed under itself and the 64 fingerprints one bit away, whatever the number of segments: each
+key is a whole fingerprint. Fingerprints that differ in at
 most two bits meet under a key: the one a bit away from both. A key holds at most 65 fingerprints, so no
 bucket can grow with the data, and a chain through each bucket keeps all links without all pairs. The
 complete distance is verified all the same.
