@@ -132,15 +132,49 @@ def test_byte_spans_of_edited_copies(spark, monkeypatch, seed):
 
 
 def test_suffix_classes():
+    """The order that dictionary and parse combine into is that of the suffixes, and its classes are equal strings."""
     import numpy as np
 
     r = random.Random(3)
-    data = bytes(r.choice(b"ab") for _ in range(600)) * 2
-    starts = np.arange(len(data) - 100)
-    cls = bytespans.suffix_classes(np.frombuffer(data, np.uint8), starts)
-    order = sorted(starts, key=lambda s: data[s : s + 100])
-    assert list(cls[order]) == sorted(cls)
-    assert len(set(cls.tolist())) == len({data[s : s + 100] for s in starts})
+    words = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randrange(1, 90))) for _ in range(6)]
+    stretches = [b"".join(r.choice(words) for _ in range(12)) + b"x" * r.randrange(120) for _ in range(8)]
+    size = np.array([len(x) for x in stretches])
+    base = np.cumsum(size) - size
+    data = b"".join(stretches)
+    at = np.concatenate([np.arange(b, b + n - 99) for b, n in zip(base, size, strict=True)])
+    flat = np.frombuffer(data, np.uint8)
+    parse = bytespans.PrefixFreeParse(flat, base, size, 100)
+    assert len(parse.dictionary) < len(parse.parse)
+    order, new = bytespans.suffix_classes(flat, base, size, at)
+    strings = [data[p : p + 100] for p in at[order]]
+    assert strings == sorted(strings)
+    assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_byte_spans_of_repeated_and_null_ids(spark, seed):
+    """Rows that share an id, or have none, are documents of their own: one order of them gives the result."""
+    import itertools
+
+    r = random.Random(seed)
+    t, u = ("".join(r.choice("abc ") for _ in range(300)) for _ in range(2))
+    rows = [(1, t), (1, t), (1, u[:150] + t[:140]), (None, t + t), (None, u), (-1, u), (7, t), ((1 << 63) - 1, u + "z"), (2, "short"), (2, "short"), (None, None), (None, t + t)]
+    got = Counter((x["doc_id"], bytes(x["kept"]), x["n_bytes"], x["n_removed"], x["n_spans"]) for x in bytespans.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+
+    def plain(ordered):
+        seen, out = set(), Counter()
+        for doc, text in ordered:
+            data = (text or "").encode()
+            gone = bytearray(len(data))
+            for s in range(len(data) - 99):
+                if data[s : s + 100] in seen:
+                    gone[s : s + 100] = b"\1" * 100
+                seen.add(data[s : s + 100])
+            out[doc, bytes(x for x, g in zip(data, gone, strict=True) if not g), len(data), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))] += 1
+        return out
+
+    groups = [list(g) for _, g in itertools.groupby(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), key=lambda x: x[0])]
+    assert any(got == plain(itertools.chain(*o)) for o in itertools.product(*[list(itertools.permutations(g)) for g in groups]))
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK, 7])
