@@ -1,24 +1,30 @@
-"""SimHash near-dedup by enumeration of neighbours.
+"""SimHash near-dedup by multi-index hashing.
 
-A fingerprint is filed under itself and the 64 fingerprints one bit away, whatever the number of segments: each
-key is a whole fingerprint. Fingerprints that differ in at
-most two bits meet under a key: the one a bit away from both. A key holds at most 65 fingerprints, so no
-bucket can grow with the data, and a chain through each bucket keeps all links without all pairs. The
-complete distance is verified all the same.
+A fingerprint's 64 bits are cut into segments, and each segment has a table of the fingerprints by its value. Two
+fingerprints at RADIUS bits or fewer have a segment where they differ in RADIUS // segments bits at most; better, in one of
+the first RADIUS % segments + 1 segments they do, or else in one bit less in another (Norouzi, Punjani and Fleet, 2012). So a
+fingerprint enumerates that Hamming ball in each segment and fetches the table's matches, and the complete distance
+decides each pair. Of two values only the one with the higher differing bit set asks for the other.
+
+Near copies share segments, so a bucket of a table can grow with the data. Fingerprints of buckets with over HOT members are
+linked another way, which is exact too: each is filed under itself and the 64 fingerprints one bit away. Two at
+two bits or fewer meet under the one between them, a key holds at most 65 fingerprints, any two of which are linked, and so a
+chain through each key does for all its pairs.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; rows with equal
-fingerprints form one class; a null doc_id is never a component's id unless there is no other; an empty
+fingerprints form one class, whatever their ids; a null doc_id is never a component's id unless there is no other; an empty
 table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
@@ -29,6 +35,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 SEGMENTS = 2
+#: Members of a bucket that are all held against those who ask for it.
+HOT = 100
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
@@ -63,16 +71,64 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Edges ``u, v`` between distinct fingerprints at RADIUS bits or fewer; they connect all that such pairs connect."""
-    width = 64 // segments
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    ball = [0] + [signed(1 << (s * width + bit)) for s in range(segments) for bit in range(width)]
-    filed = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in ball])).alias("flip"))
-    filed = filed.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def balls(segments: int = SEGMENTS, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
+    """For each segment that is searched, its bits as a mask, and the sets of up to its radius of them as masks."""
+    edge = [64 * i // segments for i in range(segments + 1)]
+    out = []
+    for s, (low, high) in enumerate(zip(edge, edge[1:], strict=False)):
+        own = radius // segments - (s > radius % segments)
+        flips = [sum(1 << bit for bit in c) for k in range(own + 1) for c in combinations(range(low, high), k)]
+        if own >= 0:
+            out.append((sum(1 << bit for bit in range(low, high)), flips))
+    return out
+
+
+def probes(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """``fp, segment, key, flipped``: the values that each fingerprint asks for; its own, unflipped, is where it lies in the table."""
+    rows = []
+    for s, (mask, flips) in enumerate(balls(segments)):
+        own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+        for flip in flips:
+            top = F.lit(_signed(1 << (flip.bit_length() - 1))) if flip else F.lit(0).cast("long")
+            asked = F.struct(F.lit(s).cast("byte").alias("segment"), own.bitwiseXOR(F.lit(_signed(flip))).alias("key"), F.lit(flip > 0).alias("flipped"))
+            rows.append(asked if not flip else F.when(own.bitwiseAND(top) != 0, asked))
+    asked = fps.select("fp", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("p"))
+    return asked.select("fp", "p.*")
+
+
+def _apart() -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
+
+
+def candidates(met: DataFrame, hot: int = HOT) -> DataFrame:
+    """``fp, other``: pairs that meet in buckets of ``hot`` members or fewer; their distances are open."""
+    table = met.where(~F.col("flipped") & (F.col("n") <= hot)).select("segment", "key", F.col("fp").alias("other"))
+    asking = met.where(F.col("n") <= hot).select("segment", "key", "fp", "flipped")
+    return asking.join(table, ["segment", "key"]).where(F.col("flipped") | (F.col("other") < F.col("fp"))).select("fp", "other")
+
+
+def neighbours(fps: DataFrame) -> DataFrame:
+    """``fp, other``: chains through the keys of whole fingerprints that a bit or none is flipped in."""
+    flips = F.array(*[F.lit(_signed(m)).cast("long") for m in [0, *(1 << bit for bit in range(64))]])
+    filed = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
     before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    met = filed.select("fp", before.alias("other")).where(F.col("other").isNotNull())
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    return filed.select("fp", before.alias("other")).where(F.col("other").isNotNull())
+
+
+def links(fps: DataFrame, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+    """Edges ``u, v`` between distinct fingerprints at RADIUS bits or fewer; they connect all that such pairs connect."""
+    asked = probes(fps, segments)
+    sizes = asked.where(~F.col("flipped")).groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n"))
+    # A bucket of one that nobody else asks for is met by its own fingerprint only.
+    met = staged(asked.join(sizes, ["segment", "key"]).select("fp", "segment", "key", "flipped", "n"), "simhash-met")
+    pairs = candidates(met, hot)
+    crowded = met.where(F.col("n") > hot).select("fp").distinct()
+    near = pairs.where(_apart() <= RADIUS).unionByName(neighbours(crowded).where(_apart() <= RADIUS))
+    return near.select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -107,6 +107,39 @@ def test_simhash_links_through_chains(spark):
     assert len(set(got.values())) == 1 and len(got) == 20 and lone - (1 << 64) not in got
 
 
+@pytest.mark.parametrize("hot", [0, 100])
+@pytest.mark.parametrize("segments", [1, 2, 3, 8])
+def test_simhash_segments(spark, segments, hot):
+    """Segments change what is asked for, not what is found; some that meet are too far apart."""
+    r = random.Random(9)
+    fps = {0}
+    for base in [r.getrandbits(64) for _ in range(6)]:
+        fps |= {base ^ sum(1 << b for b in r.sample(range(64), r.randrange(6))) for _ in range(25)}
+    signed = {x - (1 << 64) if x >> 63 else x for x in fps}
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+
+    def least(edges):
+        parent = {x: x for x in signed}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return {x: find(x) for x in signed}
+
+    close = {(a, b) for a in signed for b in signed if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert least(tuple(x) for x in simhash.links(df, segments, hot).collect()) == least(close)
+    asked = {(x["segment"], x["key"], x["flipped"], x["fp"]) for x in simhash.probes(df, segments).collect()}
+    sizes = Counter(x[:2] for x in asked if not x[2])
+    met = spark.createDataFrame([(f, s, k, z, sizes[s, k]) for s, k, z, f in asked if sizes[s, k]], "fp long, segment byte, key long, flipped boolean, n long")
+    pairs = {(max(x), min(x)) for x in simhash.candidates(met, 10**6).collect()}
+    assert close <= pairs and (segments == 1) == (close == pairs)
+
+
 @BOTH
 def test_byte_spans(request, which):
     df = request.getfixturevalue(which)
