@@ -2,19 +2,26 @@
 
 For each language a suffix automaton of a bounded sample of labelled text answers how far a text matches
 the sample. A text is parsed into longest matches, and the language that needs the fewest phrases wins,
-each phrase priced at the logarithm of its sample's size. Texts are parsed in segments of SEGMENT symbols,
-all segments of a batch and all languages a symbol at a time, so a very long text costs no more steps.
+each phrase priced at the logarithm of its sample's size.
 
-Symbols are lower-cased letters; every run of other characters is one blank. The sample is bounded by
-ROWS rows and SYMBOLS symbols a language, taken in order of a hash of the id; nothing else is capped.
+Texts are parsed in stretches of SEGMENT symbols, all stretches of a batch and all languages a symbol at a time. A stretch
+must begin in the state in which the one before it ended; that is guessed from the last symbols before it, and stretches whose guess
+was wrong are parsed again until none is, so the phrases are those of the whole text, parsed from its first symbol.
+
+Symbols are lower-cased letters; every run of other characters is one blank. The sample has at most ROWS whole rows of a
+language, in order of a hash of the id; rows of more than PREFER characters come after all others. The
+automata are sparse, so they take some 50 bytes a symbol of the samples whatever the alphabets. Languages
+are taken to be a bounded set, as ISO codes are: the model grows with their number.
 
 Defined results: a null text, one without a letter, and any text where nothing was learned is ``und`` with
-score 0; ties go to the first language in order; a lang of null or the empty text is not learned; repeated
-rows are judged one by one; other columns are left out.
+score 0; ties go to the first language in order; a lang of null or the empty text is not learned; a null
+doc_id has a fold as the empty text has; repeated rows are judged one by one, and equal ones are learned once; an
+empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,62 +30,88 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, crc_of, small_batches
+from .common import carried, crc_of, small_batches, staged
 
 UNKNOWN = "und"
-ROWS = 200
-SYMBOLS = 16_000
-SEGMENT = 2048
+ROWS = 24
+PREFER = 20_000
+SEGMENT = 4096
+#: Symbols before a stretch from which its first state is guessed, and rounds of guesses before a text is parsed by itself.
+RUN_IN, ROUNDS = 256, 4
 #: Code points of a batch that are parsed at once.
 CHARS = 2 << 20
 
-
-class SuffixAutomaton:
-    """All substrings of a sequence of small numbers, as a table of states by symbols; -1 is no way on, 0 the start."""
-
-    def __init__(self, sequence: list[int], symbols: int) -> None:
-        link, length, nexts = [-1], [0], [{}]
-        last = 0
-        for c in sequence:
-            cur = len(link)
-            link.append(0)
-            length.append(length[last] + 1)
-            nexts.append({})
-            p = last
-            while p >= 0 and c not in nexts[p]:
-                nexts[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nexts[p][c]
-                if length[q] == length[p] + 1:
-                    link[cur] = q
-                else:
-                    clone = len(link)
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    nexts.append(dict(nexts[q]))
-                    while p >= 0 and nexts[p].get(c) == q:
-                        nexts[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        self.table = np.full((len(link), symbols), -1, np.int32)
-        for i, own in enumerate(nexts):
-            for c, to in own.items():
-                self.table[i, c] = to
+_TARGET = (1 << 32) - 1
+
+
+def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
+    """Ways on by symbol from each state of the automaton of all substrings; state 0 is the start."""
+    link, length, nexts = [-1], [0], [{}]
+    last = 0
+    for c in sequence:
+        cur = len(link)
+        link.append(0)
+        length.append(length[last] + 1)
+        nexts.append({})
+        p = last
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][c]
+            if length[q] == length[p] + 1:
+                link[cur] = q
+            else:
+                clone = len(link)
+                link.append(link[q])
+                length.append(length[p] + 1)
+                nexts.append(dict(nexts[q]))
+                while p >= 0 and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return nexts
+
+
+def displaced(nexts: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, int]:
+    """The ways on laid over each other in one row, and the number of the start.
+
+    A state's number is where its own row begins. The cell ``number + symbol`` holds the state that it belongs to
+    in its upper 32 bits and the state to go to in its lower ones; -1 is free. Rows with many ways are laid first.
+    """
+    size = 2 * sum(map(len, nexts)) + 16
+    taken, numbers, number = bytearray(size + symbols), set(), [0] * len(nexts)
+    place = random.Random(len(nexts))
+    for i in sorted(range(len(nexts)), key=lambda i: -len(nexts[i])):
+        own = list(nexts[i])
+        while True:
+            at = int(place.random() * size)
+            if at not in numbers and not any(taken[at + c] for c in own):
+                break
+        numbers.add(at)
+        number[i] = at
+        for c in own:
+            taken[at + c] = 1
+    table = np.full(size + symbols, -1, np.int64)
+    for i, own in enumerate(nexts):
+        for c, to in own.items():
+            table[number[i] + c] = number[i] << 32 | number[to]
+    return table, number[0]
 
 
 @dataclass
 class Model:
     """``symbol`` numbers every code point: 0 a blank, 1 a letter that no sample has, from 2 letters of samples.
 
-    The table holds states as places of their rows in it, laid flat; its last row has no way on.
+    ``first`` is where each language goes from its start by each symbol; ``dead`` is a state with no way on.
     """
 
     langs: list[str]
     symbol: np.ndarray
     table: np.ndarray
-    starts: np.ndarray
+    first: np.ndarray
+    dead: int
     price: np.ndarray
 
 
@@ -93,88 +126,121 @@ def blanks_once(symbols: np.ndarray) -> np.ndarray:
 
 
 def build(samples: dict[str, list[str]]) -> Model | None:
-    """A model of texts by language; of each language as many whole texts as fit in SYMBOLS, at least a part of the first."""
+    """A model of all texts by language."""
     samples = {k: v for k, v in sorted(samples.items()) if any(c.isalpha() for t in v for c in t)}
     if not samples:
         return None
     letters = sorted({c for v in samples.values() for t in v for c in t.lower() if c.isalpha()})
     number = {c: i + 2 for i, c in enumerate(letters)}
-    symbol = np.zeros(0x110000, np.int16)
+    symbol = np.zeros(0x110000, np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
             symbol[i] = number.get(low if len(low) == 1 else c, 1)
-    tables, starts, price, base = [], [], [], 0
+    width, tables, starts, price, base = len(letters) + 2, [], [], [], 0
     for texts in samples.values():
-        taken: list[int] = []
-        for t in texts:
-            s = blanks_once(symbol[code_points(t)]).tolist()
-            if len(taken) + len(s) <= SYMBOLS:
-                taken += [0, *s]
-        if len(set(taken)) < 2:
-            taken = blanks_once(symbol[code_points(" ".join(texts)[: 4 * SYMBOLS])]).tolist()[:SYMBOLS]
-        table = SuffixAutomaton(taken, len(letters) + 2).table
-        tables.append(np.where(table >= 0, (table + base) * table.shape[1], -1))
-        starts.append(base)
+        taken = [x for t in texts for x in (0, *blanks_once(symbol[code_points(t)]).tolist())]
+        table, start = displaced(suffix_automaton(taken), width)
+        tables.append(np.where(table < 0, -1, table + (base << 32 | base)))
+        starts.append(start + base)
         price.append(np.log2(max(4, len(taken))))
         base += len(table)
-    tables.append(np.full((1, len(letters) + 2), -1))
-    return Model(list(samples), symbol, np.concatenate(tables).astype(np.int32), np.array(starts), np.array(price))
+    table = np.concatenate([*tables, np.full(width, -1, np.int64)])
+    row = table[np.array(starts)[:, None] + np.arange(width)]
+    first = np.where(row >> 32 == np.array(starts)[:, None], row & _TARGET, base)
+    return Model(list(samples), symbol, table, first, base, np.array(price))
 
 
-def phrases(model: Model, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases that each language needs for each stretch of ``symbols``, none of them empty: languages by stretches."""
+def phrases(model: Model, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that each language begins in each stretch of ``symbols``, entered in that state, and the state in which it ends.
+
+    All are languages by stretches. A symbol that a sample lacks is a phrase of its own.
+    """
     order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    flat, width = model.table.ravel(), model.table.shape[1]
-    first = model.table[model.starts]
-    # From the last row nothing goes on: a symbol that a sample lacks is a phrase of its own.
-    first = np.where(first < 0, len(flat) - width, first).astype(np.int32)
-    state = first.take(symbols[start], axis=1) if len(start) else np.zeros((len(first), 0), np.int32)
-    count = np.ones(state.shape, np.int32)
-    live = np.searchsorted(-size, -np.arange(1, int(size[0]) if len(size) else 0), "left")
-    for t, k in enumerate(live.tolist(), 1):
+    start, size, state = start[order], size[order], state[:, order]
+    count = np.zeros(state.shape, np.int32)
+    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 0), "right")
+    for t, k in enumerate(live.tolist()):
         s = symbols[start[:k] + t]
-        to = flat.take(state[:, :k] + s)
-        miss = to < 0
+        own = state[:, :k]
+        cell = model.table.take(own + s)
+        miss = cell >> 32 != own
         count[:, :k] += miss
-        np.copyto(to, first.take(s, axis=1), where=miss)
-        state[:, :k] = to
-    out = np.empty_like(count)
-    out[:, order] = count
+        cell &= _TARGET
+        np.copyto(cell, model.first.take(s, axis=1), where=miss)
+        state[:, :k] = cell
+    counts, states = np.empty_like(count), np.empty_like(state)
+    counts[:, order], states[:, order] = count, state
+    return counts, states
+
+
+def _by_itself(model: Model, symbols: list[int], states: list[int]) -> list[int]:
+    """Phrases begun in the rest of a text, symbol by symbol."""
+    table, out = model.table, []
+    for own, first in zip(states, model.first.tolist(), strict=True):
+        n = 0
+        for s in symbols:
+            cell = int(table[own + s])
+            if cell >> 32 == own:
+                own = cell & _TARGET
+            else:
+                own, n = first[s], n + 1
+        out.append(n)
     return out
 
 
+def counts_by_language(model: Model, each: list[np.ndarray]) -> np.ndarray:
+    """Phrases of each sequence of symbols by language: sequences by languages."""
+    sizes = np.array([len(e) for e in each], np.int64)
+    symbols = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    parts = -(-sizes // SEGMENT)
+    doc = np.repeat(np.arange(len(each)), parts)
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(np.cumsum(sizes) - sizes, parts)
+    start = begin + inner * SEGMENT
+    size = np.minimum(SEGMENT, begin + np.repeat(sizes, parts) - start)
+    state = np.full((len(model.langs), len(doc)), model.dead, np.int64)
+    later = np.flatnonzero(inner > 0)
+    run_in = np.full(len(later), min(RUN_IN, SEGMENT))
+    state[:, later] = phrases(model, symbols, start[later] - run_in, run_in, state[:, later])[1]
+    count, end = phrases(model, symbols, start, size, state)
+    for _ in range(ROUNDS):
+        wrong = later[(end[:, later - 1] != state[:, later]).any(0)]
+        if not len(wrong):
+            break
+        state[:, wrong] = end[:, wrong - 1]
+        count[:, wrong], end[:, wrong] = phrases(model, symbols, start[wrong], size[wrong], state[:, wrong])
+    wrong = later[(end[:, later - 1] != state[:, later]).any(0)]
+    total = np.zeros((len(each), len(model.langs)), np.int64)
+    for d in np.unique(doc[wrong]).tolist():  # as in texts of one long period, which the guesses never meet
+        at = int(wrong[np.searchsorted(doc[wrong], d)])
+        count[:, (doc == d) & (np.arange(len(doc)) >= at)] = 0
+        total[d] += _by_itself(model, symbols[start[at] : begin[at] + sizes[d]].tolist(), end[:, at - 1].tolist())
+    np.add.at(total, doc, count.T)
+    return total
+
+
 def bits_by_language(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bits for each text by language (texts by languages), and whether a text has a letter."""
     each = [blanks_once(model.symbol[code_points(t)]) for t in texts]
     letters = np.array([bool((e > 0).any()) for e in each], bool)
-    sizes = np.array([len(e) for e in each])
-    symbols = np.concatenate(each).astype(np.int32) if each else np.zeros(0, np.int32)
-    parts = -(-sizes // SEGMENT)
-    base = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(texts)), parts)
-    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = np.repeat(base, parts) + inner * SEGMENT
-    size = np.minimum(SEGMENT, np.repeat(base + sizes, parts) - start)
-    count = phrases(model, symbols, start, size)
-    total = np.zeros((len(texts), len(model.langs)))
-    np.add.at(total, doc, (count * model.price[:, None]).T)
-    return total, letters
+    return counts_by_language(model, each) * model.price, letters
 
 
-def sample_texts(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
-    """Labelled texts by language: at most ROWS of each, by the least hashes of their ids."""
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+def sample_texts(docs: DataFrame, learn: Column, rows: int = ROWS) -> dict[str, list[str]]:
+    """Labelled whole texts by language: at most ``rows`` of each."""
     usable = docs.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    picked = usable.select("doc_id", "lang").withColumn("n", order).where(F.col("n") <= ROWS)
-    ids = [r[0] for r in picked.select("doc_id").collect()]
-    found: dict[str, list[tuple[int, str]]] = {}
-    # Twice as many characters as symbols is more than a sample can use of one text.
-    for r in usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, 4 * SYMBOLS).alias("text")).toLocalIterator():
-        found.setdefault(r.lang, []).append((r.doc_id, r.text))
-    return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+    key = [F.char_length("text") > PREFER, F.xxhash64("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text")]
+    usable = usable.select("lang", F.struct(*key).alias("key"), "text")
+    order = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
+    picked = usable.select("lang", "key", order.alias("n")).where(F.col("n") <= rows).select("lang", "key").distinct()
+    # The few that are picked are read again with their texts: the table's size decides whether it is broadcast.
+    found = usable.join(staged(picked, "lang-sample"), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    out: dict[str, list] = {}
+    for r in found.toLocalIterator():
+        out.setdefault(r.lang, []).append((r["key"], r.text))
+    return {k: [t for _, t in sorted(v)] for k, v in out.items()}
 
 
 def predict(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) -> DataFrame:

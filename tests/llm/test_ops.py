@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquetry.llm import bytespans, ctw, decontaminate, langid, linededup, mixing, pii, quality, simhash, warc
+from marquetry.llm.common import crc_of
 from marquetry.llm.queries import QUERIES
 
 from . import brute
@@ -286,33 +287,80 @@ def test_language_of_odd_texts(odd):
     assert all(got[k]["lang_pred"] in {"en", "de", "fr", "es"} for k in (4, 8, 9, 13))
 
 
-def test_suffix_automaton_and_phrases():
-    """Greedy longest matches, against looking them up in the sample."""
-    import numpy as np
-
-    r = random.Random(2)
-    sample = "".join(r.choice("abc ") for _ in range(300))
-    model = langid.build({"x": [sample]})
-    trained = " " + langid_text(sample)
-    for n in (1, 7, 40, 200):
-        text = "".join(r.choice("abcd ") for _ in range(n))
-        symbols = langid.blanks_once(model.symbol[langid.code_points(text)]).astype(np.int32)
-        letters = langid_text(text)
-        count, at = 0, 0
-        while at < len(letters):
-            size = 1
-            while at + size <= len(letters) and letters[at : at + size] in trained:
-                size += 1
-            at += max(1, size - 1)
-            count += 1
-        got = int(langid.phrases(model, symbols, np.array([0]), np.array([len(symbols)]))[0, 0])
-        assert got == count
+def greedy_phrases(sample: str, text: str) -> int:
+    """Phrases of greedy longest matches, by looking them up in the sample."""
+    count = at = 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in sample:
+            size += 1
+        at += max(1, size - 1)
+        count += 1
+    return count
 
 
 def langid_text(text: str) -> str:
+    return "".join(" " if not c.isalpha() else c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def squeezed(text: str) -> str:
     import re
 
-    return re.sub(r"[^a-z]+", " ", text)
+    return re.sub(" +", " ", langid_text(text))
+
+
+@pytest.mark.parametrize("segment", [5, 64, langid.SEGMENT])
+def test_suffix_automaton_and_phrases(monkeypatch, segment):
+    """Greedy longest matches whatever the stretches, also where guesses of a stretch's first state fail."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "RUN_IN", 3)
+    r = random.Random(2)
+    samples = {"x": ["".join(r.choice("abc ") for _ in range(300)), "ab" * 40], "y": ["".join(r.choice("abé") for _ in range(200))]}
+    model = langid.build(samples)
+    trained = ["".join(" " + squeezed(t) for t in v) for v in samples.values()]
+    texts = ["".join(r.choice("abcdé ") for _ in range(n)) for n in (1, 7, 40, 200, 900)] + ["ab" * 500, "aab" * 333, "z" * 30, "c"]
+    got = langid.counts_by_language(model, [langid.blanks_once(model.symbol[langid.code_points(t)]) for t in texts])
+    assert got.tolist() == [[greedy_phrases(s, squeezed(t)) for s in trained] for t in texts]
+
+
+def plain_language(samples: dict, text: str):
+    """The language and score of a text, by greedy parses in the samples themselves."""
+    trained = {k: "".join(" " + squeezed(t) for t in v) for k, v in sorted(samples.items()) if any(c.isalpha() for t in v for c in t)}
+    if not trained or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    bits = sorted((greedy_phrases(s, squeezed(text)) * math.log2(max(4, len(s))), i, k) for i, (k, s) in enumerate(trained.items()))
+    return bits[0][2], (bits[1][0] - bits[0][0]) / bits[1][0] if len(bits) > 1 else 1.0
+
+
+@BOTH
+def test_language_of_every_row(request, which):
+    """Predictions and scores against plain parses, on odd rows and on texts of the smallest table."""
+    df = request.getfixturevalue(which)
+    if which == "docs":
+        df = df.where("doc_id < 40 AND length(text) < 3000 OR lang <> 'en'").limit(60)
+    rows = df.select("doc_id", "text", "lang").collect()
+    df = df.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.sample_texts(df, crc_of(F.col("doc_id")) % 3 != 1)
+    learned = {}
+    for doc, text, lang in rows:
+        if text is not None and lang and crc32(str(doc).encode()) % 3 != 1:
+            learned.setdefault(lang, []).append(text)
+    assert {k: len(v) for k, v in samples.items()} == {k: min(langid.ROWS, len(v)) for k, v in learned.items()}
+    assert all(set(v) <= set(learned[k]) for k, v in samples.items())
+    got = {x["doc_id"]: x for x in langid.identify(df).collect()}
+    for doc, text, _ in rows:
+        lang, score = plain_language(samples, text)
+        assert (got[doc]["lang_pred"], got[doc]["score"]) == (lang, pytest.approx(score))
+
+
+def test_large_alphabets(spark):
+    """Four languages of thousands of letters each: the model stays small."""
+    r = random.Random(6)
+    samples = {k: ["".join(chr(0x3400 + 4000 * i + int(4000 * r.random() ** 2)) for _ in range(2500)) for _ in range(8)] for i, k in enumerate("abcd")}
+    model = langid.build(samples)
+    assert model.table.nbytes + model.first.nbytes + model.symbol.nbytes < 32 << 20
+    total, _ = langid.bits_by_language(model, [samples["c"][0][100:400]])
+    assert total.argmin() == 2
 
 
 def test_lm_base_score(docs):
