@@ -3,8 +3,8 @@
 A line's key is the line without blanks at its ends and with A-Z lower-cased. Keys of ``min_chars`` code
 points or more that ``min_docs`` documents hold lose their lines in all but the largest doc_id.
 
-Defined results: a null or empty text is one empty line; each row is a document, so rows that repeat a
-doc_id count one by one and keep the line if they hold the largest id; a null doc_id never drops a line and
+Defined results: a null or empty text is one empty line; rows that repeat a doc_id count as one document, and all of
+them keep the line if theirs is the largest id; a row without a doc_id doesn't count, never drops a line and
 never keeps one; an empty table gives an empty result; other columns are left out.
 """
 
@@ -56,9 +56,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
     lines = line_hashes(docs.select("doc_id", "text"), min_chars)
-    common = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Rows of an id count once. By id and line first: a hot line is spread over its ids, and summed before it meets itself.
+    common = lines.distinct().groupBy("h").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     common = staged(common.select("h", "keeper"), "common-lines")  # a staged side lets a hot line's rows be split
-    lost = lines.join(common, "h").where(F.col("doc_id") != F.col("keeper"))
+    lost = lines.join(common, "h").where(F.col("doc_id") != F.col("keeper"))  # ids that repeat give their drops twice
     drops = lost.groupBy("doc_id").agg(F.collect_set("h").alias("drops"))
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +72,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 texts.append(b"\n".join(kept))
                 counts.append(len(lines))
                 gone.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), b.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "row"])
+            columns = [b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), b.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_dropped", "row"])
 
     out = f"doc_id long, text string, n_lines long, n_dropped long, row {docs.schema['row'].dataType.simpleString()}"
     return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "row").mapInArrow(reassemble, out)

@@ -5,7 +5,8 @@ its budget lies the boundary bucket, and only that bucket is split again, three
 left is one threshold for each source, so the final filter compares a hash and nothing is sorted by it.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that
-share an id share a hash and so a fate; sources without words get a target of 0; other columns are left out.
+share an id share a hash and so a fate, and rows without one share that of the empty text; sources without words get
+a target of 0; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -36,19 +37,32 @@ def targets(sizes: DataFrame) -> DataFrame:
     cap over weight, those filled form a prefix, so running sums give the level at once.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (rank - 1) % len(WEIGHTS) + 1)
-    ranked = per.select("source", "source_size", rank.alias("rank"), weight.alias("w"), (F.col("source_size") * F.lit(CAP)).alias("cap"))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("cap") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    run = ranked.select(
-        "*",
-        (F.sum("source_size").over(everything) * F.lit(SHARE) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("left"),
-        (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("left_w"),
-    )
-    full = F.col("left") / F.col("left_w") * F.col("w") >= F.col("cap")
-    level = F.max(F.when(~full, F.col("left") / F.col("left_w"))).over(everything)
-    return run.select("source", "source_size", F.when(full, F.col("cap")).otherwise(level * F.col("w")).alias("target"))
+    ranked, _ = _in_order(per, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    ranked = ranked.select("source", "source_size", "rank", weight.alias("w"), (F.col("source_size") * F.lit(CAP)).alias("cap"))
+    sums = {"caps": F.col("cap"), "weights": F.col("w"), "words": F.col("source_size").cast("double")}
+    run, total = _in_order(ranked, [F.col("cap") / F.col("w"), F.col("rank")], sums, "mix-caps")
+    left = F.lit(total["words"]) * F.lit(SHARE) - F.col("caps")
+    run = run.select("*", (left / (F.lit(total["weights"]) - F.col("weights"))).alias("level"))
+    run = run.select("source", "source_size", "cap", "w", "level", (F.col("level") * F.col("w") >= F.col("cap")).alias("full"))
+    level = run.agg(F.max(F.when(~F.col("full"), F.col("level")))).first()[0]
+    return run.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.lit(level).cast("double") * F.col("w")).alias("target"))
+
+
+def _in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> tuple[DataFrame, dict[str, float]]:
+    """``df`` with each sum over the rows before, and the sums of all.
+
+    Rows are sorted over the cluster by ranges; only the sums of whole ranges, one row a partition, meet in one task.
+    """
+    parts = staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    each = parts.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = each.select(F.col("part").alias("of"), *[F.sum(k).over(before).alias(f"ahead_{k}") for k in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.select("*", *[F.sum(c).over(own).alias(f"own_{k}") for k, c in sums.items()]).join(ahead, F.col("part") == F.col("of"))
+    zero = F.lit(0)
+    out = out.select(*df.columns, *[(F.coalesce(f"own_{k}", zero) + F.coalesce(f"ahead_{k}", zero)).alias(k) for k in sums])
+    return out, {k: v or 0.0 for k, v in each.agg(*[F.sum(k).alias(k) for k in sums]).first().asDict().items()}
 
 
 def thresholds(sizes: DataFrame, aims: DataFrame) -> DataFrame:
@@ -66,8 +80,9 @@ def thresholds(sizes: DataFrame, aims: DataFrame) -> DataFrame:
         over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("budget"))
         edge = over.groupBy("source").agg(F.min(F.struct("bucket", "words", "upto")).alias("edge"))
         joined = st.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
-        spent = F.col("edge.upto") - F.col("edge.words")
-        state = joined.select("s.source", "source_size", "target", "passes", (F.col("budget") - F.coalesce(spent, F.lit(0))).alias("budget"), F.coalesce(F.col("edge.bucket"), F.lit(-1).cast("long")).alias("prefix"), F.coalesce(F.col("edge.words"), F.lit(0)).alias("words"))
+        spent = F.coalesce(F.col("edge.upto") - F.col("edge.words"), F.lit(0))
+        prefix, words = F.coalesce(F.col("edge.bucket"), F.lit(-1).cast("long")), F.coalesce(F.col("edge.words"), F.lit(0))
+        state = joined.select("s.source", "source_size", "target", "passes", (F.col("budget") - spent).alias("budget"), prefix.alias("prefix"), words.alias("words"))
     nearer = F.when((F.col("prefix") >= 0) & (F.col("words") - F.col("budget") < F.col("budget")), 1).otherwise(0)
     return state.select("source", "source_size", "target", "passes", (F.col("prefix") + nearer).alias("threshold"))
 

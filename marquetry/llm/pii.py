@@ -11,10 +11,11 @@ email, ip, card and phone; their spans are those of the leftmost non-overlapping
 
 where a match that fails its check is dropped and not tried again. Beyond them come account (an IBAN that
 passes its check digits), secret (a quoted or bare value of 16 characters or more, with a digit, after a
-cue and = or :) and userinfo (a URL with a name before its host).
+cue and = or :) and userinfo (a URL with a name before its host). Spans of a kind never overlap: each kind goes on
+behind its last match, so a text takes time in proportion to its length.
 
-Defined results: a null text is empty; spans are in code points, end exclusive; repeated rows are judged
-one by one; an empty table gives an empty result; other columns are left out.
+Defined results: a null text is empty; spans are in code points, end exclusive; a null doc_id is kept as it is; repeated
+rows are judged one by one; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def iban(text: str) -> bool:
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in order of their starts."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + EXTRA}
-    email = ip = card = digits = phone = 0  # where the last match of each kind ended
+    email = ip = card = digits = phone = secret = account = userinfo = 0  # where the last match of each kind ended
     for last, (kind, n) in automaton.iter(text):
         if kind == "0":
             if last < digits:
@@ -104,17 +105,21 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
                 if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                     out["phone"].append(m.span())
         elif kind == "c":
-            if (m := _VALUE.match(text, last + 1)) and any(c in "0123456789" for c in m.group(1)):
-                out["secret"].append(m.span(1))
+            if last >= secret and (m := _VALUE.match(text, last + 1)):
+                secret = m.end()  # a part of a value without digits has none either
+                if _DIGIT.search(text, *m.span(1)):
+                    out["secret"].append(m.span(1))
         elif kind == "a":
-            if m := _IBAN.match(text, last + 1):
+            if last >= account and (m := _IBAN.match(text, last + 1)):
                 parts = m.group(1)
                 for size in range(len(parts), 14, -1):  # the account ends where its check digits hold
                     if parts[size - 1] != " " and iban(parts[:size]):
-                        out["account"].append((m.start(1), m.start(1) + size))
+                        account = m.start(1) + size
+                        out["account"].append((m.start(1), account))
                         break
-        elif m := _USERINFO.match(text, last + 1):
-            out["userinfo"].append((last + 1 - n, m.end()))
+        elif last >= userinfo and (m := _USERINFO.match(text, last + 1)):
+            userinfo = m.end()
+            out["userinfo"].append((last + 1 - n, userinfo))
     return out
 
 
@@ -123,20 +128,23 @@ def spans_text(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row, counts of the other kinds, and ``n_spans`` of all."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in EXTRA), "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
         for b in batches:
             found = [find_spans(t or "", automaton) for t in b.column(1).to_pylist()]
-            counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE]
-            sha = [hashlib.sha256(spans_text(f, BASE).encode()).hexdigest() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sha, pa.string()), pa.array([spans_text(f, BASE + EXTRA) for f in found], pa.string())], names)
+            base, extra = ([pa.array([len(f[k]) for f in found], pa.int64()) for k in kinds] for kinds in (BASE, EXTRA))
+            total = pa.array([sum(map(len, f.values())) for f in found], pa.int64())
+            sha = pa.array([hashlib.sha256(spans_text(f, BASE).encode()).hexdigest() for f in found], pa.string())
+            spans = pa.array([spans_text(f, BASE + EXTRA) for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *base, sha, spans, *extra, total], names)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return out.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    kinds = dict.fromkeys(names, "long") | {"base_sha256": "string", "spans": "string"}
+    return out.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def mask(text: str, found: dict[str, list[tuple[int, int]]]) -> str:

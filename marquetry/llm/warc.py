@@ -11,9 +11,10 @@ Equal payloads are found by digest before anything is written: that with the lar
 others revisit it. An archive is written under a name of its own and counts only if a row of the committed
 location table names it, so a task that is run again leaves no half a record behind.
 
-Defined results: null html is the empty payload, a null url the empty key; records with equal page_ids
-keep apart by their place; a null page_id is never one to refer to unless all are null; an empty table gives
-an empty archive; other columns are left out.
+Defined results: null html is the empty payload, a null url the empty key; of equal payloads in rows of one page_id, or
+of none, each row with the largest id is a response; records keep apart by their place, so each row comes back once; a null
+page_id is never one to refer to, and with none but such every one is a response; an empty table gives an empty
+archive; other columns are left out.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def _named(value: str | None) -> int | None:
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """Any store that Arrow knows; the driver and the executors see the same folder there."""
+    """Any store that Arrow knows, under Hadoop's names for it too; the driver and the executors see the same folder there."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
     if path.startswith("file:"):
