@@ -56,21 +56,52 @@ def drop_scratch() -> None:
     """Deletes this driver's tables in the shared folder; results that still read them are lost. Runs when the driver ends."""
     spark = SparkSession.getActiveSession()
     while spark is not None and _SCRATCH:
-        with contextlib.suppress(Exception):  # the session may have ended
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _SCRATCH.pop())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `staged` wrote and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    """Writes a table; the shuffle files behind it are dropped at once, as nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    write_parquet(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, which Python workers hold whole."""
+    """Bound the rows of an Arrow batch, which Python workers hold whole; Spark bounds its bytes.
+
+    The session's setting stays, as an operator's plan reads it when it runs, which is after the operator returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, staged
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,24 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return staged(edges.groupBy("u").agg(F.min("v").alias("m")), "star-min")
 
 
+def _next(edges: DataFrame, least: DataFrame, made: DataFrame, name: str) -> DataFrame:
+    out = staged(made.distinct(), name)
+    drop(edges, least)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _lowest(both)
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    made = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _next(edges, least, made.where(F.col("u") != F.col("v")), "large-star")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
     least = _lowest(down)
     moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    return _next(edges, least, moved.unionByName(least.select("u", F.col("m").alias("v"))), "small-star")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,8 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = staged(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = staged(_large_star(edges).where(F.col("u") != F.col("v")).distinct(), "large-star")
-        edges = staged(_small_star(edges).distinct(), "small-star")
+        edges = _small_star(_large_star(edges))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
