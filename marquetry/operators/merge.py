@@ -1,13 +1,15 @@
 """Scored field merge: candidates of an entity are aggregated to one record with its provenance.
 
 Folding records one after another, where a candidate replaces the winner if its score is no lower, ends
-with the greatest (score, arrival) among the values that aren't null. So a merge is one aggregation of
-struct maxima: it combines before the shuffle, and a hot entity costs no more than its rows.
+with the greatest (score, arrival) among the values that aren't null. So a merge is one aggregation of maxima of
+numbers that hold both: it is hashed, it combines before the shuffle, and neither texts nor the printed
+reasons of losers move. The records that won something are then looked up by entity and arrival.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +42,49 @@ def scored(field: str, source: Column, bonus: Column) -> Scored:
     return score_bool(source, value, bonus)
 
 
-def winner(value: Column, score: Column, seq: Column, *more: Column) -> Column:
-    """The candidate with the greatest score, the later of equal ones; null values are none."""
-    return F.max(F.when(value.isNotNull(), F.struct(score.alias("score"), seq.alias("seq"), value.alias("value"), *more)))
+_SCALE, _ROOM = float(1 << 60), 1 << 64
+
+
+def _whole(x: int) -> Column:
+    return F.lit(Decimal(x)).cast("decimal(20,0)")
+
+
+def standing(value: Column, score: Column, seq: Column) -> Column:
+    """Score and arrival as one number in their order; null values have none.
+
+    A score below 4 times 2 to the 60th is a whole number that fits a long, and exact from 2 to the -8th up.
+    """
+    high = (score * F.lit(_SCALE)).cast("long").cast("decimal(19,0)") * _whole(_ROOM)
+    return F.when(value.isNotNull(), (high + seq.cast("decimal(20,0)") + _whole(_ROOM // 2)).cast("decimal(38,0)"))
+
+
+def arrival(number: Column) -> Column:
+    return (F.pmod(number, _whole(_ROOM)) - _whole(_ROOM // 2)).cast("long")
 
 
 def merge_fields(records: DataFrame, entity: str = "entity", seq: str = "seq") -> DataFrame:
-    """One row for each entity: ``media_kind``, ``provider_rating``, and a struct of value, score and origin for each field."""
+    """One row for each entity: ``media_kind``, ``provider_rating``, and a struct of value, score and origin for each field.
+
+    ``seq`` is unique within an entity.
+    """
     rows = records.withColumn("_origin", origin()).withColumn("_bonus", consistency_of_record())
-    aggs = [F.min_by("media_kind", seq).alias("media_kind"), F.max("provider_rating").alias("provider_rating")]
-    for f in FIELDS:
-        s = scored(f, F.col("_origin.source"), F.col("_bonus"))
-        more = (F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id"), s.reason.alias("reason"))
-        aggs.append(winner(F.col(f), s.total, F.col(seq), *more).alias(f))
-    return rows.groupBy(entity).agg(*aggs)
+    parts = {f: scored(f, F.col("_origin.source"), F.col("_bonus")) for f in FIELDS}
+    best = rows.groupBy(entity).agg(
+        F.min(seq).alias("_first"), F.max("provider_rating").alias("_rating"), *[F.max(standing(F.col(f), parts[f].total, F.col(seq))).alias(f) for f in FIELDS]
+    )
+    # Which records won which fields, as bits; the last bit is for the first record, of which the kind is.
+    won = [F.struct(arrival(F.col(f)).alias(seq), F.lit(1 << i).cast("long").alias("bit")) for i, f in enumerate(FIELDS)]
+    won.append(F.struct(F.col("_first").alias(seq), F.lit(1 << len(FIELDS)).cast("long").alias("bit")))
+    won = best.select(entity, "_rating", F.explode(F.array(*won)).alias("w")).where(F.col(f"w.{seq}").isNotNull())
+    won = won.groupBy(entity, f"w.{seq}").agg(F.bit_or("w.bit").alias("_won"), F.first("_rating").alias("_best_rating"))
+    found = rows.join(won, [entity, seq])
+    has = lambda i: F.col("_won").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    aggs = [F.max(F.when(has(len(FIELDS)), F.col("media_kind"))).alias("media_kind"), F.max("_best_rating").alias("provider_rating")]
+    for i, f in enumerate(FIELDS):
+        more = (F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id"), parts[f].reason.alias("reason"))
+        one = F.struct(parts[f].total.alias("score"), F.col(seq).alias("seq"), F.col(f).alias("value"), *more)
+        aggs.append(F.max(F.when(has(i), one)).alias(f))
+    return found.groupBy(entity).agg(*aggs)
 
 
 def media_rows(merged: DataFrame, entity: str = "entity") -> DataFrame:

@@ -93,9 +93,9 @@ def merge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows first, then the rest: the same winners as one merge of all."""
     rows = records(spark, sf_dir)
-    first = merge.merge_fields(rows.where("seq < 500"))
+    first = merge.merge_fields(rows.where("seq % 5 < 3"))
     stored, kept = merge.media_rows(first).withColumnRenamed("entity", "media_id"), merge.provenance_rows(first).withColumnRenamed("entity", "media_id")
-    both = merge.upsert_fields(stored, kept, rows.where("seq >= 500").withColumnRenamed("entity", "media_id"))
+    both = merge.upsert_fields(stored, kept, rows.where("seq % 5 >= 3").withColumnRenamed("entity", "media_id"))
     return both.select(F.col("media_id").alias("entity"), "media_kind", "provider_rating", F.col("synopsis.value").alias("synopsis"), F.round("synopsis.score", 6).alias("synopsis_score"), F.col("episodes.value").alias("episodes"), F.col("nsfw.value").alias("nsfw"))
 
 
@@ -133,8 +133,10 @@ def merged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upsert_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events: odd ones and all views come in, the others are there, so keys are old, new, and both."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "props")
-    old, new = (merge.last_wins(e.where(w), ["user_id", "event_type"], "event_id") for w in ("event_id % 100 < 3", "event_id % 100 = 50"))
+    comes = (F.col("event_id") % 2 == 1) & (F.col("event_type") != "click") | (F.col("event_type") == "view")
+    old, new = (merge.last_wins(e.where(w), ["user_id", "event_type"], "event_id") for w in (~comes, comes))
     return merge.keyed_upsert(old, new, ["user_id", "event_type"])
 
 
@@ -169,7 +171,7 @@ def episode_lookup_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def episode_lookup_se(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.by_season(episodes.merge_catalog(episode_rows(spark, sf_dir)), 7, 1, 5).select("media_id", "episode_key", "title_display")
+    return episodes.by_season(episodes.merge_catalog(episode_rows(spark, sf_dir)), 1, 1, 2).select("media_id", "episode_key", "title_display")
 
 
 @query
@@ -265,15 +267,16 @@ def included_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def coalesced_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of even numbers against those of odd ones."""
     rows = episode_rows(spark, sf_dir)
-    a, b = rows.where("seq % 50 = 0"), rows.where("seq % 50 = 1")
+    a, b = rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
     out = a.alias("a").join(b.alias("b"), (F.col("a.media_id") == F.col("b.media_id")) & episodes.same_numbers("a", "b"))
     return out.select(F.col("a.seq").alias("a_seq"), F.col("b.seq").alias("b_seq"))
 
 
 @query
 def multi_source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 40 = 0").groupBy("user_id")
+    e = table(spark, sf_dir, "events").groupBy("user_id")
     out = e.agg(F.countDistinct("event_type").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("sources"))
     return out.where("n_sources >= 2")
 
@@ -339,7 +342,7 @@ def trending_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recommendations_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of an item's edges; null nodes are dropped."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    lines = table(spark, sf_dir, "lineitem")
     edges = lines.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") > 1, F.col("l_partkey"))).alias("edges"))
     return edges.select("l_orderkey", F.explode("edges").alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
@@ -347,7 +350,7 @@ def recommendations_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def related_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of related items, flattened."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list("l_partkey")).alias("entry"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list("l_partkey")).alias("entry"))
     groups = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_returnflag", "entry"))).alias("relations"))
     flat = F.flatten(F.transform("relations", lambda g: g["entry"]))
     return groups.select("l_orderkey", F.array_join(flat, ",").alias("related"))
@@ -369,7 +372,7 @@ def adult_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    english, romaji, native = F.when(i % 3 == 0, F.substring("text", 1, 10)), F.when(i % 3 == 1, F.substring("text", 11, 10)), F.substring("text", 21, 10)
+    english, romaji, native = F.when(i % 3 == 0, F.col("text")), F.when(i % 3 == 1, F.col("lang")), F.col("source")
     return d.select("doc_id", F.coalesce(english, romaji, native).alias("title_display"), S.lower_ascii(F.upper("source")).alias("season"), S.year_of(F.concat(F.lit(1950) + i % 70, F.lit("-01-20"))).alias("season_year"), F.concat(F.lit("https://www.imdb.com/title/tt"), i.cast("string")).alias("url"), F.to_json(F.struct("doc_id", "lang")).alias("raw_json"))
 
 
@@ -386,7 +389,7 @@ def normalize_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.text_completeness(v), 6).alias("completeness"), F.round(scoring.text_quality(v, True), 6).alias("synopsis_quality"), F.round(scoring.text_quality(F.substring(v, 1, 60), False), 6).alias("title_quality"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.text_completeness(v), 6).alias("completeness"), F.round(scoring.text_quality(v, True), 6).alias("synopsis_quality"), F.round(scoring.text_quality(v, False), 6).alias("title_quality"))
 
 
 @query
@@ -424,7 +427,7 @@ def payload_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.first_search_token(F.substring("text", 1, 40)).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.first_search_token(F.col("text")).alias("token"))
 
 
 @query

@@ -102,7 +102,7 @@ SQL["merge_upsert_stored"] = f"""WITH {RECORDS_SQL}, {_ENTITIES}, {', '.join(map
 a AS (SELECT entity, arg_min(media_kind, seq) AS media_kind, max(provider_rating) AS provider_rating FROM c GROUP BY entity)
 SELECT a.entity, a.media_kind, a.provider_rating, s.v AS synopsis, round(s.s, 6) AS synopsis_score, p.v AS episodes, n.v AS nsfw
 FROM a LEFT JOIN w_synopsis s USING (entity) LEFT JOIN w_episodes p USING (entity) LEFT JOIN w_nsfw n USING (entity)"""
-_ALIASES = f"""al AS (SELECT doc_id % 250 AS entity, doc_id AS seq, unnest([substr(text, 1, 12), source, upper(source)]) AS v, unnest([0, 1, 2]) AS pos FROM documents)"""
+_ALIASES = f"""al AS (SELECT doc_id // 5 AS entity, doc_id AS seq, unnest([substr(text, 1, 12), source, upper(source)]) AS v, unnest([0, 1, 2]) AS pos FROM documents)"""
 SQL["ordered_ci_union"] = f"""WITH {_ALIASES}, k AS (SELECT entity, {low('v')} AS k, min((seq, pos, v)) AS m FROM al GROUP BY entity, {low('v')})
 SELECT entity, string_agg(m[3], '|' ORDER BY m[1], m[2]) AS aliases FROM k GROUP BY entity"""
 _NORM = lambda v: rf"array_to_string(list_filter(string_split_regex(regexp_replace({low(v)}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> ''), ' ')"
@@ -117,7 +117,8 @@ SQL["payload_last_wins"] = f"{_EV} {_KEYED.format('DESC')}"
 SQL["stream_replay"] = SQL["payload_last_wins"]
 SQL["merged_external_ids"] = f"WITH {RECORDS_SQL} SELECT entity, media_kind, src AS source, seq::VARCHAR AS source_id FROM c"
 SQL["merged_payloads"] = f"""WITH {RECORDS_SQL} SELECT entity, src AS source, seq::VARCHAR AS source_id, '{{"n":' || n_chars || '}}' AS raw_json, strlen('{{"n":' || n_chars || '}}')::VARCHAR AS payload_hash FROM c"""
-SQL["upsert_full_outer"] = f"""WITH o AS ({_EV} WHERE event_id % 100 < 3 {_KEYED.format('DESC')}), n AS ({_EV} WHERE event_id % 100 = 50 {_KEYED.format('DESC')})
+_COMES = "(event_id % 2 = 1 AND event_type <> 'click' OR event_type = 'view')"
+SQL["upsert_full_outer"] = f"""WITH o AS ({_EV} WHERE NOT {_COMES} {_KEYED.format('DESC')}), n AS ({_EV} WHERE {_COMES} {_KEYED.format('DESC')})
 SELECT user_id, event_type, CASE WHEN n.event_id IS NULL THEN o.event_id ELSE n.event_id END AS event_id, CASE WHEN n.event_id IS NULL THEN o.props ELSE n.props END AS props
 FROM o FULL OUTER JOIN n USING (user_id, event_type)"""
 SQL["replace_children"] = """WITH n AS (SELECT l_orderkey, l_linenumber, l_quantity + 1 AS l_quantity FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <= 2)
@@ -135,7 +136,7 @@ SELECT media_id, number, arg_max(source, rank * 1000000000000 + seq) AS source,
 {', '.join(_BEST(f, '') for f in ('episode_number', 'absolute_number', 'title_display', 'synopsis', 'air_date', 'runtime_minutes'))} FROM k WHERE number IS NOT NULL GROUP BY media_id, number"""
 SQL["episode_back_reference"] = f"WITH {EPISODES_SQL} SELECT media_id, source, source_id, {_KEY} AS episode_key FROM ep"
 SQL["episode_lookup_abs"] = f"{_CATALOG} SELECT media_id, episode_key, title_display FROM m WHERE media_id = 7 AND absolute_number = 5"
-SQL["episode_lookup_se"] = f"{_CATALOG} SELECT media_id, episode_key, title_display FROM m WHERE media_id = 7 AND season_number = 1 AND episode_number = 5"
+SQL["episode_lookup_se"] = f"{_CATALOG} SELECT media_id, episode_key, title_display FROM m WHERE media_id = 1 AND season_number = 1 AND episode_number = 2"
 SQL["episode_order"] = f"{_CATALOG} SELECT episode_key, season_number, episode_number, absolute_number FROM m WHERE media_id = 7"
 SQL["source_episode_order"] = f"WITH {EPISODES_SQL} SELECT source, source_id, absolute_number FROM ep WHERE media_id = 7"
 SQL["document_nest"] = "SELECT conv_id AS media_id, count(*)::INT AS n_episodes, string_agg(turn || ':' || role, ',' ORDER BY turn) AS episodes FROM conversations GROUP BY conv_id"
@@ -156,8 +157,8 @@ SQL["hash_join_episode"] = "SELECT l_orderkey, l_linenumber, p_partkey, p_name,
 SQL["json_key_join"] = "SELECT event_id, s_suppkey, s_name FROM events JOIN supplier ON s_suppkey = TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL["included_lookup"] = "SELECT l_orderkey, string_agg(s_name, ',' ORDER BY l_linenumber, s_name) AS names FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey"
 _SAME = " AND ".join(f"coalesce(a.{n}, 0) = coalesce(b.{n}, 0)" for n in ("season_number", "episode_number", "absolute_number"))
-SQL["coalesced_key_join"] = f"WITH {EPISODES_SQL} SELECT a.seq AS a_seq, b.seq AS b_seq FROM ep a JOIN ep b ON a.media_id = b.media_id AND {_SAME} WHERE a.seq % 50 = 0 AND b.seq % 50 = 1"
-SQL["multi_source_entities"] = "SELECT user_id, count(DISTINCT event_type) AS n_sources, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM events WHERE event_id % 40 = 0 GROUP BY user_id HAVING count(DISTINCT event_type) >= 2"
+SQL["coalesced_key_join"] = f"WITH {EPISODES_SQL} SELECT a.seq AS a_seq, b.seq AS b_seq FROM ep a JOIN ep b ON a.media_id = b.media_id AND {_SAME} WHERE a.seq % 2 = 0 AND b.seq % 2 = 1"
+SQL["multi_source_entities"] = "SELECT user_id, count(DISTINCT event_type) AS n_sources, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 2"
 SQL["rows_by_source"] = "SELECT source, count(*) AS n_rows, count(DISTINCT lang) AS n_kinds FROM documents GROUP BY source"
 SQL["rows_with_payload"] = "SELECT count(*) AS n_rows, count(*) FILTER (contains(props, '1')) AS n_ones, count(DISTINCT user_id) AS n_entities, sum(strlen(props))::BIGINT AS n_bytes FROM events"
 SQL["distinct_media"] = "SELECT DISTINCT user_id AS media_id FROM events"
@@ -169,18 +170,18 @@ SQL["paged_scan"] = f"SELECT media_id, media_kind FROM ({_MEDIA}) ORDER BY media
 SQL["limit_then_filter"] = f"SELECT media_id, format FROM (SELECT * FROM ({_MEDIA}) ORDER BY media_id LIMIT 50) WHERE {up('format')} = 'SRC1'"
 SQL["substring_search"] = f"SELECT p_partkey, p_name FROM part WHERE contains({low('p_name')}, 're') ORDER BY p_partkey LIMIT 25"
 SQL["trending_topk"] = "SELECT l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_partkey ORDER BY quantity DESC, l_partkey LIMIT 50"
-SQL["recommendations_explode"] = "SELECT l_partkey AS node, count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 AND l_linenumber > 1 GROUP BY l_partkey"
-SQL["related_flatten"] = "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_returnflag, l_partkey) AS related FROM lineitem WHERE l_orderkey <= 2000 GROUP BY l_orderkey"
+SQL["recommendations_explode"] = "SELECT l_partkey AS node, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_partkey"
+SQL["related_flatten"] = "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_returnflag, l_partkey) AS related FROM lineitem GROUP BY l_orderkey"
 SQL["kind_map"] = "SELECT * FROM (SELECT p_partkey, CASE WHEN p_partkey % 8 < 3 THEN 'movie' WHEN p_partkey % 8 < 6 THEN 'show' END AS kind FROM part) WHERE kind IS NOT NULL"
 SQL["adult_flag"] = "SELECT p_partkey, p_partkey % 5 < 2 AND p_partkey % 11 <> 0 AS nsfw FROM part"
-SQL["canonical_projection"] = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 10) WHEN 1 THEN substr(text, 11, 10) ELSE substr(text, 21, 10) END AS title_display,
+SQL["canonical_projection"] = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN lang ELSE source END AS title_display,
 {low('upper(source)')} AS season, (1950 + doc_id % 70)::INT AS season_year, 'https://www.imdb.com/title/tt' || doc_id AS url, '{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}' AS raw_json FROM documents"""
 _STRIPPED = "html"
 for _tag, _to in (("<p>", "''"), ("</p>", "''"), ("<br>", "chr(10)"), ("<br/>", "chr(10)"), ("<b>", "''"), ("</b>", "''"), ("<i>", "''"), ("</i>", "''")):
     _STRIPPED = f"replace({_STRIPPED}, '{_tag}', {_to})"
 SQL["strip_html"] = f"SELECT page_id, trim({_STRIPPED}, {WS}) AS synopsis FROM pages"
 SQL["normalize_lookup"] = f"SELECT doc_id, {_NORM('text')} AS normalized FROM documents"
-SQL["text_scores"] = f"SELECT doc_id, round({_COMPLETE('text')}, 6) AS completeness, round({_quality('text', True)}, 6) AS synopsis_quality, round({_quality('substr(text, 1, 60)', False)}, 6) AS title_quality FROM documents"
+SQL["text_scores"] = f"SELECT doc_id, round({_COMPLETE('text')}, 6) AS completeness, round({_quality('text', True)}, 6) AS synopsis_quality, round({_quality('text', False)}, 6) AS title_quality FROM documents"
 SQL["cover_scores"] = f"WITH u AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.webp' ELSE '/Extra' END AS u FROM pages) SELECT page_id, round({_cover('u')}, 6) AS quality FROM u"
 SQL["consistency_scores"] = f"WITH {RECORDS_SQL} SELECT seq, round(bonus, 6) AS bonus FROM c"
 SQL["source_weights"] = f"WITH {EPISODES_SQL} SELECT source, MAP {{'anilist': 0.9, 'jikan': 0.76, 'kitsu': 0.78, 'tvmaze': 0.82, 'imdb': 0.85}}[source]::DOUBLE AS weight, max(rank)::INT AS rank FROM ep GROUP BY source"
@@ -188,7 +189,7 @@ SQL["year_prefix"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN year
 SQL["null_marker"] = """SELECT event_id, CASE event_id % 4 WHEN 2 THEN event_id || 'x' WHEN 3 THEN event_id::VARCHAR END AS text_value, CASE WHEN event_id % 4 = 3 THEN event_id::INT END AS int_value,
 CASE WHEN event_id % 4 = 3 AND event_id > 0 THEN event_id::INT END AS positive_value FROM events"""
 SQL["payload_len"] = "SELECT doc_id, strlen(text)::VARCHAR AS payload_hash FROM documents"
-SQL["first_token"] = r"SELECT doc_id, coalesce(list_filter(string_split_regex(substr(text, 1, 40), '\s+'), lambda x: length(x) >= 3)[1], substr(text, 1, 40)) AS token FROM documents"
+SQL["first_token"] = r"SELECT doc_id, coalesce(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 3)[1], text) AS token FROM documents"
 SQL["alias_list"] = f"""WITH a AS (SELECT p_partkey, unnest([p_brand, lower(p_brand), p_type, upper(p_type)]) AS v, unnest([1, 2, 3, 4]) AS i FROM part WHERE true),
 k AS (SELECT p_partkey, min((i, v)) AS m FROM a GROUP BY p_partkey, {low('v')}) SELECT p_partkey, string_agg(m[2], ' ' ORDER BY m[1]) AS aliases FROM k GROUP BY p_partkey"""
 SQL["union_skip_failures"] = "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')"

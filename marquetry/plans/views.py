@@ -15,18 +15,22 @@ _BY_EVENT = {"click": "anilist", "error": "jikan", "purchase": "kitsu", "signup"
 
 
 def source_by_turn(doc_id: str = "doc_id") -> Column:
-    turn = (F.floor(F.col(doc_id) / 250) % len(_BY_TURN)).cast("int")
+    turn = (F.col(doc_id) % len(_BY_TURN)).cast("int")
     return F.element_at(F.array(*map(F.lit, _BY_TURN)), turn + 1)
 
 
+def entity_of(doc_id: str = "doc_id") -> Column:
+    return F.floor(F.col(doc_id) / len(_BY_TURN)).cast("long")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as canonical records: 250 entities, each seen by several sources one after another."""
+    """Documents as canonical records: each entity is seen by all sources one after another."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i, source = F.col("doc_id"), source_by_turn()
     title = F.when(i % 7 != 0, F.substring("text", 1, 60))
     ids = F.struct(source.alias("source"), i.cast("string").alias("source_id"), F.lit(None).cast("string").alias("url"))
     return d.select(
-        (i % 250).alias("entity"),
+        entity_of().alias("entity"),
         i.alias("seq"),
         source.alias("source"),
         F.col("lang").alias("media_kind"),
@@ -55,7 +59,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS_SQL = """
 cand AS (
-  SELECT doc_id % 250 AS entity, doc_id AS seq, ['anilist','jikan','kitsu','tvmaze','imdb'][(doc_id // 250) % 5 + 1] AS src,
+  SELECT doc_id // 5 AS entity, doc_id AS seq, ['anilist','jikan','kitsu','tvmaze','imdb'][doc_id % 5 + 1] AS src,
          lang AS media_kind, source AS format, text AS full_text, n_chars,
          CASE WHEN doc_id % 7 <> 0 THEN substr(text, 1, 60) END AS title_display,
          CASE WHEN doc_id % 4 = 0 THEN substr(text, 5, 30) END AS title_romaji,

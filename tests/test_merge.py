@@ -151,3 +151,46 @@ def test_components_equal_union_find(spark, seed):
         parent[max(a, b)] = min(a, b)
     got = {x["seq"]: x["component"] for x in identity.components(ids_frame(spark, rows)).collect()}
     assert got == {i: find(i) for i in range(70)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_replay_equals_one_record_after_another(spark, seed):
+    """Random ids, with and without conflicts: settled components and replayed ones give what a plain loop gives."""
+    r = random.Random(seed)
+    rows, most = [], (25, 60, 200, 400)[seed]
+    for i in range(80):
+        kind = r.choice(("anime", "show"))
+        for p in range(r.randrange(1, 4)):
+            rows.append((i, kind, p, f"s{r.randrange(3)}", str(r.randrange(most))))
+    owner, held, want = {}, {}, {}
+    for i in range(80):
+        ids = list(dict.fromkeys((k, s, v) for q, k, _, s, v in rows if q == i))
+        found = [owner[x] for x in ids if x in owner]
+        media = found[0] if found else i
+        own = dict(held.get(media, {}))
+        status = "conflict" if len(set(found)) > 1 else "updated" if found else "inserted"
+        if status != "conflict" and any(own.setdefault(s, v) != v for _, s, v in ids):
+            status = "duplicate_source"
+        want[i] = (media if status in ("inserted", "updated") else None, status)
+        if want[i][0] is not None:
+            owner.update(dict.fromkeys(ids, media))
+            held[media] = own
+    ids = ids_frame(spark, rows)
+    component = identity.components(ids)
+    got = {x["seq"]: (x["media_id"], x["status"]) for x in identity.replay(ids, component).collect()}
+    assert got == want
+    sizes = {x["component"]: x["n_rows"] for x in identity.large_components(component, 3).collect()}
+    assert all(n > 3 for n in sizes.values()) and (seed > 1 or sizes)
+
+
+def test_merge_is_hashed_and_moves_no_text(spark):
+    """The aggregation that meets all records has numbers only."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 1)], "entity long, seq long").withColumns({f: F.lit(None).cast("string") for f in merge.TEXT_FIELDS + merge.IMAGE_FIELDS})
+    rows = rows.withColumns({f: F.lit(None).cast("int") for f in merge.INT_FIELDS}).withColumn("nsfw", F.lit(True)).withColumn("provider_rating", F.lit(0.5)).withColumn("media_kind", F.lit("anime"))
+    ids = "array<struct<source:string,source_id:string>>"
+    rows = rows.withColumn("external_ids", F.array().cast(ids)).withColumn("source_payloads", F.array().cast(ids))
+    plan = merge.merge_fields(rows)._jdf.queryExecution().sparkPlan().toString()
+    first = plan[plan.rindex("HashAggregate(keys=[entity"):]
+    assert "SortAggregate" not in first and "partial_max" in first and "reason" not in first
