@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import small_batches, staged, tidied
 from .linededup import as_bytes
 
 LENGTH = 100
@@ -34,7 +34,7 @@ GRAM = 36
 #: Bytes of text whose triggers are sought at once; phrases of a block; bytes of a dictionary block.
 PIECE = 1 << 20
 BLOCK = 400_000
-DICTIONARY = 2 << 20
+DICTIONARY = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _OTHER = 0xC2B2AE3D27D4EB4F
@@ -358,10 +358,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``doc, tie, start, n`` of rows ``doc, tie, text``: spans of -n bytes that repeat earlier ones; they may overlap."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc", "tie", "text")
-    found = staged(_sorted_by_key(docs.mapInArrow(_file_phrases(length, gram), _FILED)).mapInArrow(_resolve(length, True), _PLACE), "spans-phrases")
+    found = staged(_sorted_by_key(docs.mapInArrow(tidied(_file_phrases(length, gram)), _FILED)).mapInArrow(tidied(_resolve(length, True)), _PLACE), "spans-phrases")
     near = found.where("n > 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    strings = docs.join(near, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_close_look(length), _FILED)
-    more = staged(_sorted_by_key(strings).mapInArrow(_resolve(length, False), _PLACE), "spans-strings")
+    strings = docs.join(near, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(tidied(_close_look(length)), _FILED)
+    more = staged(_sorted_by_key(strings).mapInArrow(tidied(_resolve(length, False)), _PLACE), "spans-strings")
     return found.where("n < 0").unionByName(more)
 
 
@@ -389,7 +389,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     """``doc_id, kept`` (binary), ``n_bytes, n_removed, n_spans`` of each row."""
     docs, ties = _identified(docs)
     spans = repeated_spans(docs, length, gram).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    out = docs.join(spans, ["doc", "tie"], "left").select("doc", "tie", "doc_id", "text", "spans").mapInArrow(_cut, f"doc long, tie long, {_OUT}")
+    out = docs.join(spans, ["doc", "tie"], "left").select("doc", "tie", "doc_id", "text", "spans").mapInArrow(tidied(_cut), f"doc long, tie long, {_OUT}")
     names = [x.split()[0] for x in _OUT.split(", ")]
     if not ties:
         return out.select(names)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +92,16 @@ def write_parquet(df: DataFrame, path: str) -> None:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Any store that Arrow knows, under Hadoop's names for it too; the driver and the executors see the same folder there."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
@@ -105,6 +119,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for `mapInArrow`, with memory given back at its end: Python workers live on, and would keep it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,20 +1,23 @@
 """Benchmark decontamination: an FM-index of each shard of training text, searched backwards for benchmark windows.
 
-A shard is some MB of documents as a sequence of word numbers. Words that no window of the block has are
+A shard is SHARD words of documents as a sequence of word numbers; a text that goes on beyond it is continued in the next, which
+overlaps it by a window. Words that no window of the block has are
 only separators, and runs too short for any window are left out; what remains gets a suffix array by prefix
 doubling, its Burrows-Wheeler transform, and a wavelet tree over that. All windows are searched backwards at
 once by wavelet ranks; their rows walk back to the next sampled suffix position, which locates them.
-Benchmark windows come in blocks of bounded size; with several blocks, each passes over the documents
-in turn and adds its spans to those of the ones before.
+
+Benchmark windows come in blocks of bounded size, one after another through the driver into files of the shared folder. Workers
+hold one block at a time, and take a group of documents through all blocks in one pass.
 
 Defined results: null texts and items have no words; an item shorter than a window is one window; equal
-windows of several items count for each; repeated rows are judged one by one; empty tables give no hits;
-other columns are left out.
+windows of several items count for each, and items without an id are one item; a null doc_id is kept as it is; repeated rows
+are judged one by one; empty tables give no hits; other columns are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytespans import Rolling, merged
-from .common import carried, small_batches
+from .common import carried, filesystem, fresh_path, small_batches, tidied
 from .linededup import as_bytes
 
 WINDOW = 10
-#: Windows searched in one pass; bytes of text and of a tokeniser's piece in a shard; distance of sampled suffixes.
-BLOCK = 200_000
-SHARD = 2 << 20
+#: Windows of a block; words of a shard; bytes of texts searched together and of a tokeniser's piece; distance of sampled suffixes.
+BLOCK = 100_000
+SHARD = 400_000
+GROUP = 2 << 20
 PIECE = 1 << 19
 SAMPLE = 8
 
@@ -77,10 +81,9 @@ class Patterns:
         order = np.argsort(hashes)
         self.hashes, self.words = hashes[order], [vocabulary[i] for i in order]
         number = {w: i + 2 for i, w in enumerate(self.words)}
-        self.windows = list(windows)
-        self.lengths = np.array([len(k) for k in self.windows])
-        self.codes = np.zeros((len(self.windows), int(self.lengths.max())), np.int64)
-        for i, k in enumerate(self.windows):
+        self.lengths = np.array([len(k) for k in windows])
+        self.codes = np.zeros((len(windows), int(self.lengths.max())), np.int64)
+        for i, k in enumerate(windows):
             self.codes[i, : len(k)] = [number[w] for w in k]
         names = sorted({x for v in windows.values() for x in v})
         place = {x: i for i, x in enumerate(names)}
@@ -100,7 +103,7 @@ def item_windows(rows: Iterable, window: int = WINDOW) -> Iterator[tuple[tuple[b
         data = bytes(_LOWER[np.frombuffer(data, np.uint8)])
         words = [data[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            yield tuple(words[i : i + window]), str(item)
+            yield tuple(words[i : i + window]), "" if item is None else str(item)
 
 
 def pattern_blocks(rows: Iterable, window: int = WINDOW, block: int = BLOCK) -> Iterator[Patterns]:
@@ -229,35 +232,75 @@ def occurrences(p: Patterns, numbers: np.ndarray, breaks: np.ndarray) -> tuple[n
     return np.repeat(found, n), origin[index.locate(rows)]
 
 
-def search_shard(p: Patterns, texts: list[bytes], window: int) -> list[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: words, items found, spans of hit words as word numbers, and the words' places."""
-    each = [words_of(t) for t in texts]
-    sizes = np.array([len(e[0]) for e in each])
+class Found:
+    """What a text has: the words it was cut into, the items found, and spans of hit words by their numbers."""
+
+    def __init__(self, text: bytes) -> None:
+        self.text = text
+        self.start, self.end, self.hashes = words_of(text)
+        self.items: set[str] = set()
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, p: Patterns, patterns: np.ndarray, words: np.ndarray) -> None:
+        """Occurrences of a block's patterns at those words, each held against the text itself."""
+        low = bytes(_LOWER[np.frombuffer(self.text, np.uint8)])
+        held = lambda k, a: all(low[self.start[a + j] : self.end[a + j]] == p.words[c - 2] for j, c in enumerate(p.codes[k, : p.lengths[k]].tolist()))
+        same = [held(k, a) for k, a in zip(patterns.tolist(), words.tolist(), strict=True)]
+        patterns, words = patterns[same], words[same]
+        self.items.update(p.names[x] for k in np.unique(patterns) for x in p.items[k])
+        self.first, self.last = merged(np.append(self.first, words), np.append(self.last, words + p.lengths[patterns]))
+
+    def spans(self) -> list[dict]:
+        """first and last number words, start and end bytes; last and end are exclusive."""
+        return [{"first": a, "last": z, "start": int(self.start[a]), "end": int(self.end[z - 1])} for a, z in zip(self.first.tolist(), self.last.tolist(), strict=True)]
+
+
+def search_block(p: Patterns, each: list[Found], shard: int = SHARD) -> None:
+    """Adds to the texts what the block's windows find, shard by shard."""
+    sizes = np.array([len(f.hashes) for f in each])
     base = np.cumsum(sizes) - sizes
-    hashes = np.concatenate([e[2] for e in each]) if each else np.zeros(0, np.uint64)
-    pattern, word = occurrences(p, p.numbers(hashes), base[sizes > 0])
-    doc = np.searchsorted(base, word, "right") - 1
-    order = np.argsort(doc, kind="stable")
-    pattern, word, doc = pattern[order], word[order], doc[order]
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    out = []
-    for i, (t, e) in enumerate(zip(texts, each, strict=True)):
-        own, at = pattern[bounds[i] : bounds[i + 1]], word[bounds[i] : bounds[i + 1]] - base[i]
-        if len(own):
-            low = bytes(_LOWER[np.frombuffer(t, np.uint8)])
-            same = [all(low[e[0][a + j] : e[1][a + j]] == w for j, w in enumerate(p.windows[k])) for k, a in zip(own.tolist(), at.tolist(), strict=True)]
-            own, at = own[same], at[same]
-        items = [p.names[x] for x in np.unique(np.concatenate([p.items[k] for k in np.unique(own)]))] if len(own) else []
-        out.append((len(e[0]), items, *merged(at, at + p.lengths[own]), e[0], e[1]))
-    return out
+    hashes = np.concatenate([f.hashes for f in each]) if each else np.zeros(0, np.uint64)
+    breaks, over = base[sizes > 0], int(p.lengths.max()) - 1
+    for at in range(0, len(hashes), shard):
+        part = p.numbers(hashes[at : at + shard + over])
+        pattern, word = occurrences(p, part, breaks[(breaks >= at) & (breaks < at + len(part))] - at)
+        own = word < shard  # what begins in the overlap is the next shard's
+        pattern, word = pattern[own], word[own] + at
+        doc = np.searchsorted(base, word, "right") - 1
+        for d in np.unique(doc).tolist():
+            each[d].add(p, pattern[doc == d], word[doc == d] - base[d])
 
 
 _SPANS = "array<struct<first:long,last:long,start:long,end:long>>"
 _ARROW = pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))
+#: The block that this worker has read last.
+_BLOCK: dict[str, Patterns] = {}
+
+
+def write_blocks(benchmark: DataFrame, window: int, block: int) -> list[str]:
+    """Files of windows in the shared folder; the driver holds one block at a time."""
+    folder, out = fresh_path(benchmark.sparkSession, "windows"), []
+    for p in pattern_blocks(((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()), window, block):
+        fs, root = filesystem(folder)
+        fs.create_dir(root)
+        out.append(f"{folder}/{len(out)}")
+        with fs.open_output_stream(f"{root}/{len(out) - 1}", compression=None) as f:
+            f.write(pickle.dumps(p))
+    return out
 
 
-def _pass(p: Patterns | None, keep_text: bool, window: int):
-    """Adds a block's spans and items. first and last number words, start and end bytes; last and end are exclusive."""
+def read_block(path: str) -> Patterns:
+    if path not in _BLOCK:
+        _BLOCK.clear()
+        fs, own = filesystem(path)
+        with fs.open_input_stream(own, compression=None) as f:
+            _BLOCK[path] = pickle.loads(f.read())
+    return _BLOCK[path]
+
+
+def _searched(paths: list[str], shard: int, output: Callable[[list[Found]], list[pa.Array]], names: list[str]):
+    """A map over batches of ``doc_id, text, row``: rows of a group go through all blocks, and ``output`` makes columns of them."""
+    group = GROUP if len(paths) <= 1 else 4 * GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,42 +308,33 @@ def _pass(p: Patterns | None, keep_text: bool, window: int):
             at = 0
             while at < len(texts):
                 upto, size = at, 0
-                while upto < len(texts) and (size < SHARD or upto == at):
+                while upto < len(texts) and (size < group or upto == at):
                     size += len(texts[upto])
                     upto += 1
-                part = texts[at:upto]
-                if p is None:
-                    found = [(len(words_of(t)[0]), [], np.zeros(0, np.int64), np.zeros(0, np.int64), None, None) for t in part]
-                else:
-                    found = search_shard(p, part, window)
-                old_items, old_spans = ([x or [] for x in b.column(k).slice(at, upto - at).to_pylist()] for k in (2, 3))
-                spans, items = [], []
-                for f, oi, os in zip(found, old_items, old_spans, strict=True):
-                    first, last = f[2], f[3]
-                    if os and len(first):
-                        first, last = merged(np.append(first, [x["first"] for x in os]), np.append(last, [x["last"] for x in os]))
-                    items.append(sorted({*f[1], *oi}))
-                    spans.append([{"first": a, "last": z, "start": int(f[4][a]), "end": int(f[5][z - 1])} for a, z in zip(first.tolist(), last.tolist(), strict=True)] if len(first) else os)
-                text = b.column(1).slice(at, upto - at) if keep_text else pa.nulls(upto - at, pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, upto - at), text, pa.array(items, pa.list_(pa.string())), pa.array(spans, _ARROW), pa.array([f[0] for f in found], pa.int64()), b.column(5).slice(at, upto - at)], ["doc_id", "text", "items", "spans", "n_words", "row"])
+                found = [Found(t) for t in texts[at:upto]]
+                for path in paths:
+                    search_block(read_block(path), found, shard)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, upto - at), *output(found), b.column(2).slice(at, upto - at)], names)
                 at = upto
 
-    return run
+    return tidied(run)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, text, items, spans, n_words`` of each row; text is null unless ``keep_text``; ``row`` has the columns to carry."""
+def _source(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows = ((r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator())
-    empty = F.array().cast("array<string>"), F.array().cast(_SPANS), F.lit(0).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for c, k in zip(empty, ("items", "spans", "n_words"), strict=True)), carried(carry))
-    schema = f"doc_id long, text string, items array<string>, spans {_SPANS}, n_words long, row {out.schema['row'].dataType.simpleString()}"
-    waiting: Patterns | None = None
-    for p in pattern_blocks(rows, window, block):
-        if waiting is not None:
-            out = out.mapInArrow(_pass(waiting, True, window), schema)
-        waiting = p
-    return out.mapInArrow(_pass(waiting, keep_text, window), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, shard: int = SHARD, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, items, spans, n_words`` of each row; ``row`` has the columns to carry."""
+
+    def output(found: list[Found]) -> list[pa.Array]:
+        items = pa.array([sorted(f.items) for f in found], pa.list_(pa.string()))
+        return [items, pa.array([f.spans() for f in found], _ARROW), pa.array([len(f.hashes) for f in found], pa.int64())]
+
+    source = _source(docs, carry)
+    schema = f"doc_id long, items array<string>, spans {_SPANS}, n_words long, row {source.schema['row'].dataType.simpleString()}"
+    return source.mapInArrow(_searched(write_blocks(benchmark, window, block), shard, output, ["doc_id", "items", "spans", "n_words", "row"]), schema)
 
 
 def cut_spans(text: bytes, spans: list[dict]) -> bytes:
@@ -312,15 +346,13 @@ def cut_spans(text: bytes, spans: list[dict]) -> bytes:
     return b"\n".join((*kept, text[at:])) if spans else text
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, text`` with all benchmark passages cut out, ``n_hit``, and ``row`` with the columns to carry."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [x or [] for x in b.column(3).to_pylist()]
-            texts = [cut_spans(t, s) for t, s in zip(as_bytes(b.column(1)), spans, strict=True)]
-            hit = [sum(x["last"] - x["first"] for x in s) for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hit, pa.int64()), b.column(5)], ["doc_id", "text", "n_hit", "row"])
+    def output(found: list[Found]) -> list[pa.Array]:
+        texts = pa.array([cut_spans(f.text, f.spans()) for f in found], pa.binary()).cast(pa.string())
+        return [texts, pa.array([int((f.last - f.first).sum()) for f in found], pa.int64())]
 
-    found = contamination(docs, benchmark, window, keep_text=True, carry=carry)
-    return found.mapInArrow(run, f"doc_id long, text string, n_hit long, row {found.schema['row'].dataType.simpleString()}")
+    source = _source(docs, carry)
+    schema = f"doc_id long, text string, n_hit long, row {source.schema['row'].dataType.simpleString()}"
+    return source.mapInArrow(_searched(write_blocks(benchmark, window, block), SHARD, output, ["doc_id", "text", "n_hit", "row"]), schema)

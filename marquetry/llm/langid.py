@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, crc_of, small_batches, staged
+from .common import carried, crc_of, small_batches, staged, tidied
 
 UNKNOWN = "und"
 ROWS = 24
@@ -275,7 +275,7 @@ def predict(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), b.column(2)], names)
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(carry))
-    return out.mapInArrow(run, f"doc_id long, lang_pred string, score double, bits double, row {out.schema['row'].dataType.simpleString()}")
+    return out.mapInArrow(tidied(run), f"doc_id long, lang_pred string, score double, bits double, row {out.schema['row'].dataType.simpleString()}")
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, small_batches, staged
+from .common import carried, small_batches, staged, tidied
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -48,7 +48,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 ids += [doc] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["h", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, "h binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(explode), "h binary, doc_id long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_dropped", "row"])
 
     out = f"doc_id long, text string, n_lines long, n_dropped long, row {docs.schema['row'].dataType.simpleString()}"
-    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "row").mapInArrow(reassemble, out)
+    return docs.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "row").mapInArrow(tidied(reassemble), out)
 
 
 def digest(text: bytes) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidied
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("account", "secret", "userinfo")
@@ -144,7 +144,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = dict.fromkeys(names, "long") | {"base_sha256": "string", "spans": "string"}
-    return out.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return out.mapInArrow(tidied(run), ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def mask(text: str, found: dict[str, list[tuple[int, int]]]) -> str:

@@ -30,11 +30,10 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, staged
+from .common import filesystem, fresh_path, small_batches, staged, tidied
 from .linededup import as_bytes
 
 ARCHIVE = 64 << 20
@@ -97,16 +96,6 @@ def _named(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """Any store that Arrow knows, under Hadoop's names for it too; the driver and the executors see the same folder there."""
-    path = re.sub(r"^s3[an]://", "s3://", path)
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
-    return pafs.FileSystem.from_uri(path)
-
-
 _PLACES = "key string, page_id long, archive string, offset long, length long"
 
 
@@ -146,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     shared = staged(sums.where(F.col("n") >= MIN_REVISIT).groupBy("d").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "keeper"), "warc-shared")
     copies = pages.withColumn("d", F.sha1(F.col("html").cast("binary"))).join(shared, "d", "left")
     is_copy = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return staged(copies.select("page_id", "url", "html", "keeper", is_copy.alias("is_copy")).mapInArrow(_writer(folder), _PLACES), "warc-places")
+    return staged(copies.select("page_id", "url", "html", "keeper", is_copy.alias("is_copy")).mapInArrow(tidied(_writer(folder)), _PLACES), "warc-places")
 
 
 _BLOCKS = "first string, part int, block int, lines long, data binary"

@@ -211,16 +211,20 @@ def test_byte_spans_of_repeated_and_null_ids(spark, seed):
     assert any(got == plain(itertools.chain(*o)) for o in itertools.product(*[list(itertools.permutations(g)) for g in groups]))
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 7])
-def test_decontamination(spark, odd, block):
+@pytest.mark.parametrize(("block", "shard"), [(decontaminate.BLOCK, decontaminate.SHARD), (7, 50)])
+def test_decontamination(spark, odd, block, shard):
     items = [("i1", LONG), ("i2", "own WORDS, here!"), ("i3", None), ("i4", "..."), ("i5", " ".join(f"w{i}" for i in range(90, 130))), ("i2b", "own words here"), ("i6", "漢字 текст")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    out = decontaminate.contamination(odd, bench, block=block).collect()
+    odd = odd.unionByName(odd)
+    out = decontaminate.contamination(odd, bench, block=block, shard=shard).collect()
+    assert len(out) == 2 * len(ODD)
     got = {r["doc_id"]: (r["n_words"], sum(s["last"] - s["first"] for s in r["spans"]), len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest()) for r in out}
     assert got == brute.contamination(rows_of(odd), items)
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(odd, bench).collect()}
     assert "w100" not in cut[13] and "w89" in cut[13] and cut[9] == "x" * 5000
     assert all(v[1] == 0 for v in brute.contamination(list(cut.items()), items).values())
+    none = decontaminate.contamination(odd, bench.where("false")).collect()
+    assert all(not r["items"] and not r["spans"] for r in none) and {r["doc_id"]: r["n_words"] for r in none} == {k: v[0] for k, v in got.items()}
 
 
 def test_decontamination_of_documents(spark, docs):
