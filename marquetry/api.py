@@ -17,7 +17,10 @@ from marquetry.operators import search as text
 from marquetry.operators.lookups import first_matching_kind, unique_media
 from marquetry.operators.search import SearchOptions
 from marquetry.schemas import EPISODE_SOURCE_RECORD
-from marquetry.store import Store, cut
+from marquetry.store import Changed, Store, cut
+
+#: How often a batch is worked out again when another writer came between, and hits that are looked up by their ids.
+ATTEMPTS, LISTED = 3, 1000
 
 
 @dataclass(frozen=True)
@@ -74,6 +77,15 @@ class Catalog:
         """Merges canonical records that have a unique ``seq``, later than those of any batch before, in its order."""
         valid, invalid = validate.split_valid(records)
         valid = cut(valid)
+        for attempt in range(ATTEMPTS):
+            try:
+                return self._ingest(valid, invalid, batch)
+            except Changed:
+                if attempt == ATTEMPTS - 1:
+                    raise
+
+    def _ingest(self, valid: DataFrame, invalid: DataFrame, batch: str | None) -> Ingested:
+        generation = self.store.generation()
         ids = identity.exploded_ids(valid)
         stored = self.table("media_external_id")
         met = stored.join(ids.select("media_kind", "source", "source_id").distinct(), ["media_kind", "source", "source_id"], "left_semi").select("media_id").distinct()
@@ -83,10 +95,10 @@ class Catalog:
         taken = cut(valid.join(placed.where("media_id IS NOT NULL").select("seq", "media_id"), "seq"))
         refused = valid.join(placed.where("media_id IS NULL").select("seq", F.col("status").alias("reason")), "seq")
         counts = {r["status"]: r["n"] for r in placed.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self._write_media(taken, batch)
+        self._write_media(taken, batch, generation)
         return Ingested(counts.get("inserted", 0), counts.get("updated", 0), invalid.unionByName(refused.select(*invalid.columns)))
 
-    def _write_media(self, taken: DataFrame, batch: str | None) -> None:
+    def _write_media(self, taken: DataFrame, batch: str | None, generation: int) -> None:
         touched = taken.select("media_id").distinct()
         media, provenance = self.table("media"), self.table("field_provenance")
         old = media.join(touched, "media_id", "left_semi")
@@ -96,19 +108,21 @@ class Catalog:
             kept = old.select("media_id", F.lit(-1).cast("long").alias("seq"), name)
             lists = merge.list_union(kept.unionByName(taken.select("media_id", "seq", name)), name, "media_id")
             rows = rows.join(lists, "media_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-        alias = self._aliases(taken, touched)
+        rows, alias = cut(rows.select(*media.columns)), cut(self._aliases(taken, touched))
         new_ids = merge.external_ids(taken, "media_id").select("media_id", "media_kind", "source", "source_id", "url")
         payload = merge.payloads(taken, "media_id").select("media_id", "media_kind", "source", "source_id", "url", "remote_updated_at", F.current_timestamp().alias("fetched_at"), "raw_json", "payload_hash")
         key = ["source", "media_kind", "source_id"]
         self.store.merge(
             {
-                "media": rows.select(*media.columns),
+                "media": rows,
                 "media_alias": alias,
+                **self._index(rows, alias),
                 "media_external_id": merge.last_wins(new_ids, key, "media_id"),
                 "source_record": merge.last_wins(payload, key, "media_id"),
                 "field_provenance": merge.provenance_rows(merged, "media_id").withColumn("updated_at", F.current_timestamp()),
             },
             batch,
+            generation,
         )
 
     def _aliases(self, taken: DataFrame, touched: DataFrame) -> DataFrame:
@@ -187,12 +201,40 @@ class Catalog:
         found = self.resolve(source, source_id).select("media_id")
         return episodes.document(self.media().join(found, "media_id", "left_semi"), self.table("episode").join(found, "media_id", "left_semi"))
 
-    def indexed(self) -> DataFrame:
-        names = self.table("media_alias").groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list("alias")), lambda x: x).alias("aliases"))
-        return self.media().join(names, "media_id", "left")
+    @staticmethod
+    def _index(media: DataFrame, alias: DataFrame) -> dict[str, DataFrame]:
+        """Postings of media by token, and what searches filter by with each row's length."""
+        names = alias.groupBy("media_id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+        rows = text.index_rows(media.join(names, "media_id", "left")).select("media_id", "media_kind", "format", "_tokens")
+        rows = cut(rows)
+        token = rows.select("media_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("token"))
+        return {
+            "search_posting": token.groupBy("token", "media_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")),
+            "search_row": rows.select("media_id", "media_kind", "format", F.size("_tokens").alias("dl")),
+        }
+
+    def reindex(self) -> None:
+        """Makes the search index anew, as for tables that were written without one."""
+        generation = self.store.generation()
+        self.store.write(self._index(self.media(), self.table("media_alias")), expected=generation)
 
     def search(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        return text.search(self.indexed(), query, options)
+        """``media_id, media_kind, title_display, synopsis, score`` of the best hits.
+
+        Ranks are worked out from the stored postings; texts are read for the hits of the page only.
+        """
+        terms = text.query_terms(query)
+        if "search_row" not in self.store.pointer()["tables"]:
+            self.reindex()
+        rows = self.table("search_row")
+        stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
+        hits = text.bm25_from_postings(self.table("search_posting"), stats, " ".join(terms))
+        hits = text.filtered(hits.join(rows.select("media_id", "media_kind", "format"), "media_id"), options)
+        hits = cut(text.page(hits, options).select("media_id", "score"))
+        media = self.media().select("media_id", "media_kind", "title_display", "synopsis")
+        if options.limit <= LISTED:
+            media = media.where(F.col("media_id").isin([r[0] for r in hits.select("media_id").collect()]))
+        return hits.join(media, "media_id").select(*media.columns, "score").orderBy(F.desc("score"), "media_id")
 
     def export(self, path: str) -> None:
         """Gzipped JSON lines of all documents; the list of episodes has a column of its own, beside their number."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.functions.scalars import lower_ascii, tokens, upper_ascii
+from marquetry.store import cut
 
 # Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -55,18 +56,25 @@ def index_rows(media: DataFrame, key: str = "media_id", fields: tuple[str, ...]
     return media.select("*", F.concat(*parts).alias("_tokens"))
 
 
-def bm25(media: DataFrame, query: str, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Rows that have all terms, with ``score``; higher is better.
+def ranked(media: DataFrame, query: str, key: str = "media_id", fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns to keep, and ``score`` of the rows that have all terms; higher is better.
 
-    Statistics are those of the whole table whatever is filtered later. Terms are counted within the row, so
-    only one row of sums is shuffled.
+    Statistics are those of the whole table whatever is filtered later. Texts are cut into tokens once: what is counted
+    in each row is written, and both the sums and the scores are read from that.
     """
     terms = query_terms(query)
     count = lambda t: F.size(F.filter("_tokens", lambda x: matches(x, t)))
-    rows = index_rows(media, key, fields).select("*", F.size("_tokens").alias("_dl"), *[count(t).alias(f"_tf{i}") for i, t in enumerate(terms)]).drop("_tokens")
-    stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).alias("s"))
+    rows = index_rows(media, key, fields).select(key, *keep, F.size("_tokens").alias("_dl"), *[count(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    rows = cut(rows)
+    sums = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
+    stats = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg"), *sums).alias("s"))
     found = rows.where(" AND ".join(f"_tf{i} > 0" for i in range(len(terms)))).withColumn("_s", stats.scalar())
-    return found.select("*", score_of(len(terms)).alias("score")).select(*media.columns, "score")
+    return found.select(key, *keep, score_of(len(terms)).alias("score"))
+
+
+def bm25(media: DataFrame, query: str, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Rows that have all terms, with ``score``."""
+    return media.join(ranked(media, query, key, fields), key).select(*media.columns, "score")
 
 
 def score_of(n_terms: int) -> Column:
@@ -99,8 +107,9 @@ def bm25_from_postings(index: DataFrame, stats: DataFrame, query: str, key: str
         near = near | r
     hits = index.where(near).groupBy(key).agg(F.first("dl").alias("_dl"), *[F.sum(F.when(matches(F.col("token"), t), F.col("tf")).otherwise(0)).alias(f"_tf{i}") for i, t in enumerate(terms)])
     seen = hits.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    s = seen.crossJoin(stats).select(F.struct("*"))  # a row by a row
-    hits = hits.where(" AND ".join(f"_tf{i} > 0" for i in range(len(terms)))).withColumn("_s", s.scalar())
+    sums = seen.select(F.struct("*")).scalar(), stats.select(F.struct("n", "avg")).scalar()
+    hits = hits.where(" AND ".join(f"_tf{i} > 0" for i in range(len(terms)))).withColumns({"_a": sums[0], "_b": sums[1]})
+    hits = hits.withColumn("_s", F.struct(F.col("_a.*"), F.col("_b.*")))
     return hits.select(key, score_of(len(terms)).alias("score"))
 
 
@@ -121,8 +130,8 @@ def page(hits: DataFrame, options: SearchOptions, key: str = "media_id") -> Data
 
 def search(media: DataFrame, query: str, options: SearchOptions = SearchOptions(), key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``key, media_kind, title_display, synopsis, score`` of the best hits."""
-    hits = page(filtered(bm25(media, query, key, fields), options), options, key)
-    return hits.select(key, "media_kind", "title_display", "synopsis", "score")
+    hits = page(filtered(ranked(media, query, key, fields, ("media_kind", "format")), options), options, key).select(key, "score")
+    return hits.join(media, key).select(key, "media_kind", "title_display", "synopsis", "score").orderBy(F.desc("score"), F.asc(key))
 
 
 def title_contains(rows: DataFrame, query: str, limit: int, order: str, title: str = "title_display") -> DataFrame:

@@ -80,6 +80,8 @@ EPISODE = _of(
     "title_original string, titles_json string, synopsis string, air_date string, runtime_minutes int, thumbnail_url string"
 )
 SYNC_STATE = _of("source string, scope string, page int, last_success_at string, last_error string, last_page int, mode string")
+SEARCH_POSTING = _of("token string, media_id long, tf long, dl int")
+SEARCH_ROW = _of("media_id long, media_kind string, format string, dl int")
 
 TABLES: dict[str, T.StructType] = {
     "media": MEDIA,
@@ -90,6 +92,8 @@ TABLES: dict[str, T.StructType] = {
     "sync_state": SYNC_STATE,
     "episode": EPISODE,
     "episode_source_record": EPISODE_SOURCE_RECORD,
+    "search_posting": SEARCH_POSTING,
+    "search_row": SEARCH_ROW,
 }
 
 BASICS = _of("tconst string, titleType string, primaryTitle string, originalTitle string, isAdult string, startYear string, endYear string, runtimeMinutes string, genres string")

@@ -139,3 +139,40 @@ def test_the_last_delta_of_an_owner_counts(spark, tmp_path):
         store.merge({"sync_state": row(2, n)})
     assert len(store.pointer()["tables"]["sync_state"]["deltas"]) < DELTAS
     assert {(r["source"], r["page"]) for r in store.read("sync_state").collect()} == {("s0", 4), ("s1", 3), ("s2", 19)}
+
+
+def test_search_uses_the_stored_index(spark, catalog):
+    """Postings follow each merge, and give the ranks that the texts themselves give."""
+    from marquetry.operators import search as text
+
+    catalog.ingest(records(spark, 0, *SHOWS))
+    catalog.ingest(records(spark, 10, SHOWS[1] | {"name": "Another and much longer name", "summary": "of a show"}))
+    names = catalog.table("media_alias").groupBy("media_id").agg(F.collect_list("alias").alias("aliases"))
+    rows = catalog.media().join(names, "media_id", "left")
+    for query in ("show", "sho", "another", "name lon", "3", "nothing"):
+        want = [(r["media_id"], pytest.approx(r["score"])) for r in text.search(rows, query).collect()]
+        assert [(r["media_id"], r["score"]) for r in catalog.search(query).collect()] == want
+    assert [r["media_id"] for r in catalog.search("show", SearchOptions(limit=2, offset=1)).collect()] == [r["media_id"] for r in text.search(rows, "show").collect()][1:3]
+    catalog.store.write({"search_posting": catalog.table("search_posting").limit(0)})
+    assert catalog.search("show").count() == 0
+    catalog.reindex()
+    assert catalog.search("show").count() == 5
+
+
+def test_writers_take_turns(spark, catalog):
+    """A batch that was worked out on older tables is refused, and a lock that is held makes others wait, then fail."""
+    from marquetry.store import Busy, Changed
+
+    generation = catalog.store.generation()
+    catalog.ingest(records(spark, 0, SHOWS[1]))
+    assert catalog.store.generation() > generation
+    with pytest.raises(Changed):
+        catalog.store.merge({"search_row": catalog.table("search_row")}, expected=generation)
+    other = Store(spark, catalog.store.path, busy=0.2)
+    lock = other._path(f"{other.path}/_lock")
+    other._fs.create(lock, False).close()
+    with pytest.raises(Busy):
+        other.merge({"search_row": catalog.table("search_row")})
+    other._fs.delete(lock, False)
+    other.merge({"search_row": catalog.table("search_row")})
+    assert catalog.media().count() == 1
