@@ -1,23 +1,21 @@
 """LM scoring by context-tree weighting over bytes.
 
-A byte is eight binary decisions, each with a context tree of its own. A context is the bits of the bytes
-before: all eight of the last, five low ones of each of the two before it, so a tree is 18 deep and there are
-2**18 contexts at most; this bounds the model whatever the corpus. Every node holds a Krichevsky-Trofimov
-estimate of all training bytes in its context, and the mixture over all depths follows from the nodes'
-evidence: weight of a node = Pe / 2 over Pw, with Pw = (Pe + Pw of both children) / 2. The trained model is
+A byte is eight binary decisions, each with a context tree of its own over the DEPTH bytes before: its root
+stands for all training bytes, its children for the last byte, theirs for the last two, and so on. Every node holds a
+Krichevsky-Trofimov estimate of the training bytes in its context, and the mixture over all depths follows from the nodes'
+evidence: weight of a node = Pe / 2 over Pw, with Pw = (Pe + product of its children's Pw) / 2. The trained model is
 then frozen, and a text's score is the sum of log10 probabilities of its bytes and of an end mark (0xFF,
 which UTF-8 never has); minus that over log10(2) and the bytes is the code length per byte.
 
-Counts cover all training rows. Each task sums its own before the shuffle, and trees are weighted by last
-byte, in groups of at most 2**18 rows.
-
-The base score is a unigram score of words over counts that may be of any number: each unit of a few MB
-of text keeps its documents as bags over the unit's own dictionary, only dictionaries meet the counts, and
-what they find goes back to the unit.
+The tree is a table of contexts with their bytes, as many as the corpus has, and stays in the cluster. Texts come in
+units of UNIT bytes. A unit lists its distinct contexts with bytes once, with how often its training texts have them; these meet in
+groups that share the last two bytes, where everything from the third level down is weighted; the evidence of the
+groups goes up to the two levels above, which are small. What a context gives its byte goes back to the units that
+listed it, and there the texts are scored. The unigram score of words takes the same way: a unit lists its words.
 
 Defined results: a null text is empty: it has the end token and the end mark; a null doc_id falls in a fold
 like the empty text; with nothing to train on every bit has probability 1/2; repeated rows count and are
-scored one by one; other columns are left out.
+scored one by one; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,94 +26,72 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, small_batches, staged
+from .common import crc_of, drop, small_batches, staged, tidied
 from .linededup import as_bytes
 
-#: Bits of context of the bytes before, nearest first.
-BITS = (8, 5, 5)
-DEPTH = sum(BITS)
-BELOW = DEPTH - BITS[0]
+#: Bytes of context. A key is a context, its last byte highest, and a byte: 8 * (DEPTH + 1) bits of a long.
+DEPTH = 4
 END = 0xFF
-#: Bytes counted or scored at once; bytes of text in a unit of bags; the end token, which no word equals.
-PIECE = 2 << 20
-UNIT = 8 << 20
+#: Bytes of text in a unit; positions looked at together; the end token, which no word equals.
+UNIT = 16 << 20
+PIECE = 1 << 20
 END_TOKEN = b" "
-
-
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with their end marks after three zero bytes each, and where each begins."""
-    pad = bytes(len(BITS))
-    sizes = np.array([len(t) + len(BITS) + 1 for t in texts], np.int64)
-    return np.frombuffer(b"".join(x for t in texts for x in (pad, t, bytes([END]))), np.uint8), np.cumsum(sizes) - sizes + len(BITS)
-
-
-def contexts(data: np.ndarray) -> np.ndarray:
-    """The context of each byte from the fourth on: last byte highest."""
-    n, out = len(data) - len(BITS), np.zeros(max(0, len(data) - len(BITS)), np.int32)
-    for back, bits in enumerate(BITS, 1):
-        out = (out << bits) | (data[len(BITS) - back : len(BITS) - back + n] & ((1 << bits) - 1))
-    return out
-
-
-def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
-    held, n = [], 0
-    for t in texts:
-        if held and n + len(t) > PIECE:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t)
-    if held:
-        yield held
+#: What a group shares, in bits of a key from the right.
+_GROUP = 8 * (DEPTH - 1)
+
+
+class Positions:
+    """The bytes and end marks of a unit's texts, each with the bytes before it; before a text stand zeros."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        pad = bytes(DEPTH)
+        self.sizes = np.array([len(t) + DEPTH + 1 for t in texts], np.int64)
+        self.data = np.frombuffer(b"".join(x for t in texts for x in (pad, t, bytes([END]))), np.uint8)
+        self.start = np.cumsum(self.sizes) - self.sizes
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places, and the keys there, a piece at a time; the zeros before texts are no places."""
+        for at in range(DEPTH, len(self.data), PIECE):
+            end = min(at + PIECE, len(self.data))
+            keys = np.zeros(end - at, np.int64)
+            for back in (*range(1, DEPTH + 1), 0):
+                keys = (keys << 8) | self.data[at - back : end - back]
+            real = np.ones(end - at, bool)
+            starts = self.start[(self.start > at - DEPTH) & (self.start < end)]
+            for i in range(DEPTH):
+                own = starts + i - at
+                real[own[(own >= 0) & (own < end - at)]] = False
+            yield np.flatnonzero(real) + at, keys[real]
+
+    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and how often the texts to train on have them."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for places, own in self.pieces():
+            n = train[np.searchsorted(self.start, places, "right") - 1].astype(np.int64)
+            keys, counts = _sums(np.concatenate((keys, own)), np.concatenate((counts, n)))
+        return keys, counts
+
+    def totals(self, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The sum of each text's logs."""
+        out = np.zeros(len(self.start))
+        for places, own in self.pieces():
+            each = logs[np.searchsorted(keys, own)]
+            text = np.searchsorted(self.start, places, "right") - 1
+            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+            if len(places):
+                out[text[first]] += np.add.reduceat(each, first)
+        return out
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def count_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``context << 8 | byte`` and how often it stands in the texts."""
-    data, start = joined(texts)
-    keys = (contexts(data) << 8) | data[len(BITS) :]
-    pad = (start[1:, None] - 2 * len(BITS) + np.arange(len(BITS))).ravel()  # the zeros before the others are no text
-    keys = np.sort(np.delete(keys, pad))
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first].astype(np.int64), np.diff(np.append(first, len(keys)))
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """``last`` (byte), ``key, n`` over the texts, summed in each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> None:
-            nonlocal keys, counts
-            if held:
-                keys, counts = _sums(np.concatenate((keys, *(h[0] for h in held))), np.concatenate((counts, *(h[1] for h in held))))
-                held.clear()
-
-        for b in batches:
-            for part in pieces(as_bytes(b.column(0))):
-                held.append(count_keys(part))
-                if len(held) >= 8:
-                    fold()
-        fold()
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["key", "n"])
-
-    small_batches(docs.sparkSession)
-    each = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long")
-    return each.groupBy("key").agg(F.sum("n").alias("n")).select(F.shiftright("key", 8 + BELOW).cast("int").alias("last"), "key", "n")
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _stirling(x: np.ndarray) -> np.ndarray:
@@ -145,198 +121,193 @@ def kt(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return lgamma(zero, 0.5) + lgamma(one, 0.5) - np.log(np.pi) - lgamma(zero + one, 1.0)
 
 
-class Level:
-    """Nodes of one depth: counts and log Pw of (contexts, 256) decisions; decision 0 is unused."""
+def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log Pw of nodes from their own log Pe and the sum of their children's log Pw, and the weight of their own estimate."""
+    pw = np.logaddexp(own, below) - np.log(2)
+    return pw, np.exp(own - np.log(2) - pw)
+
 
-    def __init__(self, zero: np.ndarray, one: np.ndarray, children: Level | None = None, evidence: np.ndarray | None = None) -> None:
-        self.zero, self.one = zero, one
-        own = kt(zero, one)
-        if evidence is not None:
-            self.pw, self.weight = evidence, None
-        elif children is None:
-            self.pw, self.weight = own, np.ones_like(own)
+def estimate(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The probability of a one."""
+    return (one + 0.5) / (zero + one + 1)
+
+
+_BACK = np.arange(7, -1, -1)
+
+
+def group_mixture(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group's distinct keys: the mixed probability of a one at the eight decisions of each key's byte, from the
+    group's own node down; and the decisions that node has, with zeros, ones and log Pw."""
+    byte = keys[:, None] & 255
+    node, bit = (1 << (7 - _BACK)) | (byte >> (_BACK + 1)), (byte >> _BACK) & 1
+    weight = np.repeat(n.astype(np.float64), 8)
+    levels: list[tuple] = []
+    for depth in range(DEPTH, 1, -1):
+        ids, where = np.unique((((keys >> (8 * (DEPTH + 1 - depth)))[:, None] << 8) | node).ravel(), return_inverse=True)
+        both = np.bincount(where, weight, len(ids))
+        one = np.bincount(where, weight * bit.ravel(), len(ids))
+        zero = both - one
+        if levels:
+            was, pw = levels[-1][0], levels[-1][1]
+            rest = np.bincount(np.searchsorted(ids, ((was >> 16) << 8) | (was & 255)), pw, len(ids))
+            pw, own = weighted(kt(zero, one), rest)
         else:
-            rest = children.pw[::2] + children.pw[1::2]
-            self.pw = np.logaddexp(own, rest) - np.log(2)
-            self.weight = np.exp(own - np.log(2) - self.pw)
-
-    def above(self) -> Level:
-        return Level(self.zero[::2] + self.zero[1::2], self.one[::2] + self.one[1::2], self)
-
-    def mixed(self, below: np.ndarray | None) -> np.ndarray:
-        """Probability of a one at this depth's nodes for each context below."""
-        p = (self.one + 0.5) / (self.zero + self.one + 1)
-        if below is None:
-            return p
-        k = len(below) // len(p)
-        w = np.repeat(self.weight, k, 0)
-        return w * np.repeat(p, k, 0) + (1 - w) * below
-
-
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 decisions, in heap order, from counts of bytes (contexts, 256)."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for node in range(255, 0, -1):
-        heap[:, node] = heap[:, 2 * node] + heap[:, 2 * node + 1]
-    zero, one = heap[:, 0:512:2].copy(), heap[:, 1:512:2].copy()
-    zero[:, 0] = one[:, 0] = 0
-    return zero, one
-
-
-def tree_of(group: pd.DataFrame) -> tuple[list[Level], np.ndarray]:
-    """Levels of a last byte's subtree, deepest first, and the decisions that its bytes take; the others stay at 1/2."""
-    counts = np.zeros((1 << BELOW, 256))
-    key = group.key.to_numpy()
-    counts[(key >> 8) & ((1 << BELOW) - 1), key & 255] = group.n
-    zero, one = decisions(counts)
-    taken = np.flatnonzero((zero + one).any(0))
-    levels = [Level(zero[:, taken], one[:, taken])]
-    while len(levels[-1].pw) > 1:
-        levels.append(levels[-1].above())
-    return levels, taken
-
-
-def byte_logs(p: np.ndarray) -> np.ndarray:
-    """log10 probabilities of bytes from those of a one at each decision."""
-    one, zero = np.log10(p), np.log10(1 - p)
-    out = np.zeros((len(p), 256), np.float32)
-    node = np.ones(256, np.int64)
-    for k in range(7, -1, -1):
-        bit = (np.arange(256) >> k) & 1
-        out += np.where(bit, one[:, node], zero[:, node])
-        node = 2 * node + bit
-    return out
+            pw, own = kt(zero, one), np.ones(len(ids))
+        levels.append((ids, pw, own, zero, one, where))
+    p = np.full(len(weight), 0.5)
+    for _, _, own, zero, one, where in levels:
+        p = own[where] * estimate(zero, one)[where] + (1 - own[where]) * p
+    ids, pw, _, zero, one, _ = levels[-1]
+    return p.reshape(-1, 8), ids & 255, zero, one, pw
+
+
+_LISTED = "unit long, kind int, place int, n long, token binary, key long, doc_id long, held_out boolean, text binary"
+_TOKEN, _KEY, _DOC = 0, 1, 2
+_ROWS = 50_000
+
+
+def _fields(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _table(schema: str, n: int, /, **columns: object) -> pa.RecordBatch:
+    """Columns that aren't given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    arrays = [pa.array(columns[k], kinds[t]) if k in columns else pa.nulls(n, kinds[t]) for k, t in (x.split() for x in schema.split(", "))]
+    return pa.RecordBatch.from_arrays(arrays, _fields(schema))
 
 
-class Model:
-    """``rows[context]`` is the row of ``logs`` with log10 probabilities of the 256 bytes."""
-
-    def __init__(self, rows: np.ndarray, logs: np.ndarray) -> None:
-        self.rows, self.logs = rows, logs
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        data, start = joined(texts)
-        at = self.rows[contexts(data)].astype(np.int64) * 256 + data[len(BITS) :]
-        each = self.logs.ravel()[at].astype(np.float64)
-        each = np.append(each, 0.0)
-        start = start - len(BITS)
-        end = start + np.array([len(t) + 1 for t in texts])
-        return np.add.reduceat(each, np.stack((start, end), 1).ravel())[::2]
-
-
-def train(docs: DataFrame) -> Model:
-    """A frozen model of all the texts."""
-    spark = docs.sparkSession
-    counts = staged(counted(docs), "ctw-counts")
-
-    def top(group: pd.DataFrame) -> pd.DataFrame:
-        levels, taken = tree_of(group)
-        out = np.zeros((3, 256))
-        out[:, taken] = levels[-1].zero[0], levels[-1].one[0], levels[-1].pw[0]
-        return pd.DataFrame({"last": [group["last"].iloc[0]], "top": [out.tobytes()]})
-
-    tops = np.zeros((256, 3, 256))
-    for r in counts.groupBy("last").applyInPandas(top, "last int, top binary").collect():
-        tops[r["last"]] = np.frombuffer(r["top"]).reshape(3, 256)
-    upper = [Level(tops[:, 0], tops[:, 1], evidence=tops[:, 2])]
-    while len(upper[-1].pw) > 1:
-        upper.append(upper[-1].above())
-    # What a last byte's own mixture is worth at the root: root = shift + scale * own.
-    shift = np.zeros((256, 256))
-    scale = np.ones((256, 256))
-    for level in upper[1:]:
-        k = 256 // len(level.pw)
-        w, p = np.repeat(level.weight, k, 0), np.repeat(level.mixed(None), k, 0)
-        shift, scale = w * p + (1 - w) * shift, (1 - w) * scale
-
-    def logs_of(last: np.ndarray | int, p: np.ndarray) -> np.ndarray:
-        return byte_logs(np.clip(shift[last] + scale[last] * p, 1e-12, 1 - 1e-12))
-
-    def leaves(group: pd.DataFrame) -> pd.DataFrame:
-        last = int(group["last"].iloc[0])
-        levels, taken = tree_of(group)
-        p = None
-        for level in levels:
-            p = level.mixed(p)
-        whole = np.full((len(p), 256), 0.5)
-        whole[:, taken] = p
-        logs = logs_of(last, whole)
-        _, place, which = np.unique(logs.view(f"V{logs.itemsize * 256}").ravel(), return_index=True, return_inverse=True)
-        return pd.DataFrame({"last": [last], "logs": [logs[place].tobytes()], "rows": [which.astype(np.int32).tobytes()]})
-
-    # A last byte that was never seen has one row; the others get theirs from their groups.
-    rows, logs, base = np.repeat(np.arange(256, dtype=np.int32)[:, None], 1 << BELOW, 1), [logs_of(np.arange(256), np.full((256, 256), 0.5))], 256
-    for r in counts.groupBy("last").applyInPandas(leaves, "last int, logs binary, rows binary").toLocalIterator():
-        own = np.frombuffer(r["logs"], np.float32).reshape(-1, 256)
-        rows[r["last"]] = np.frombuffer(r["rows"], np.int32).reshape(-1) + base
-        logs.append(own)
-        base += len(own)
-    return Model(rows.ravel(), np.concatenate(logs))
-
-
-_BAGS = "unit long, token binary, place int, n long, doc_id long, held_out boolean, n_tokens long, places binary, times binary, score double"
-
-
-def _bags(shared, training_fold: int):
-    """Rows of tokens (their training counts by unit) and of documents (their bags and scores)."""
-    names = [x.split()[0] for x in _BAGS.split(", ")]
-
-    def flush(docs: list[tuple], model: Model) -> Iterator[pa.RecordBatch]:
+def token_bag(text: bytes) -> Counter:
+    bag = Counter(text.lower().split())
+    bag[END_TOKEN] = 1
+    return bag
+
+
+def _units(held_fold: int):
+    """Rows of units: their words and keys with training counts, and their documents in order."""
+
+    def flush(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
         unit, places, train = uuid.uuid4().int >> 65, {}, Counter()
-        bags = []
-        for doc, held, text in docs:
-            bag = Counter(text.lower().split())
-            bag[END_TOKEN] = 1
+        for _, held, text in docs:
+            bag = token_bag(text)
+            for t in bag:
+                places.setdefault(t, len(places))
             if not held:
                 train.update(bag)
-            ids = np.fromiter((places.setdefault(t, len(places)) for t in bag), np.int32, len(bag))
-            times = np.fromiter(bag.values(), np.int32, len(bag))
-            order = np.argsort(ids)  # steps between places are small, and compress
-            bags.append((doc, held, int(times.sum()), np.diff(ids[order], prepend=0).astype(np.int32).tobytes(), times[order].tobytes()))
-        score = np.concatenate([model.scores(p) for p in pieces([d[2] for d in docs])])
         token = list(places)
-        for at in range(0, len(token), 50_000):
-            own = token[at : at + 50_000]
+        for at in range(0, len(token), _ROWS):
+            own = token[at : at + _ROWS]
             n = len(own)
-            none = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.array(own, pa.binary()), pa.array(range(at, at + n), pa.int32()), pa.array([train[t] for t in own], pa.int64()), *none], names)
-        n = len(bags)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(pa.array([b[i] for b in bags], k) for i, k in enumerate(kinds)), pa.array(score)], names)
+            yield _table(_LISTED, n, unit=[unit] * n, kind=[_TOKEN] * n, place=range(at, at + n), n=[train[t] for t in own], token=own)
+        keys, counts = Positions([d[2] for d in docs]).counted(np.array([not d[1] for d in docs]))
+        for at in range(0, len(keys), _ROWS):
+            own = keys[at : at + _ROWS]
+            n = len(own)
+            yield _table(_LISTED, n, unit=[unit] * n, kind=[_KEY] * n, place=range(at, at + n), n=counts[at : at + n], key=own)
+        n = len(docs)
+        ids, held, texts = zip(*docs, strict=True)
+        yield _table(_LISTED, n, unit=[unit] * n, kind=[_DOC] * n, place=range(n), doc_id=ids, held_out=held, text=texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, size = shared.value, [], 0
+        held, size = [], 0
         for b in batches:
             for doc, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
                 if held and size + len(text) > UNIT:
-                    yield from flush(held, model)
+                    yield from flush(held)
                     held, size = [], 0
-                held.append((doc, fold == training_fold, text))
+                held.append((doc, fold == held_fold, text))
                 size += len(text)
         if held:
-            yield from flush(held, model)
+            yield from flush(held)
+
+    return tidied(run)
+
+
+_MIXED = "key long, p binary, last int, decision int, zero double, one double, pw double"
+_TOP = "last int, decision int, zero double, one double, pw double, own double"
+
+
+def _mix_groups(group: pa.Table) -> pa.Table:
+    """Rows of keys with their mixtures, and rows of the group's evidence."""
+    keys, n = group.column("key").to_numpy(), group.column("n").to_numpy()
+    p, decision, zero, one, pw = group_mixture(keys, n)
+    m, last = len(decision), int(keys[0]) >> (8 * DEPTH)
+    rows = _table(_MIXED, len(keys), key=keys, p=[x.tobytes() for x in p])
+    evidence = _table(_MIXED, m, last=[last] * m, decision=decision, zero=zero, one=one, pw=pw)
+    return pa.Table.from_batches([rows, evidence])
+
+
+def _mix_last(group: pa.Table) -> pa.Table:
+    """A last byte's node, from the evidence of the groups below it: at most 256 of them."""
+    decision = group.column("decision").to_numpy()
+    zero, one, below = (np.bincount(decision, group.column(c).to_numpy(), 256) for c in ("zero", "one", "pw"))
+    pw, own = weighted(kt(zero, one), below)
+    ids = np.unique(decision)
+    n = len(ids)
+    columns = {k: v[ids] for k, v in (("zero", zero), ("one", one), ("pw", pw), ("own", own))}
+    return pa.Table.from_batches([_table(_TOP, n, last=[group.column("last")[0].as_py()] * n, decision=ids, **columns)])
+
+
+def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """``shift, scale`` by last byte and decision: the whole mixture is shift + scale * that of the group below."""
+    last, decision = (np.array([r[c] for r in rows], np.int64) for c in ("last", "decision"))
+    zero, one, pw, own = (np.array([r[c] for r in rows], np.float64) for c in ("zero", "one", "pw", "own"))
+    z, o, below = (np.bincount(decision, x, 256) for x in (zero, one, pw))
+    _, root = weighted(kt(z, o), below)
+    at_root = estimate(z, o)
+    shift, scale = np.zeros((256, 256)), np.ones((256, 256))
+    shift[last, decision] = root[decision] * at_root[decision] + (1 - root[decision]) * own * estimate(zero, one)
+    scale[last, decision] = (1 - root[decision]) * (1 - own)
+    return shift, scale
+
+
+def key_logs(units: DataFrame) -> DataFrame:
+    """``key, log``: log10 of the probability of a key's byte in its context, for all keys that are listed."""
+    spark = units.sparkSession
+    counts = units.where(F.col("kind") == _KEY).groupBy("key").agg(F.sum("n").alias("n"))
+    counts = counts.select(F.shiftright("key", _GROUP).alias("last2"), "key", "n")
+    mixed = staged(counts.groupBy("last2").applyInArrow(_mix_groups, _MIXED), "ctw-mixed")
+    tops = mixed.where("key IS NULL").select("last", "decision", "zero", "one", "pw").groupBy("last").applyInArrow(_mix_last, _TOP)
+    shared = spark.sparkContext.broadcast(top_levels(tops.collect()))  # 256 last bytes by 255 decisions at most
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, scale = shared.value
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            p = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, 8)
+            byte, last = keys[:, None] & 255, (keys >> (8 * DEPTH))[:, None]
+            node, bit = (1 << (7 - _BACK)) | (byte >> (_BACK + 1)), (byte >> _BACK) & 1
+            one = np.clip(shift[last, node] + scale[last, node] * p, 1e-12, 1 - 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.log10(np.where(bit, one, 1 - one)).sum(1))], ["key", "log"])
+
+    return mixed.where("key IS NOT NULL").select("key", "p").mapInArrow(tidied(run), "key long, log double")
 
 
 def _scored(total: int, distinct: int):
     floor = np.log10(total + distinct + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(docs: pa.Table, tokens: pa.Table) -> pa.Table:
-        count = np.zeros(tokens.num_rows, np.int64)
-        count[tokens.column("place").to_numpy()] = tokens.column("c").to_numpy()
-        logs = np.log10(count + 1.0)
-        known, base = [], []
-        for ids, times in zip(docs.column("places").to_pylist(), docs.column("times").to_pylist(), strict=True):
-            ids, times = np.cumsum(np.frombuffer(ids, np.int32)), np.frombuffer(times, np.int32)
-            known.append(int(times[count[ids] > 0].sum()))
-            base.append(float((times * logs[ids]).sum() - times.sum() * floor))
-        n = docs.num_rows
-        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(known, pa.int64()), pa.array([total] * n, pa.int64()), pa.array(base, pa.float64()), docs.column("score")], names)
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = docs.sort_by("place")
+        texts = as_bytes(docs.column("text"))
+        kind, place, value = (found.column(c).to_numpy() for c in ("kind", "place", "value"))
+        by_place = {}
+        for k in (_TOKEN, _KEY):
+            by_place[k] = np.zeros(int((kind == k).sum()))
+            by_place[k][place[kind == k]] = value[kind == k]
+        places, sizes, known, base = {}, [], [], []
+        for t in texts:  # places come in the order in which the unit gave them out
+            bag = token_bag(t)
+            at = np.fromiter((places.setdefault(x, len(places)) for x in bag), np.int64, len(bag))
+            times, count = np.fromiter(bag.values(), np.int64, len(bag)), by_place[_TOKEN][at]
+            sizes.append(int(times.sum()))
+            known.append(int(times[count > 0].sum()))
+            base.append(float((times * np.log10(count + 1.0)).sum() - times.sum() * floor))
+        positions = Positions(texts)
+        keys, _ = positions.counted(np.zeros(len(texts), bool))
+        score, n = positions.totals(keys, by_place[_KEY]), docs.num_rows
+        columns = [docs.column("doc_id"), docs.column("held_out"), *(pa.array(x, pa.int64()) for x in (sizes, known, [total] * n))]
+        return pa.Table.from_arrays([*columns, pa.array(base, pa.float64()), pa.array(score)], names)
 
     return run
 
@@ -344,15 +315,19 @@ def _scored(total: int, distinct: int):
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row; learns outside fold ``held``."""
     spark: SparkSession = docs.sparkSession
-    fold = crc_of(F.col("doc_id")) % folds
-    model = spark.sparkContext.broadcast(train(docs.where(fold != held)))
     small_batches(spark)
+    fold = crc_of(F.col("doc_id")) % folds
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), F.col("text").cast("string").alias("text"))
-    bags = staged(source.mapInArrow(_bags(model, held), _BAGS), "bags")
-    tokens = bags.where(F.col("token").isNotNull()).select("unit", "token", "place", "n")
+    units = staged(source.mapInArrow(_units(held), _LISTED), "units")
+    tokens = units.where(F.col("kind") == _TOKEN).select("unit", "kind", "token", "place", "n")
     counts = staged(tokens.groupBy("token").agg(F.sum("n").alias("c")), "token-counts")
     total, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    found = tokens.join(counts, "token").select(F.col("unit").alias("of"), "place", "c")
-    each = bags.where(F.col("token").isNull()).select("unit", "doc_id", "held_out", "n_tokens", "places", "times", "score")
+    logs = staged(key_logs(units), "key-logs")
+    back = [F.col("unit").alias("of"), "kind", "place"]
+    of_tokens = staged(tokens.join(counts, "token").select(*back, F.col("c").cast("double").alias("value")), "unit-counts")
+    drop(counts)
+    of_keys = units.where(F.col("kind") == _KEY).select("unit", "kind", "key", "place").join(logs, "key").select(*back, F.col("log").alias("value"))
+    of_keys = staged(of_keys, "unit-logs")
+    each = units.where(F.col("kind") == _DOC).select("unit", "place", "doc_id", "held_out", "text")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return each.groupBy("unit").cogroup(found.groupBy("of")).applyInArrow(_scored(total, distinct), out)
+    return each.groupBy("unit").cogroup(of_tokens.unionByName(of_keys).groupBy("of")).applyInArrow(_scored(total, distinct), out)

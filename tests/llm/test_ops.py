@@ -385,16 +385,18 @@ def test_lm_base_score(docs):
     assert sorted(held)[len(held) // 2] < 3  # bits a byte; text of letters alone has more than four
 
 
-def test_ctw_equals_the_recursion(spark):
-    """Mixed probabilities, against the textbook recursion over a tree of counts."""
-    rows = [(i, t) for i, t in enumerate(["abab abba", "baab", "", "aé"])]
-    model = ctw.train(spark.createDataFrame(rows, "doc_id long, text string"))
+@pytest.mark.parametrize(("unit", "piece"), [(ctw.UNIT, ctw.PIECE), (12, 5)])
+def test_ctw_equals_the_recursion(spark, monkeypatch, unit, piece):
+    """Scores of all texts, against the textbook recursion over a tree of counts, whatever the units."""
+    monkeypatch.setattr(ctw, "UNIT", unit)
+    monkeypatch.setattr(ctw, "PIECE", piece)
+    texts = ["abab abba", "baab", "", "aé", "abba", "zz", "éa", "abab abab abab", "b\0b", "abba"]
+    rows = list(enumerate(texts))
+    held = {i for i, _ in rows if crc32(str(i).encode()) % 7 == 2}
+    assert held and len(held) < len(rows)
     counts: dict = {}
-    symbols = []
-    for _, t in rows:
-        data = b"\0\0\0" + t.encode() + b"\xff"
-        for i in range(3, len(data)):
-            symbols.append((context_bits(data[:i]), data[i]))
+    symbols = lambda t: [((b"\0" * ctw.DEPTH + t.encode() + b"\xff")[: i + ctw.DEPTH], b) for i, b in enumerate(t.encode() + b"\xff")]
+    context = lambda before, d: before[len(before) - d :]
 
     def nodes(byte):
         node = 1
@@ -403,42 +405,34 @@ def test_ctw_equals_the_recursion(spark):
             yield node, bit
             node = 2 * node + bit
 
-    for bits, byte in symbols:
-        for node, bit in nodes(byte):
-            for d in range(ctw.DEPTH + 1):
-                counts.setdefault((node, bits[:d]), [0, 0])[bit] += 1
+    for i, t in rows:
+        for before, byte in symbols(t) if i not in held else ():
+            for node, bit in nodes(byte):
+                for d in range(ctw.DEPTH + 1):
+                    counts.setdefault((node, context(before, d)), [0, 0])[bit] += 1
 
     def log_kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
-    def log_pw(node, bits):
-        if (node, bits) not in counts:
-            return 0.0
-        own = log_kt(*counts[node, bits])
-        if len(bits) == ctw.DEPTH:
+    def log_pw(node, ctx):
+        own = log_kt(*counts.get((node, ctx), (0, 0)))
+        if len(ctx) == ctw.DEPTH:
             return own
-        rest = log_pw(node, bits + "0") + log_pw(node, bits + "1")
+        rest = sum(log_pw(node, c) for n, c in list(counts) if n == node and len(c) == len(ctx) + 1 and c.endswith(ctx))
         return max(own, rest) + math.log1p(math.exp(-abs(own - rest))) - math.log(2)
 
-    def mixed(node, bits, d):
-        a, b = counts.get((node, bits[:d]), (0, 0))
+    def mixed(node, before, d):
+        a, b = counts.get((node, context(before, d)), (0, 0))
         p = (b + 0.5) / (a + b + 1)
         if d == ctw.DEPTH:
             return p
-        w = math.exp(log_kt(a, b) - math.log(2) - log_pw(node, bits[:d]))
-        return w * p + (1 - w) * mixed(node, bits, d + 1)
+        w = math.exp(log_kt(a, b) - math.log(2) - log_pw(node, context(before, d)))
+        return w * p + (1 - w) * mixed(node, before, d + 1)
 
-    for text in (b"abba", b"zz", "éa".encode()):
-        data, total = b"\0\0\0" + text + b"\xff", 0.0
-        for i in range(3, len(data)):
-            for node, bit in nodes(data[i]):
-                p = mixed(node, context_bits(data[:i]), 0)
-                total += math.log10(p if bit else 1 - p)
-        assert model.scores([text])[0] == pytest.approx(total, rel=1e-4)
-
-
-def context_bits(before: bytes) -> str:
-    return "".join(f"{before[-k] & (1 << n) - 1:0{n}b}" for k, n in enumerate(ctw.BITS, 1))
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for i, t in rows:
+        want = sum(math.log10(p if bit else 1 - p) for before, byte in symbols(t) for node, bit in nodes(byte) for p in [mixed(node, before, 0)])
+        assert got[i] == pytest.approx(want, rel=1e-9)
 
 
 def test_lm_of_odd_texts(odd, none):
