@@ -24,6 +24,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,43 +55,56 @@ class Positions:
         self.start = np.cumsum(self.sizes) - self.sizes
 
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places, and the keys there, a piece at a time; the zeros before texts are no places."""
+        """Texts by number, and the keys at their places, a piece at a time; the zeros before texts are no places."""
         for at in range(DEPTH, len(self.data), PIECE):
             end = min(at + PIECE, len(self.data))
             keys = np.zeros(end - at, np.int64)
             for back in (*range(1, DEPTH + 1), 0):
-                keys = (keys << 8) | self.data[at - back : end - back]
+                keys <<= 8
+                keys |= self.data[at - back : end - back]
+            low, high = np.searchsorted(self.start, (at, end - 1), "right") - 1
+            edges = np.concatenate(([at], self.start[low + 1 : high + 1], [end]))
+            text = np.repeat(np.arange(low, high + 1), np.diff(edges))
             real = np.ones(end - at, bool)
-            starts = self.start[(self.start > at - DEPTH) & (self.start < end)]
+            starts = self.start[max(low, 0) : high + 1]
             for i in range(DEPTH):
                 own = starts + i - at
                 real[own[(own >= 0) & (own < end - at)]] = False
-            yield np.flatnonzero(real) + at, keys[real]
+            yield text[real], keys[real]
 
     def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and how often the texts to train on have them."""
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for places, own in self.pieces():
-            n = train[np.searchsorted(self.start, places, "right") - 1].astype(np.int64)
-            keys, counts = _sums(np.concatenate((keys, own)), np.concatenate((counts, n)))
-        return keys, counts
+        each = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for text, keys in self.pieces():
+            keys = np.sort((keys << 1) | train[text])  # sorting numbers alone is much faster than sorting places
+            first = _firsts(keys >> 1)
+            each.append((keys[first] >> 1, np.add.reduceat(keys & 1, first) if len(first) else keys))
+        return _sums(*map(np.concatenate, zip(*each, strict=True)))
 
     def totals(self, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """The sum of each text's logs."""
+        """The sum of each text's logs; ``keys`` has all that the texts have, in order."""
         out = np.zeros(len(self.start))
-        for places, own in self.pieces():
-            each = logs[np.searchsorted(keys, own)]
-            text = np.searchsorted(self.start, places, "right") - 1
-            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-            if len(places):
-                out[text[first]] += np.add.reduceat(each, first)
+        for text, own in self.pieces():
+            if not len(text):
+                continue
+            base, width = int(text[0]), int(text[-1] - text[0] + 1).bit_length()
+            both = np.sort((own << width) | (text - base))  # a piece has fewer texts than bits are left
+            own = both >> width
+            first = _firsts(own)
+            each = np.repeat(logs[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
+            sums = np.bincount(both & ((1 << width) - 1), each)
+            out[base : base + len(sums)] += sums
         return out
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -161,7 +175,8 @@ def group_mixture(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p.reshape(-1, 8), ids & 255, zero, one, pw
 
 
-_LISTED = "unit long, kind int, place int, n long, token binary, key long, doc_id long, held_out boolean, text binary"
+#: ``place`` is a word's or a document's number in its unit, and of a key the key itself.
+_LISTED = "unit long, kind int, place long, n long, token binary, doc_id long, held_out boolean, text binary"
 _TOKEN, _KEY, _DOC = 0, 1, 2
 _ROWS = 50_000
 
@@ -177,36 +192,31 @@ def _table(schema: str, n: int, /, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _fields(schema))
 
 
-def token_bag(text: bytes) -> Counter:
-    bag = Counter(text.lower().split())
-    bag[END_TOKEN] = 1
-    return bag
+def words_of(text: bytes) -> list[bytes]:
+    return [*text.lower().split(), END_TOKEN]
 
 
 def _units(held_fold: int):
     """Rows of units: their words and keys with training counts, and their documents in order."""
 
     def flush(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        unit, places, train = uuid.uuid4().int >> 65, {}, Counter()
+        unit, seen, train = uuid.uuid4().int >> 65, {}, Counter()
         for _, held, text in docs:
-            bag = token_bag(text)
-            for t in bag:
-                places.setdefault(t, len(places))
+            words = words_of(text)
+            seen.update(dict.fromkeys(words))
             if not held:
-                train.update(bag)
-        token = list(places)
-        for at in range(0, len(token), _ROWS):
-            own = token[at : at + _ROWS]
-            n = len(own)
-            yield _table(_LISTED, n, unit=[unit] * n, kind=[_TOKEN] * n, place=range(at, at + n), n=[train[t] for t in own], token=own)
-        keys, counts = Positions([d[2] for d in docs]).counted(np.array([not d[1] for d in docs]))
-        for at in range(0, len(keys), _ROWS):
-            own = keys[at : at + _ROWS]
-            n = len(own)
-            yield _table(_LISTED, n, unit=[unit] * n, kind=[_KEY] * n, place=range(at, at + n), n=counts[at : at + n], key=own)
+                train.update(words)
+        token = list(seen)
+        counts = np.fromiter(map(train.get, token, repeat(0)), np.int64, len(token))
+        keys, times = Positions([d[2] for d in docs]).counted(np.array([not d[1] for d in docs]))
+        for kind, places, n_of in ((_TOKEN, np.arange(len(token)), counts), (_KEY, keys, times)):
+            for at in range(0, len(places), _ROWS):
+                own, n = slice(at, at + _ROWS), len(places[at : at + _ROWS])
+                more = {"token": token[own]} if kind == _TOKEN else {}
+                yield _table(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, kind, np.int32), place=places[own], n=n_of[own], **more)
         n = len(docs)
         ids, held, texts = zip(*docs, strict=True)
-        yield _table(_LISTED, n, unit=[unit] * n, kind=[_DOC] * n, place=range(n), doc_id=ids, held_out=held, text=texts)
+        yield _table(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, _DOC, np.int32), place=np.arange(n), doc_id=ids, held_out=held, text=texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -224,7 +234,6 @@ def _units(held_fold: int):
 
 
 _MIXED = "key long, p binary, last int, decision int, zero double, one double, pw double"
-_TOP = "last int, decision int, zero double, one double, pw double, own double"
 
 
 def _mix_groups(group: pa.Table) -> pa.Table:
@@ -237,23 +246,16 @@ def _mix_groups(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows, evidence])
 
 
-def _mix_last(group: pa.Table) -> pa.Table:
-    """A last byte's node, from the evidence of the groups below it: at most 256 of them."""
-    decision = group.column("decision").to_numpy()
-    zero, one, below = (np.bincount(decision, group.column(c).to_numpy(), 256) for c in ("zero", "one", "pw"))
-    pw, own = weighted(kt(zero, one), below)
-    ids = np.unique(decision)
-    n = len(ids)
-    columns = {k: v[ids] for k, v in (("zero", zero), ("one", one), ("pw", pw), ("own", own))}
-    return pa.Table.from_batches([_table(_TOP, n, last=[group.column("last")[0].as_py()] * n, decision=ids, **columns)])
-
-
 def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """``shift, scale`` by last byte and decision: the whole mixture is shift + scale * that of the group below."""
+    """``shift, scale`` by last byte and decision: the whole mixture is shift + scale * that of the group below.
+
+    ``rows`` are the sums of the groups' evidence by last byte and decision.
+    """
     last, decision = (np.array([r[c] for r in rows], np.int64) for c in ("last", "decision"))
-    zero, one, pw, own = (np.array([r[c] for r in rows], np.float64) for c in ("zero", "one", "pw", "own"))
-    z, o, below = (np.bincount(decision, x, 256) for x in (zero, one, pw))
-    _, root = weighted(kt(z, o), below)
+    zero, one, below = (np.array([r[c] for r in rows], np.float64) for c in ("zero", "one", "pw"))
+    pw, own = weighted(kt(zero, one), below)
+    z, o, all_below = (np.bincount(decision, x, 256) for x in (zero, one, pw))
+    _, root = weighted(kt(z, o), all_below)
     at_root = estimate(z, o)
     shift, scale = np.zeros((256, 256)), np.ones((256, 256))
     shift[last, decision] = root[decision] * at_root[decision] + (1 - root[decision]) * own * estimate(zero, one)
@@ -264,10 +266,10 @@ def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:
 def key_logs(units: DataFrame) -> DataFrame:
     """``key, log``: log10 of the probability of a key's byte in its context, for all keys that are listed."""
     spark = units.sparkSession
-    counts = units.where(F.col("kind") == _KEY).groupBy("key").agg(F.sum("n").alias("n"))
+    counts = units.where(F.col("kind") == _KEY).groupBy(F.col("place").alias("key")).agg(F.sum("n").alias("n"))
     counts = counts.select(F.shiftright("key", _GROUP).alias("last2"), "key", "n")
     mixed = staged(counts.groupBy("last2").applyInArrow(_mix_groups, _MIXED), "ctw-mixed")
-    tops = mixed.where("key IS NULL").select("last", "decision", "zero", "one", "pw").groupBy("last").applyInArrow(_mix_last, _TOP)
+    tops = mixed.where("key IS NULL").groupBy("last", "decision").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "pw")])
     shared = spark.sparkContext.broadcast(top_levels(tops.collect()))  # 256 last bytes by 255 decisions at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,22 +293,22 @@ def _scored(total: int, distinct: int):
         docs = docs.sort_by("place")
         texts = as_bytes(docs.column("text"))
         kind, place, value = (found.column(c).to_numpy() for c in ("kind", "place", "value"))
-        by_place = {}
-        for k in (_TOKEN, _KEY):
-            by_place[k] = np.zeros(int((kind == k).sum()))
-            by_place[k][place[kind == k]] = value[kind == k]
-        places, sizes, known, base = {}, [], [], []
-        for t in texts:  # places come in the order in which the unit gave them out
-            bag = token_bag(t)
-            at = np.fromiter((places.setdefault(x, len(places)) for x in bag), np.int64, len(bag))
-            times, count = np.fromiter(bag.values(), np.int64, len(bag)), by_place[_TOKEN][at]
-            sizes.append(int(times.sum()))
-            known.append(int(times[count > 0].sum()))
-            base.append(float((times * np.log10(count + 1.0)).sum() - times.sum() * floor))
-        positions = Positions(texts)
-        keys, _ = positions.counted(np.zeros(len(texts), bool))
-        score, n = positions.totals(keys, by_place[_KEY]), docs.num_rows
-        columns = [docs.column("doc_id"), docs.column("held_out"), *(pa.array(x, pa.int64()) for x in (sizes, known, [total] * n))]
+        (at, counts), (keys, logs) = ((place[kind == k], value[kind == k]) for k in (_TOKEN, _KEY))
+        counts = counts[np.argsort(at)]
+        known, parts = counts > 0, np.log10(counts + 1.0) - floor
+        seen, sizes, n_known, base = {}, [], [], []
+        each = [words_of(t) for t in texts]
+        for words in each:
+            seen.update(dict.fromkeys(words))  # words are numbered in the order in which the unit listed them
+        number = dict(zip(seen, range(len(seen)), strict=True))
+        for words in each:
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            sizes.append(len(ids))
+            n_known.append(int(known[ids].sum()))
+            base.append(float(parts[ids].sum()))
+        order = np.argsort(keys)
+        score, n = Positions(texts).totals(keys[order], logs[order]), docs.num_rows
+        columns = [docs.column("doc_id"), docs.column("held_out"), *(pa.array(x, pa.int64()) for x in (sizes, n_known, [total] * n))]
         return pa.Table.from_arrays([*columns, pa.array(base, pa.float64()), pa.array(score)], names)
 
     return run
@@ -326,7 +328,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     back = [F.col("unit").alias("of"), "kind", "place"]
     of_tokens = staged(tokens.join(counts, "token").select(*back, F.col("c").cast("double").alias("value")), "unit-counts")
     drop(counts)
-    of_keys = units.where(F.col("kind") == _KEY).select("unit", "kind", "key", "place").join(logs, "key").select(*back, F.col("log").alias("value"))
+    of_keys = units.where(F.col("kind") == _KEY).join(logs, F.col("place") == F.col("key")).select(*back, F.col("log").alias("value"))
     of_keys = staged(of_keys, "unit-logs")
     each = units.where(F.col("kind") == _DOC).select("unit", "place", "doc_id", "held_out", "text")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
