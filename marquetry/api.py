@@ -73,18 +73,21 @@ class Catalog:
 
     # Records
 
-    def ingest(self, records: DataFrame, batch: str | None = None) -> Ingested:
-        """Merges canonical records that have a unique ``seq``, later than those of any batch before, in its order."""
+    def ingest(self, records: DataFrame, batch: str | None = None, also: dict[str, DataFrame] | None = None) -> Ingested:
+        """Merges canonical records that have a unique ``seq``, later than those of any batch before, in its order.
+
+        Rows of other tables that belong to the batch (``also``) become visible with it.
+        """
         valid, invalid = validate.split_valid(records)
         valid = cut(valid)
         for attempt in range(ATTEMPTS):
             try:
-                return self._ingest(valid, invalid, batch)
+                return self._ingest(valid, invalid, batch, also or {})
             except Changed:
                 if attempt == ATTEMPTS - 1:
                     raise
 
-    def _ingest(self, valid: DataFrame, invalid: DataFrame, batch: str | None) -> Ingested:
+    def _ingest(self, valid: DataFrame, invalid: DataFrame, batch: str | None, also: dict[str, DataFrame]) -> Ingested:
         generation = self.store.generation()
         ids = identity.exploded_ids(valid)
         stored = self.table("media_external_id")
@@ -95,10 +98,10 @@ class Catalog:
         taken = cut(valid.join(placed.where("media_id IS NOT NULL").select("seq", "media_id"), "seq"))
         refused = valid.join(placed.where("media_id IS NULL").select("seq", F.col("status").alias("reason")), "seq")
         counts = {r["status"]: r["n"] for r in placed.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self._write_media(taken, batch, generation)
+        self._write_media(taken, batch, generation, also)
         return Ingested(counts.get("inserted", 0), counts.get("updated", 0), invalid.unionByName(refused.select(*invalid.columns)))
 
-    def _write_media(self, taken: DataFrame, batch: str | None, generation: int) -> None:
+    def _write_media(self, taken: DataFrame, batch: str | None, generation: int, also: dict[str, DataFrame]) -> None:
         touched = taken.select("media_id").distinct()
         media, provenance = self.table("media"), self.table("field_provenance")
         old = media.join(touched, "media_id", "left_semi")
@@ -120,6 +123,7 @@ class Catalog:
                 "media_external_id": merge.last_wins(new_ids, key, "media_id"),
                 "source_record": merge.last_wins(payload, key, "media_id"),
                 "field_provenance": merge.provenance_rows(merged, "media_id").withColumn("updated_at", F.current_timestamp()),
+                **also,
             },
             batch,
             generation,

@@ -7,6 +7,7 @@ one that fails leaves its error and no rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from marquetry.functions.scalars import upper_ascii
 from marquetry.operators import episodes
 from marquetry.operators.search import SearchOptions, title_contains
+from marquetry.sources.paged import retried
 from marquetry.sources.registry import union_of
 
 Reader = Callable[..., DataFrame]
@@ -140,22 +142,29 @@ class Remote:
         return episodes.merge_effective(rows).orderBy("number")
 
 
-def fetch_each(targets: DataFrame, fetch: FetchItem) -> DataFrame:
+def fetch_each(targets: DataFrame, fetch: FetchItem, interval: float = 0.0, retries: int = 3) -> DataFrame:
     """``media_id, source, source_id, seq, raw_json, error`` for targets ``media_id, source, source_id``.
 
-    Each target is fetched in an executor; a failure is a row with its error, so that others go on.
+    Each target is fetched in an executor; a failure is a row with its error, so that others go on. A source that wants
+    an interval between calls is asked by one task alone, with that interval; one that asks to wait is asked again.
     """
     names = ["media_id", "source", "source_id", "pos", "raw_json", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = False
         for b in batches:
             rows = []
             for media, source, source_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if asked and interval:
+                    time.sleep(interval)
+                asked = True
                 try:
-                    rows += [(media, source, source_id, i, x, None) for i, x in enumerate(fetch(source_id))]
+                    rows += [(media, source, source_id, i, x, None) for i, x in enumerate(retried(lambda i=source_id: fetch(i), retries))]
                 except Exception as e:  # noqa: BLE001  whatever goes wrong with one item
                     rows.append((media, source, source_id, 0, None, str(e)))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return targets.select("media_id", "source", "source_id").mapInArrow(run, "media_id long, source string, source_id string, pos long, raw_json string, error string")
+    targets = targets.select("media_id", "source", "source_id")
+    targets = targets.repartition(1) if interval else targets
+    return targets.mapInArrow(run, "media_id long, source string, source_id string, pos long, raw_json string, error string")

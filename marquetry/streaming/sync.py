@@ -1,7 +1,8 @@
 """Sync: paged ingestion that can be resumed, page by page or as a stream.
 
-After each page its number is kept as the cursor. A run starts at the page that is asked for, else at the
-cursor, else at the source's first page; so the last page is read twice, which a keyed merge forgives.
+Pages are gathered to batches of BATCH items, and a batch becomes visible with the number of its last page as the cursor. A run
+starts at the page that is asked for, else at the cursor, else at the source's first page; so the last page is
+read twice, which a keyed merge forgives.
 """
 
 from __future__ import annotations
@@ -11,15 +12,24 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.api import Catalog
 from marquetry.schemas import SYNC_MODES, SYNC_STATE
+from marquetry.sources.clients import PROJECTIONS, Source
 from marquetry.sources.paged import LIMITS, page_size, retried
 from marquetry.sources.remote import FetchItem, fetch_each
 from marquetry.store import cut
 
+#: Items that are merged at once: a merge reads what the catalog has of them, so it isn't done for every page.
+BATCH = 2000
+# What a sync of all sources asks for, in an order that decides ties.
+DEFAULT_ORDER = (
+    ("anilist", "anime"), ("jikan", "anime"), ("kitsu", "anime"), ("anilist", "manga"), ("jikan", "manga"), ("kitsu", "manga"),
+    ("tvmaze", "show"), ("imdb", "show"), ("imdb", "movie"),
+)
+
 Project = Callable[[DataFrame], DataFrame]
 FetchPage = Callable[[int, int], tuple[list[str], bool]]
 
@@ -63,22 +73,25 @@ class SyncReport:
 class Sync:
     """``project`` makes canonical records of rows with ``seq`` and ``raw_json``, and keeps ``seq``."""
 
-    def __init__(self, catalog: Catalog, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.catalog, self.sleep = catalog, sleep
+    def __init__(self, catalog: Catalog, sleep: Callable[[float], None] = time.sleep, paced: bool = True) -> None:
+        """``sleep`` waits between pages; executors keep to the sources' intervals if ``paced``."""
+        self.catalog, self.sleep, self.paced = catalog, sleep, paced
 
     def state(self, source: str, scope: str) -> dict | None:
         row = self.catalog.table("sync_state").where((F.col("source") == source) & (F.col("scope") == scope)).first()
         return row.asDict() if row else None
 
-    def save(self, request: SyncRequest, page: int | None, error: str | None = None) -> None:
+    def state_row(self, request: SyncRequest, page: int | None, error: str | None = None) -> DataFrame:
         """An error, or an empty first page, keeps the cursor that was there."""
         if request.mode not in SYNC_MODES:
             raise ValueError(f"unknown sync mode: {request.mode}")
         old = self.state(request.source, request.scope) or {}
         page = old.get("page") if page is None else page
         done = old.get("last_success_at") if error else str(int(time.time()))
-        row = self.catalog.spark.createDataFrame([(request.source, request.scope, page, done, error, page, request.mode)], SYNC_STATE)
-        self.catalog.store.merge({"sync_state": row})
+        return self.catalog.spark.createDataFrame([(request.source, request.scope, page, done, error, page, request.mode)], SYNC_STATE)
+
+    def save(self, request: SyncRequest, page: int | None, error: str | None = None) -> None:
+        self.catalog.store.merge({"sync_state": self.state_row(request, page, error)})
 
     def next_seq(self) -> int:
         """The first arrival number that no batch has used: the pointer names it after the last colon."""
@@ -95,30 +108,67 @@ class Sync:
         page = next(p for p in (request.start_page, old.get("page"), limits.first_page) if p is not None)
         pages = upserted = 0
         last: int | None = None
+        waiting: list[str] = []
+
+        def store() -> int:
+            """What waits becomes one batch, with the cursor."""
+            done = self.ingest(waiting, project, {"sync_state": self.state_row(request, last)}) if waiting else 0
+            waiting.clear()
+            return done
+
         try:
             while (request.max_pages is None or pages < request.max_pages) and (limits.last_page is None or page <= limits.last_page):
-                items, more = retried(lambda: fetch(page, size), sleep=self.sleep)
+                try:
+                    items, more = retried(lambda: fetch(page, size), sleep=self.sleep)
+                except Exception:
+                    upserted += store()  # the pages before stay
+                    raise
                 if not items:
-                    self.save(request, last)
                     break
-                upserted += self.ingest(items, project)
+                waiting += items
                 pages, last = pages + 1, page
-                self.save(request, page)
+                if len(waiting) >= BATCH:
+                    upserted += store()
                 if not more:
                     break
                 page += 1
                 self.sleep(limits.interval)
+            upserted += store()
+            if not pages:
+                self.save(request, None)
         except Exception as e:
-            self.save(request, last, str(e))
+            self.save(request, None, str(e))
             raise
         return SyncOutcome(source, request.media_kind, pages, upserted, last)
 
-    def ingest(self, items: list[str], project: Project) -> int:
+    def ingest(self, items: list[str], project: Project, also: dict[str, DataFrame] | None = None) -> int:
         base = self.next_seq()
         rows = self.catalog.spark.createDataFrame([(base + i, x) for i, x in enumerate(items)], "seq long, raw_json string")
-        done = self.catalog.ingest(project(rows), f"seq:{base + len(items)}")
+        done = self.catalog.ingest(project(rows), f"seq:{base + len(items)}", also)
         return done.inserted + done.updated
 
+    def sync_source(self, source: Source, kind: str, **request: object) -> SyncOutcome:
+        """A source's pages of one kind."""
+        return self.run(source.name, source.pages(kind), lambda rows: PROJECTIONS[source.name](rows, kind), SyncRequest(source.name, kind, **request))
+
+    def sync_dump(self, kind: str, rows: DataFrame, source: str = "imdb") -> SyncOutcome:
+        """Canonical rows of a whole dump, in one batch."""
+        request, base = SyncRequest(source, kind), self.next_seq()
+        rows = cut(rows.where(F.col("media_kind") == kind).withColumn("seq", F.monotonically_increasing_id() + base))
+        upto = (rows.agg(F.max("seq")).first()[0] or base - 1) + 1
+        done = self.catalog.ingest(rows, f"seq:{upto}", {"sync_state": self.state_row(request, 1)})
+        return SyncOutcome(source, kind, 1, done.inserted + done.updated, 1)
+
+    def sync_default_sources(self, sources: dict[str, Source], dump: DataFrame | None = None, **request: object) -> SyncReport:
+        """All sources that are given, and a dump's rows, in the fixed order."""
+        out = []
+        for name, kind in DEFAULT_ORDER:
+            if name in sources:
+                out.append(self.sync_source(sources[name], kind, **request))
+            elif name == "imdb" and dump is not None:
+                out.append(self.sync_dump(kind, dump))
+        return SyncReport(out)
+
     def run_all(self, jobs: Iterable[tuple[str, FetchPage, Project, SyncRequest]]) -> SyncReport:
         """Sources in the given order, which decides ties."""
         return SyncReport([self.run(*j) for j in jobs])
@@ -131,10 +181,10 @@ class Sync:
         failed, rows = [], []
         targets = self.catalog.episode_candidates()
         for i, source in enumerate(fetch):
-            got = cut(fetch_each(targets.where(F.col("source") == source), fetch[source]))
+            got = cut(fetch_each(targets.where(F.col("source") == source), fetch[source], LIMITS[source].interval if self.paced else 0.0))
             failed.append(got.where("error IS NOT NULL").select("media_id", "source", "source_id", "error"))
             # Sources come in order; within an item its own order decides.
-            numbered = got.where("raw_json IS NOT NULL").withColumn("seq", F.lit(i * 1_000_000).cast("long") + F.col("pos"))
+            numbered = got.where("raw_json IS NOT NULL").withColumn("seq", F.lit(i << 48).cast("long") + F.col("pos"))
             for_media = numbered.select(F.struct("media_id", "seq").alias("seq"), "raw_json")
             rows.append(project[source](for_media).withColumn("media_id", F.col("seq.media_id")).withColumn("seq", F.col("seq.seq")))
         if rows:
@@ -152,11 +202,24 @@ class Sync:
             done = f"stream-{checkpoint}-"
             if named.startswith(done) and int(named.removeprefix(done).partition(":")[0]) >= number:
                 return
-            base, n = self.next_seq(), batch.count()
-            if n:
-                # A batch is a page or a few, whose order is the order of arrival.
-                order = F.row_number().over(Window.orderBy("page", "pos"))
-                self.catalog.ingest(project(batch.select((F.lit(base) + order - 1).cast("long").alias("seq"), "raw_json")), f"{done}{number}:{base + n}")
+            batch = cut(batch)
+            base, n, begins = self.next_seq(), 0, {}
+            for r in batch.groupBy("page").agg(F.max("pos").alias("last")).orderBy("page").collect():  # a row for each page of the batch
+                begins[r["page"]] = n
+                n += r["last"] + 1
+            if begins:
+                own = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv])[F.col("page")]
+                self.catalog.ingest(project(batch.select((F.lit(base) + own + F.col("pos")).cast("long").alias("seq"), "raw_json")), f"{done}{number}:{base + n}")
 
         return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+
+def sync_database(spark: SparkSession, path: str, sources: dict[str, Source], dump: DataFrame | None = None, **request: object) -> SyncReport:
+    """Opens or makes the catalog at ``path`` and syncs all sources into it."""
+    return Sync(Catalog(spark, path)).sync_default_sources(sources, dump, **request)
+
+
+def generate_database(spark: SparkSession, path: str, sources: dict[str, Source], dump: DataFrame | None = None, **request: object) -> tuple[Catalog, SyncReport]:
+    """As `sync_database`; gives the catalog too."""
+    catalog = Catalog(spark, path)
+    return catalog, Sync(catalog).sync_default_sources(sources, dump, **request)

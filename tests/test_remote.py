@@ -79,7 +79,7 @@ def test_fetch_each(spark):
 def test_enrich_episodes(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "catalog"))
     catalog.ingest(records(spark, 0, SHOWS[1], SHOWS[2]))
-    failed = Sync(catalog).enrich_episodes({"tvmaze": fetch_one}, {"tvmaze": payloads.show_episodes})
+    failed = Sync(catalog, paced=False).enrich_episodes({"tvmaze": fetch_one}, {"tvmaze": payloads.show_episodes})
     assert [(r["source_id"], r["error"]) for r in failed.collect()] == [("2", "no such show")]
     assert [(r["episode_number"], r["title_display"]) for r in catalog.episodes_for(0).collect()] == [(1, "E1"), (2, "E2")]
 
