@@ -528,11 +528,42 @@ def test_empty_tables(spark, none):
         assert out.count() == 0
 
 
-def test_repeated_rows_do_not_crash(odd):
-    twice = odd.unionByName(odd)
-    n = 2 * len(ODD)
-    for out in (quality.judge(twice), linededup.dedup_lines(twice), simhash.near_duplicates(twice), bytespans.dedup_bytes(twice), pii.personal_data(twice), langid.identify(twice), ctw.score(twice), mixing.mix(twice)):
-        assert out.count() == n
+#: Operators and the columns that tell a row's result, of rows ``doc_id, text, lang, source``.
+BY_ROW = {
+    "quality": lambda d: quality.judge(d).select("doc_id", "n_words", "n_dup_lines", "n_repeat_words", "kept"),
+    "lines": lambda d: linededup.dedup_lines(d).select("doc_id", "text", "n_dropped"),
+    "simhash": lambda d: simhash.near_duplicates(d).select("doc_id", "fp", "component_id"),
+    "pii": lambda d: pii.personal_data(d).select("doc_id", "spans"),
+    "language": lambda d: langid.identify(d).select("doc_id", "lang_pred", "score"),
+    "words": lambda d: ctw.score(d).select("doc_id", "held_out", "n_tokens", "n_known"),
+    "sizes": lambda d: mixing.mix(d).select("doc_id", "source", "size"),
+}
+
+
+@pytest.mark.parametrize("name", BY_ROW)
+def test_repeated_rows(odd, name):
+    """Each of two equal rows gets the result that one alone gets."""
+    once = Counter(map(tuple, BY_ROW[name](odd).collect()))
+    assert Counter(map(tuple, BY_ROW[name](odd.unionByName(odd)).collect())) == {k: 2 * n for k, n in once.items()}
+
+
+@pytest.mark.parametrize("name", BY_ROW)
+def test_rows_without_an_id(spark, name):
+    """Rows without an id are judged as others are; a component has the least id there is."""
+    rows = [(None, LONG * 3, "en", "a"), (None, LONG * 3, "en", "a"), (4, LONG * 3, "en", "a"), (None, "Something else, alone.", "de", None), (None, None, None, None), (5, "vierte Zeile", "de", "b")]
+    got = [tuple(r) for r in BY_ROW[name](spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()]
+    assert len(got) == len(rows) and sum(r[0] is None for r in got) == 4
+    if name not in ("words", "lines"):  # folds go by id, and so do kept lines
+        assert len({r[1:] for r in got if r[1:] == next(x[1:] for x in got if x[0] == 4)}) == 1
+        assert sum(r[1:] == next(x[1:] for x in got if x[0] == 4) for r in got) >= 3
+
+
+def test_repeated_pages(spark):
+    """Of equal payloads each row with the largest id is a response, and every row comes back once."""
+    rows = spark.createDataFrame([*PAGES, *PAGES, (None, "http://x", "<p>a</p>"), (None, "http://x", "alone"), (None, "http://x", "alone")], "page_id long, url string, html string").repartition(3)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive(rows).collect())
+    want = {p: (None if h != "<p>a</p>" or p == 6 else 6) for p, _, h in PAGES} | {3: 4}
+    assert got == {(p, "response" if to is None else "revisit", to): 2 for p, to in want.items()} | {(None, "revisit", 6): 1, (None, "response", None): 2}
 
 
 def test_one_query_for_each_operator():
