@@ -69,9 +69,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     url = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     body = b"" if revisit else payload
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    named = lambda i: f"<urn:page:{'' if i is None else i}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {named(page_id)}", f"WARC-Date: {DATE}"]
+    head += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
@@ -216,7 +218,9 @@ def _range_reader(folder: str, payloads: bool):
             revisit = own["warc-type"] == "revisit"
             if not revisit and f"sha1:{sha1_digest(payload)}" != own["warc-payload-digest"]:
                 raise ValueError(f"the payload of {own['warc-record-id']} differs from its digest")
-            rows.append((_named(own["warc-record-id"]), int(http["content-length"]), own["warc-payload-digest"].removeprefix("sha1:"), own["warc-type"], _named(own.get("warc-refers-to")), payload if payloads and not revisit else None))
+            digest, refers_to = own["warc-payload-digest"].removeprefix("sha1:"), _named(own.get("warc-refers-to"))
+            page, size, kept = _named(own["warc-record-id"]), int(http["content-length"]), payload if payloads and not revisit else None
+            rows.append((page, size, digest, own["warc-type"], refers_to, kept))
         if opened[1]:
             opened[1].close()
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
