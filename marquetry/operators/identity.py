@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.store import cut
+from marquetry.store import cut, drop_cuts
 
 
 def exploded_ids(records: DataFrame, seq: str = "seq") -> DataFrame:
@@ -39,15 +39,18 @@ def components(ids: DataFrame, seq: str = "seq", max_rounds: int = 50) -> DataFr
     minima that combine before the shuffle, so a hot id is no burden. Lineage is cut each round.
     """
     links = cut(ids.select(F.col(seq).alias("r"), F.struct("media_kind", "source", "source_id").alias("k")).distinct())
-    labels = links.select("r", F.col("r").alias("label")).distinct()
+    labels, made = links.select("r", F.col("r").alias("label")).distinct(), None
     for _ in range(max_rounds):
         of_id = links.join(labels, "r").groupBy("k").agg(F.min("label").alias("label"))
         near = links.join(of_id, "k").groupBy("r").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("r").alias("near"), F.col("label").alias("far"))
         new = near.join(labels, "r").join(jump, "near", "left").select("r", F.least("near", F.coalesce("far", "near")).alias("label"), F.col("label").alias("was"))
-        new = cut(new.select("r", "label", (F.col("label") != F.col("was")).alias("moved")))
-        labels = new.select("r", "label")
-        if new.where("moved").isEmpty():
+        last, made = made, cut(new.select("r", "label", (F.col("label") != F.col("was")).alias("moved")))
+        if last is not None:
+            drop_cuts(last)
+        labels = made.select("r", "label")
+        if made.where("moved").isEmpty():
+            drop_cuts(links)
             return labels.select(F.col("r").alias(seq), F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.operators.merge import last_wins
+from marquetry.store import scratch_folder
 
 KEYS = ("user_id", "event_type")
 
@@ -30,7 +31,7 @@ def replay_events(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
     Batches append to the sink under their numbers, so a batch that is run again replaces its own rows.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _local(spark)).rstrip("/") + f"/replay-{uuid.uuid4().hex}"
+    base = f"{scratch_folder(spark)}/replay-{uuid.uuid4().hex}"
     events = file_stream(spark, folder, name)
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -39,11 +40,3 @@ def replay_events(spark: SparkSession, folder: str, name: str) -> DataFrame:
     run = running_last(events.select(*KEYS, "event_id", "props")).writeStream.outputMode("update").foreachBatch(upsert)
     run.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return last_wins(spark.read.parquet(f"{base}/sink").select(*KEYS, "event_id", "props"), list(KEYS), "event_id")
-
-
-def _local(spark: SparkSession) -> str:
-    import tempfile
-
-    if spark.sparkContext.master.split("[")[0] == "local":
-        return tempfile.mkdtemp(prefix="marquetry-")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
