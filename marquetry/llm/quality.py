@@ -2,7 +2,9 @@
 
 Rows are judged by built-in expressions alone. Defined results: a null text counts as the empty one;
 an empty text has no words, fails the base rules and every ratio of it is null, which breaks no rule;
-repeated rows are judged one by one; columns other than the id and the text are left out, so names may clash.
+repeated rows are judged one by one, and rows without an id too; columns other than the id and the text are left out, so
+names may clash. Stop words are those of four languages: prose of another one breaks the rule on their ratio, so give rules of
+your own (``judge(rules=...)``) for a corpus that has such.
 """
 
 from __future__ import annotations
