@@ -31,18 +31,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    It is what ``spark.checkpoint.dir`` names. Where that is unset a local master gets a temporary
-    folder, and a cluster the warehouse, which is shared too.
+    It is what ``spark.checkpoint.dir`` names, with its scheme, so that Arrow opens what Spark has written. Where that is unset a
+    local master gets a temporary folder; on a cluster no folder is known to be shared, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = _named(spark)
     if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
+        return qualified(spark, named.rstrip("/"))
+    if _is_local(spark):
         made = tempfile.mkdtemp(prefix="marquetry-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", f"file:{made}")
+        return f"file:{made}"
+    raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def _named(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with scheme and host, as Hadoop's default file system adds them."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
 
 
 #: What this driver has written to the shared folder.
@@ -95,8 +109,6 @@ def write_parquet(df: DataFrame, path: str) -> None:
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Any store that Arrow knows, under Hadoop's names for it too; the driver and the executors see the same folder there."""
     path = re.sub(r"^s3[an]://", "s3://", path)
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
     return pafs.FileSystem.from_uri(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, ctw, decontaminate, langid, linededup, mixing, pii, quality, simhash, warc
-from .common import table
+from . import bytespans, convtrie, ctw, decontaminate, langid, linededup, mixing, pii, quality, simhash, topk, warc, whitening
+from .common import crc_of, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation starts with up to three turns of the first one of its block of twenty."""
+    heads = crc_of(F.col("conv_id")) % 4
+    turns, members = convtrie.heads_shared(table(spark, sf_dir, "conversations"), 20, 3, heads)
+    return convtrie.trie(turns, members)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -69,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_topk": op12_topk,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -97,4 +97,51 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_decontamination": OP2, "op5_warc": OP5, "op7_mixing": OP7, "op9_line_dedup": OP9}
+OP12 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id,
+             list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i]))::BIGINT AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: h is a conversation's CRC-32 modulo 4, computed bit by bit; nodes meet their ancestors along their smallest member's path.
+OP13 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, md5(length(role)::VARCHAR || ':' || role || text) AS key,
+             len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS words FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM k),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, max(pos) AS n,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                             lambda v, b: list_reduce([xor(v, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                      lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+      FROM p GROUP BY conv_id),
+m AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT m.conv_id, p.pos AS depth, key, words FROM m JOIN p ON p.conv_id = m.base AND p.pos <= m.h
+      UNION ALL SELECT m.conv_id, p.pos - m.h + m.taken, key, words FROM m JOIN p ON p.conv_id = m.conv_id AND p.pos > m.h),
+f AS (SELECT conv_id, depth, words, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+e AS (SELECT conv_id, max(depth) AS depth FROM f GROUP BY conv_id),
+g AS (SELECT f.*, min(f.conv_id) OVER (PARTITION BY prefix) AS owner, f.depth = e.depth AS ends FROM f JOIN e ON e.conv_id = f.conv_id),
+n AS (SELECT owner, depth, count(*)::BIGINT AS n_convs, max(words) AS words,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM g GROUP BY owner, depth),
+up AS (SELECT n.*, g.owner AS parent FROM n LEFT JOIN g ON g.conv_id = n.owner AND g.depth = n.depth - 1),
+ch AS (SELECT parent AS owner, depth - 1 AS depth, count(*)::BIGINT AS n_children FROM up WHERE depth > 0 GROUP BY parent, depth),
+x AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN ch ON ch.owner = up.owner AND ch.depth = up.depth),
+s AS (SELECT g.owner, g.depth, count(*) FILTER (x.n_children = 0)::BIGINT AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+      FROM x JOIN g ON g.conv_id = x.owner AND g.depth <= x.depth GROUP BY g.owner, g.depth)
+SELECT x.owner AS conv_id, x.depth::BIGINT AS depth, x.parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM x JOIN s ON s.owner = x.owner AND s.depth = x.depth
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1,
+    "op2_decontamination": OP2,
+    "op5_warc": OP5,
+    "op7_mixing": OP7,
+    "op9_line_dedup": OP9,
+    "op12_topk": OP12,
+    "op13_prefix_trie": OP13,
+}

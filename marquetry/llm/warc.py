@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, small_batches, staged, tidied
+from .common import filesystem, fresh_path, qualified, small_batches, staged, tidied
 from .linededup import as_bytes
 
 ARCHIVE = 64 << 20
@@ -130,6 +130,7 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of ``page_id, url, html``; gives back ``key, page_id, archive, offset, length``."""
     small_batches(pages.sparkSession, 500)
+    folder = qualified(pages.sparkSession, folder)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     # Digests decide before records are written. The join's right side has payloads that occur twice only, and is
     # staged, so that it is broadcast if small and a hot payload's rows can be split if not.
@@ -232,6 +233,7 @@ def _range_reader(folder: str, payloads: bool):
 def read_back(blocks: DataFrame, keys: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Records of the captures that ``keys`` (``key``) name, each once."""
     spark: SparkSession = blocks.sparkSession
+    folder = qualified(spark, folder)
     directory = spark.sparkContext.broadcast(Directory(blocks))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
