@@ -114,3 +114,20 @@ def replay(ids: DataFrame, component: DataFrame) -> DataFrame:
     status = F.when(F.col("seq") == F.col("component"), "inserted").otherwise("updated")
     quiet = quiet.select(F.col("seq").cast("long").alias("seq"), F.col("component").cast("long").alias("media_id"), status.alias("status"))
     return quiet.unionByName(rows.join(calm, "component", "left_anti").groupBy("component").applyInPandas(_replay, _REPLAYED))
+
+
+def placed(ids: DataFrame, seq: str = "seq") -> DataFrame:
+    """``seq, media_id, status`` of records by their ids: what `components` and `replay` give.
+
+    A record whose ids no other record has, one of each source, is a media of its own; only the others are looked at together.
+    """
+    key = ["media_kind", "source", "source_id"]
+    shared = ids.groupBy(*key).agg((F.min(seq) != F.max(seq)).alias("shared")).where("shared").select(*key)
+    double = ids.groupBy(seq, "source").agg((F.min("source_id") != F.max("source_id")).alias("double")).where("double").select(seq)
+    tied = cut(ids.join(shared, key, "left_semi").select(seq).union(double).distinct())
+    one = F.col(seq).cast("long")
+    alone = ids.join(tied, seq, "left_anti").select(one.alias("seq"), one.alias("media_id"), F.lit("inserted").alias("status")).distinct()
+    if tied.isEmpty():
+        return alone
+    among = cut(ids.join(tied, seq, "left_semi"))
+    return alone.unionByName(replay(among, components(among, seq)))

@@ -80,8 +80,12 @@ EPISODE = _of(
     "title_original string, titles_json string, synopsis string, air_date string, runtime_minutes int, thumbnail_url string"
 )
 SYNC_STATE = _of("source string, scope string, page int, last_success_at string, last_error string, last_page int, mode string")
-SEARCH_POSTING = _of("token string, media_id long, tf long, dl int")
+SEARCH_POSTING = _of("token string, media_id long, tf long, dl int, block long")
 SEARCH_ROW = _of("media_id long, media_kind string, format string, dl int")
+# Of these each batch adds rows, which are summed, or of which the greatest counts.
+SEARCH_BLOCK = _of("batch string, token string, block long, ratio double, avg double, n long")
+SEARCH_TERM = _of("batch string, term string, n long")
+SEARCH_TOTAL = _of("batch string, n long, tokens long")
 
 TABLES: dict[str, T.StructType] = {
     "media": MEDIA,
@@ -94,6 +98,9 @@ TABLES: dict[str, T.StructType] = {
     "episode_source_record": EPISODE_SOURCE_RECORD,
     "search_posting": SEARCH_POSTING,
     "search_row": SEARCH_ROW,
+    "search_block": SEARCH_BLOCK,
+    "search_term": SEARCH_TERM,
+    "search_total": SEARCH_TOTAL,
 }
 
 BASICS = _of("tconst string, titleType string, primaryTitle string, originalTitle string, isAdult string, startYear string, endYear string, runtimeMinutes string, genres string")
