@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from marquetry.functions import scalars as S
 from marquetry.functions import scoring
-from marquetry.operators import episodes, identity, merge, validate
+from marquetry.operators import blocks, episodes, identity, merge, validate
 from marquetry.operators import search as text
 from marquetry.operators.lookups import first_matching_kind, limited_then_filtered, numbered_page, unique_media
 from marquetry.operators.search import SearchOptions
-from marquetry.plans.views import episode_rows, id_rows, media, records, stored_ids, table
-from marquetry.streaming.replay import replay_events
+from marquetry.plans.views import as_records, episode_rows, id_rows, media, records, stored_ids, table
+from marquetry.store import cut
+from marquetry.streaming.replay import file_stream, replay_events
+from marquetry.streaming.winners import winners_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,10 +28,26 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+#: Search indexes that this driver has made, by session and folder.
+_INDEXES: dict[tuple[str, str], blocks.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> blocks.Index:
+    """The stored index of a folder's documents; the first query that needs it makes it."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _INDEXES:
+        index = blocks.build(cut(blocks.tokenised(media(spark, sf_dir), fields=FIELDS)))
+        order = {"postings": ("token", "block"), "directory": ("token",), "terms": ("term",)}
+        _INDEXES[own] = index.map(lambda name, rows: cut(rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else rows))
+    return _INDEXES[own]
+
+
 def _hits(options: SearchOptions, words: str = "the of") -> Callable[[SparkSession, str], DataFrame]:
+    """A page ranked from the stored index; titles are read for its rows only."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = text.search(media(spark, sf_dir), words, options, fields=FIELDS)
-        return hits.select("media_id", "media_kind", "title_display", F.round("score", 9).alias("score"))
+        hits = blocks.search(_index(spark, sf_dir), words, options).select("media_id", F.round("score", 9).alias("score"))
+        return hits.join(media(spark, sf_dir).select("media_id", "media_kind", "title_display"), "media_id").select("media_id", "media_kind", "title_display", "score")
 
     return run
 
@@ -510,3 +528,8 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay_events(spark, sf_dir, "events.parquet")
 
 
+@query
+def stream_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of files; the winners that are held as state, as provenance."""
+    rows = winners_of(as_records(file_stream(spark, sf_dir, "documents.parquet"), table(spark, sf_dir, "labels")))
+    return rows.select("entity", "field_name", "source", "source_id", F.round("score", 6).alias("score"))

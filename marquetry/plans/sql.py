@@ -115,6 +115,7 @@ _KEYED = "QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY e
 SQL["external_id_first_wins"] = f"{_EV} {_KEYED.format('')}"
 SQL["payload_last_wins"] = f"{_EV} {_KEYED.format('DESC')}"
 SQL["stream_replay"] = SQL["payload_last_wins"]
+SQL["stream_winners"] = SQL["merge_provenance"]
 SQL["merged_external_ids"] = f"WITH {RECORDS_SQL} SELECT entity, media_kind, src AS source, seq::VARCHAR AS source_id FROM c"
 SQL["merged_payloads"] = f"""WITH {RECORDS_SQL} SELECT entity, src AS source, seq::VARCHAR AS source_id, '{{"n":' || n_chars || '}}' AS raw_json, strlen('{{"n":' || n_chars || '}}')::VARCHAR AS payload_hash FROM c"""
 _COMES = "(event_id % 2 = 1 AND event_type <> 'click' OR event_type = 'view')"

@@ -25,7 +25,12 @@ def entity_of(doc_id: str = "doc_id") -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as canonical records: each entity is seen by all sources one after another."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return as_records(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def as_records(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same of a table or a stream of documents."""
+    d = documents.join(labels, "doc_id", "left")
     i, source = F.col("doc_id"), source_by_turn()
     title = F.when(i % 7 != 0, F.substring("text", 1, 60))
     ids = F.struct(source.alias("source"), i.cast("string").alias("source_id"), F.lit(None).cast("string").alias("url"))

@@ -46,23 +46,22 @@ def _best_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 class Winners(StatefulProcessor):
-    """State of an entity: a list with the winner of each field that has one."""
+    """State of an entity: the winner of each field that has one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getValueState("winners", f"held array<struct<{', '.join(x.replace(' ', ':') for x in _WINNER.split(', '))}>>")
+        self._held = handle.getMapState("winners", "field_name string", _WINNER.split(", ", 1)[1])
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:  # noqa: N802  Spark's name
-        held = {w["field_name"]: tuple(w) for w in (self._held.get()[0] if self._held.exists() else ())}
+        held = {field[0]: tuple(w) for field, w in self._held.iterator()}
         changed = {}
         for r in rows:
-            new = tuple(r[c] for c in _NAMES)
-            old = held.get(new[0])
-            if old is None or (new[3], new[5]) > (old[3], old[5]):
-                held[new[0]] = changed[new[0]] = new
-        if changed:
-            self._held.update(([Row(**dict(zip(_NAMES, w, strict=True))) for w in held.values()],))
-        for w in changed.values():
-            yield Row(entity=key[0], **dict(zip(_NAMES, w, strict=True)))
+            field, *new = (r[c] for c in _NAMES)
+            old = held.get(field)
+            if old is None or (new[2], new[4]) > (old[2], old[4]):
+                held[field] = changed[field] = tuple(new)
+        for field, w in changed.items():
+            self._held.updateValue((field,), w)
+            yield Row(entity=key[0], **dict(zip(_NAMES, (field, *w), strict=True)))
 
     def close(self) -> None:
         pass
