@@ -9,12 +9,12 @@ must begin in the state in which the one before it ended; that is guessed from t
 was wrong are parsed again until none is, so the phrases are those of the whole text, parsed from its first symbol.
 
 Symbols are lower-cased letters; every run of other characters is one blank. The sample has at most ROWS whole rows of a
-language, in order of a hash of the id; rows of more than PREFER characters come after all others. The
-automata are sparse, so they take some 50 bytes a symbol of the samples whatever the alphabets. Languages
+language, whatever their length, in order of a hash of the id. Tasks build the automata, one language at a time, and the driver gets
+their tables only. They are sparse, so they take some 50 bytes a symbol of the samples whatever the alphabets. Languages
 are taken to be a bounded set, as ISO codes are: the model grows with their number.
 
 Defined results: a null text, one without a letter, and any text where nothing was learned is ``und`` with
-score 0; ties go to the first language in order; a lang of null or the empty text is not learned; a null
+score 0; ties go to the first language in order; a lang of null is not learned, the empty text is a language as any other; a null
 doc_id has a fold as the empty text has; repeated rows are judged one by one, and equal ones are learned once; an
 empty table gives an empty result; other columns are left out.
 """
@@ -34,7 +34,6 @@ from .common import carried, crc_of, small_batches, staged, tidied
 
 UNKNOWN = "und"
 ROWS = 24
-PREFER = 20_000
 SEGMENT = 4096
 #: Symbols before a stretch from which its first state is guessed, and rounds of guesses before a text is parsed by itself.
 RUN_IN, ROUNDS = 256, 4
@@ -125,12 +124,12 @@ def blanks_once(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
-def build(samples: dict[str, list[str]]) -> Model | None:
-    """A model of all texts by language."""
-    samples = {k: v for k, v in sorted(samples.items()) if any(c.isalpha() for t in v for c in t)}
-    if not samples:
-        return None
-    letters = sorted({c for v in samples.values() for t in v for c in t.lower() if c.isalpha()})
+def letters_of(text: str) -> set[str]:
+    return {c for c in text.lower() if c.isalpha()}
+
+
+def numbered(letters: list[str]) -> np.ndarray:
+    """The symbol of every code point, of letters in order."""
     number = {c: i + 2 for i, c in enumerate(letters)}
     symbol = np.zeros(0x110000, np.int32)
     for i in range(0x110000):
@@ -138,18 +137,65 @@ def build(samples: dict[str, list[str]]) -> Model | None:
         if c.isalpha():
             low = c.lower()
             symbol[i] = number.get(low if len(low) == 1 else c, 1)
-    width, tables, starts, price, base = len(letters) + 2, [], [], [], 0
-    for texts in samples.values():
-        taken = [x for t in texts for x in (0, *blanks_once(symbol[code_points(t)]).tolist())]
-        table, start = displaced(suffix_automaton(taken), width)
+    return symbol
+
+
+def automaton(texts: list[str], symbol: np.ndarray, width: int) -> tuple[np.ndarray, int, int]:
+    """Table and start of the automaton of a language's texts, and how many symbols they have."""
+    taken = [x for t in texts for x in (0, *blanks_once(symbol[code_points(t)]).tolist())]
+    return *displaced(suffix_automaton(taken), width), len(taken)
+
+
+def _joined(parts: list[tuple[str, np.ndarray, int, int]], symbol: np.ndarray, width: int) -> Model:
+    """One table of all languages' automata, in order of languages."""
+    tables, starts, price, base = [], [], [], 0
+    for _, table, start, taken in parts:
         tables.append(np.where(table < 0, -1, table + (base << 32 | base)))
         starts.append(start + base)
-        price.append(np.log2(max(4, len(taken))))
+        price.append(np.log2(max(4, taken)))
         base += len(table)
     table = np.concatenate([*tables, np.full(width, -1, np.int64)])
     row = table[np.array(starts)[:, None] + np.arange(width)]
     first = np.where(row >> 32 == np.array(starts)[:, None], row & _TARGET, base)
-    return Model(list(samples), symbol, table, first, base, np.array(price))
+    return Model([p[0] for p in parts], symbol, table, first, base, np.array(price))
+
+
+def build(samples: dict[str, list[str]]) -> Model | None:
+    """A model of a few texts by language, on the driver."""
+    samples = {k: v for k, v in sorted(samples.items()) if any(letters_of(t) for t in v)}
+    if not samples:
+        return None
+    letters = sorted({c for v in samples.values() for t in v for c in letters_of(t)})
+    symbol, width = numbered(letters), len(letters) + 2
+    return _joined([(k, *automaton(v, symbol, width)) for k, v in samples.items()], symbol, width)
+
+
+def learned(samples: DataFrame) -> Model | None:
+    """The model of `sampled` rows: a task builds the automaton of a language, and sends its table."""
+    spark = samples.sparkSession
+
+    def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found |= letters_of(t)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["letter"])
+
+    letters = sorted(r[0] for r in samples.select("text").mapInArrow(alphabet, "letter string").distinct().collect())  # of all alphabets
+    if not letters:
+        return None
+    symbol, width = numbered(letters), len(letters) + 2
+    shared = spark.sparkContext.broadcast(symbol)
+
+    def one(rows: pa.Table) -> pa.Table:
+        texts = [t for _, t in sorted(zip((tuple(k.values()) for k in rows["key"].to_pylist()), rows["text"].to_pylist(), strict=True))]
+        none = not any(letters_of(t) for t in texts)
+        table, start, taken = (np.zeros(0, np.int64), 0, 0) if none else automaton(texts, shared.value, width)
+        return pa.table({"lang": rows["lang"][:1], "start": [start], "taken": [taken], "cells": pa.array([table.tobytes()], pa.binary())})
+
+    made = samples.groupBy("lang").applyInArrow(one, "lang string, start long, taken long, cells binary")
+    parts = [(r["lang"], np.frombuffer(r["cells"], np.int64), r["start"], r["taken"]) for r in made.toLocalIterator() if r["taken"]]
+    return _joined(sorted(parts, key=lambda p: p[0]), symbol, width)
 
 
 def phrases(model: Model, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,17 +274,22 @@ def bits_by_language(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
     return counts_by_language(model, each) * model.price, letters
 
 
-def sample_texts(docs: DataFrame, learn: Column, rows: int = ROWS) -> dict[str, list[str]]:
-    """Labelled whole texts by language: at most ``rows`` of each."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    key = [F.char_length("text") > PREFER, F.xxhash64("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text")]
+def sampled(docs: DataFrame, learn: Column, rows: int = ROWS) -> DataFrame:
+    """``lang, key, text``: labelled whole texts, at most ``rows`` of each language. Staged."""
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    key = [F.xxhash64("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text")]
     usable = usable.select("lang", F.struct(*key).alias("key"), "text")
     order = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
     picked = usable.select("lang", "key", order.alias("n")).where(F.col("n") <= rows).select("lang", "key").distinct()
     # The few that are picked are read again with their texts: the table's size decides whether it is broadcast.
     found = usable.join(staged(picked, "lang-sample"), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    return staged(found, "lang-texts")
+
+
+def sample_texts(docs: DataFrame, learn: Column, rows: int = ROWS) -> dict[str, list[str]]:
+    """`sampled` texts by language, in order."""
     out: dict[str, list] = {}
-    for r in found.toLocalIterator():
+    for r in sampled(docs, learn, rows).toLocalIterator():
         out.setdefault(r.lang, []).append((r["key"], r.text))
     return {k: [t for _, t in sorted(v)] for k, v in out.items()}
 
@@ -281,5 +332,5 @@ def predict(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) ->
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Learns from the rows outside fold ``held`` and predicts all rows; adds ``held_out``."""
     fold = crc_of(F.col("doc_id")) % folds
-    model = build(sample_texts(docs, fold != held))
+    model = learned(sampled(docs, fold != held))
     return predict(docs, model).withColumn("held_out", fold == held)

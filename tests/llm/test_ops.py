@@ -347,7 +347,7 @@ def test_language_of_every_row(request, which):
     samples = langid.sample_texts(df, crc_of(F.col("doc_id")) % 3 != 1)
     learned = {}
     for doc, text, lang in rows:
-        if text is not None and lang and crc32(str(doc).encode()) % 3 != 1:
+        if text is not None and lang is not None and crc32(str(doc).encode()) % 3 != 1:
             learned.setdefault(lang, []).append(text)
     assert {k: len(v) for k, v in samples.items()} == {k: min(langid.ROWS, len(v)) for k, v in learned.items()}
     assert all(set(v) <= set(learned[k]) for k, v in samples.items())
@@ -357,6 +357,17 @@ def test_language_of_every_row(request, which):
         assert (got[doc]["lang_pred"], got[doc]["score"]) == (lang, pytest.approx(score))
 
 
+def test_long_rows_and_the_empty_label_are_learned(spark):
+    """A language of one very long row among short ones of others, and one whose name is empty."""
+    rows = [(i, "der die das und nicht " * 3, "de", "a") for i in range(0, 60, 3)] + [(600, "kalo mano tiro peku " * 3000, "xx", "a"), (603, "zug zag zog " * 9, "", "a")]
+    rows += [(601, "mano tiro kalo peku", "de", "a"), (604, "zog zag zug", "de", "a")]
+    df = spark.createDataFrame([r for r in rows if crc32(str(r[0]).encode()) % 3 != 1 or r[0] in (601, 604)], "doc_id long, text string, lang string, source string")
+    assert {600, 603} <= {r["doc_id"] for r in df.collect()}
+    df = df.withColumn("lang", F.when(~F.col("doc_id").isin(601, 604), F.col("lang")))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert got[601] == "xx" and got[604] == ""
+
+
 def test_large_alphabets(spark):
     """Four languages of thousands of letters each: the model stays small."""
     r = random.Random(6)
