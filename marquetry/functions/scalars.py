@@ -151,23 +151,45 @@ def adult_rating(c: Column) -> Column:
 
 
 @cache
-def _marks() -> tuple[str, str]:
-    """Letters below U+0250 and the extended Latin ones that are a base letter with marks, and those bases."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def folding() -> tuple[dict[str, str], str]:
+    """What letters in lower case fold to, and the marks that are dropped.
+
+    A letter is folded as in comparisons that ignore case (final sigma is sigma); Latin ones that are a basic letter with marks become that
+    letter, those of other scripts stay as they are. Marks that such letters are made of are dropped wherever they stand on their own.
+    """
+    table, marks = {}, set()
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if not c.isalpha() or len(c.lower()) > 1 or c.lower() != c:
+            continue
+        to = c.casefold() if len(c.casefold()) == 1 else c
+        if to != c:
+            table[c] = to
+        whole = unicodedata.normalize("NFD", to)
+        if len(whole) > 1 and whole[0].isascii() and code not in _KEPT:
+            table[c] = whole[0]
+            marks |= set(whole[1:])
+    return table, "".join(sorted(marks))
+
+
+#: A Latin letter with two marks that the tokenising this follows leaves alone (small; the capital one is lower-cased first).
+_KEPT = (0x1E1,)
 
 
 def fold(c: Column) -> Column:
     """Lower case without marks on Latin letters."""
     low = F.lower(c)
-    bare = F.regexp_replace(F.translate(low, *_marks()), r"\p{Mn}+", "")
+    table, marks = folding()
+    bare = F.regexp_replace(F.translate(low, "".join(table), "".join(table.values())), f"[{marks}]+", "")
     return _ascii(low, low, bare)
 
 
+def fold_text(text: str) -> str:
+    """`fold` of a text on the driver, as a query."""
+    table, marks = folding()
+    return text.lower().translate(str.maketrans(table | dict.fromkeys(marks, "")))
+
+
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.array_remove(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.functions.scalars import lower_ascii, tokens, upper_ascii
+from marquetry.functions.scalars import fold_text, lower_ascii, tokens, upper_ascii
 from marquetry.store import cut
 
 # Fixed values of the ranking.
@@ -31,8 +30,7 @@ class SearchOptions:
 
 def query_terms(query: str) -> list[str]:
     """Folded terms of a query, each once."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    out = list(dict.fromkeys(t for t in re.split(r"[\W_]+", plain) if t))
+    out = list(dict.fromkeys(t for t in re.split(r"[\W_]+", fold_text(query)) if t))
     if not out:
         raise EmptyQuery("the query has no term")
     return out
