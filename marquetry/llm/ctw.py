@@ -41,8 +41,9 @@ END = 0xFF
 UNIT = 16 << 20
 PIECE = 1 << 20
 END_TOKEN = b" "
-#: What a group shares, in bits of a key from the right.
+#: What a group shares, in bits of a key from the right, and keys of a group that are weighted together.
 _GROUP = 8 * (DEPTH - 1)
+SLICE = 1 << 16
 
 
 class Positions:
@@ -112,12 +113,12 @@ def _stirling(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
-def _table(first: float, n: int = 1 << 16) -> np.ndarray:
+def _lgammas(first: float, n: int = 1 << 16) -> np.ndarray:
     """lgamma of first, first + 1, ...: exact sums of logarithms from the first on."""
     return math.lgamma(first) + np.concatenate(([0.0], np.cumsum(np.log(first + np.arange(n - 1)))))
 
 
-_HALVES, _WHOLES = _table(0.5), _table(1.0)
+_HALVES, _WHOLES = _lgammas(0.5), _lgammas(1.0)
 
 
 def lgamma(n: np.ndarray, first: float) -> np.ndarray:
@@ -149,14 +150,14 @@ def estimate(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 _BACK = np.arange(7, -1, -1)
 
 
-def group_mixture(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group's distinct keys: the mixed probability of a one at the eight decisions of each key's byte, from the
-    group's own node down; and the decisions that node has, with zeros, ones and log Pw."""
+def _mixture(keys: np.ndarray, n: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct keys that come with all others of their contexts of ``top`` bytes: the probability of a one at the eight decisions of
+    each key's byte, mixed from the deepest contexts up to those; and their decisions with zeros, ones and log Pw."""
     byte = keys[:, None] & 255
     node, bit = (1 << (7 - _BACK)) | (byte >> (_BACK + 1)), (byte >> _BACK) & 1
     weight = np.repeat(n.astype(np.float64), 8)
     levels: list[tuple] = []
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, top - 1, -1):
         ids, where = np.unique((((keys >> (8 * (DEPTH + 1 - depth)))[:, None] << 8) | node).ravel(), return_inverse=True)
         both = np.bincount(where, weight, len(ids))
         one = np.bincount(where, weight * bit.ravel(), len(ids))
@@ -175,6 +176,40 @@ def group_mixture(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p.reshape(-1, 8), ids & 255, zero, one, pw
 
 
+def _whole_contexts(ordered: np.ndarray) -> Iterator[slice]:
+    """Ordered keys in pieces of some SLICE that part no context of three bytes; such a context has 2^16 keys at most."""
+    firsts = np.append(_firsts(ordered >> (8 * (DEPTH - 2))), len(ordered))
+    at = 0
+    while at < len(ordered):
+        end = int(firsts[max(np.searchsorted(firsts, at + SLICE, "right") - 1, np.searchsorted(firsts, at, "right"))])
+        yield slice(at, end)
+        at = end
+
+
+def group_mixture(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group's distinct keys: the mixed probability of a one at the eight decisions of each key's byte, from the
+    group's own node down; and the decisions that node has, with zeros, ones and log Pw.
+
+    Contexts of three bytes are weighted piece by piece, and only sums of their evidence are kept, so a group takes some 100 bytes a key.
+    """
+    order = np.argsort(keys)
+    p, seen, zero, one, below = np.empty((len(keys), 8)), *np.zeros((4, 256))
+    ordered = keys[order]
+    pieces = list(_whole_contexts(ordered))
+    for own in pieces:
+        p[order[own]], decision, z, o, pw = _mixture(ordered[own], n[order[own]], 3)
+        for total, part in ((seen, None), (zero, z), (one, o), (below, pw)):
+            total += np.bincount(decision, part, 256)
+    pw, own_weight = weighted(kt(zero, one), below)
+    at_node = own_weight * estimate(zero, one)
+    for own in pieces:
+        byte = ordered[own, None] & 255
+        node = (1 << (7 - _BACK)) | (byte >> (_BACK + 1))
+        p[order[own]] = at_node[node] + (1 - own_weight[node]) * p[order[own]]
+    decision = np.flatnonzero(seen)
+    return p, decision, zero[decision], one[decision], pw[decision]
+
+
 #: ``place`` is a word's or a document's number in its unit, and of a key the key itself.
 _LISTED = "unit long, kind int, place long, n long, token binary, doc_id long, held_out boolean, text binary"
 _TOKEN, _KEY, _DOC = 0, 1, 2
@@ -185,7 +220,7 @@ def _fields(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _table(schema: str, n: int, /, **columns: object) -> pa.RecordBatch:
+def _batch(schema: str, n: int, /, **columns: object) -> pa.RecordBatch:
     """Columns that aren't given are null."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     arrays = [pa.array(columns[k], kinds[t]) if k in columns else pa.nulls(n, kinds[t]) for k, t in (x.split() for x in schema.split(", "))]
@@ -213,10 +248,10 @@ def _units(held_fold: int):
             for at in range(0, len(places), _ROWS):
                 own, n = slice(at, at + _ROWS), len(places[at : at + _ROWS])
                 more = {"token": token[own]} if kind == _TOKEN else {}
-                yield _table(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, kind, np.int32), place=places[own], n=n_of[own], **more)
+                yield _batch(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, kind, np.int32), place=places[own], n=n_of[own], **more)
         n = len(docs)
         ids, held, texts = zip(*docs, strict=True)
-        yield _table(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, _DOC, np.int32), place=np.arange(n), doc_id=ids, held_out=held, text=texts)
+        yield _batch(_LISTED, n, unit=np.full(n, unit), kind=np.full(n, _DOC, np.int32), place=np.arange(n), doc_id=ids, held_out=held, text=texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -241,9 +276,15 @@ def _mix_groups(group: pa.Table) -> pa.Table:
     keys, n = group.column("key").to_numpy(), group.column("n").to_numpy()
     p, decision, zero, one, pw = group_mixture(keys, n)
     m, last = len(decision), int(keys[0]) >> (8 * DEPTH)
-    rows = _table(_MIXED, len(keys), key=keys, p=[x.tobytes() for x in p])
-    evidence = _table(_MIXED, m, last=[last] * m, decision=decision, zero=zero, one=one, pw=pw)
-    return pa.Table.from_batches([rows, evidence])
+    batches, none = [_batch(_MIXED, m, last=[last] * m, decision=decision, zero=zero, one=one, pw=pw)], _batch(_MIXED, min(_ROWS, len(keys)))
+    for at in range(0, len(keys), _ROWS):  # batches share the columns that they have none of, and the mixtures' memory
+        own = p[at : at + _ROWS]
+        size = len(own)
+        offsets = pa.array(np.arange(0, 64 * size + 1, 64, dtype=np.int32))
+        packed = pa.BinaryArray.from_buffers(pa.binary(), size, [None, offsets.buffers()[1], pa.py_buffer(own)])
+        columns = [pa.array(keys[at : at + _ROWS]), packed, *(none.column(i).slice(0, size) for i in range(2, none.num_columns))]
+        batches.append(pa.RecordBatch.from_arrays(columns, none.schema.names))
+    return pa.Table.from_batches(batches)
 
 
 def top_levels(rows: list) -> tuple[np.ndarray, np.ndarray]:

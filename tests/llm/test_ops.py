@@ -578,4 +578,23 @@ def test_repeated_pages(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_large_groups_are_weighted_in_pieces(monkeypatch):
+    """The same mixtures and evidence whatever the pieces, which part no context of three bytes."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 14, 3000)) * 37 % (1 << 24) | (0x6162 << 24)
+    keys = rng.permutation(np.unique(keys))
+    n = rng.integers(0, 4, len(keys))
+    whole = ctw._mixture(keys, n, 2)
+    for size in (1, 500, 1 << 16):
+        monkeypatch.setattr(ctw, "SLICE", size)
+        ordered = np.sort(keys)
+        pieces = [ordered[s] for s in ctw._whole_contexts(ordered)]
+        assert np.array_equal(np.concatenate(pieces), ordered)
+        assert all(a[-1] >> 16 != b[0] >> 16 for a, b in zip(pieces, pieces[1:]))
+        got = ctw.group_mixture(keys, n)
+        assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(whole, got, strict=True))
