@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +58,21 @@ def components(ids: DataFrame, seq: str = "seq", max_rounds: int = 50) -> DataFr
 
 
 _REPLAYED = "seq long, media_id long, status string"
+#: Records of a component up to which it is replayed by one task; larger ones are decided in rounds over the cluster.
+SMALL, ROUNDS = 10_000, 40
 
 
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    """Records of a component one after another; rows with a media but no status of their own say which ids are taken already."""
     owner: dict[tuple, int] = {}
     sources: dict[int, dict[str, str]] = {}
     out = []
+    if "media_id" in rows:
+        held_now = rows[rows["media_id"].notna()]
+        for kind, source, source_id, media in zip(held_now.media_kind, held_now.source, held_now.source_id, held_now.media_id, strict=True):
+            owner[kind, source, source_id] = int(media)
+            sources.setdefault(int(media), {})[source] = source_id
+        rows = rows[rows["media_id"].isna()]
     for seq, own in rows.sort_values(["seq", "pos"]).groupby("seq", sort=False):
         ids = list(dict.fromkeys(zip(own.media_kind, own.source, own.source_id, strict=True)))
         found = [owner[i] for i in ids if i in owner]
@@ -81,6 +92,60 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["seq", "media_id", "status"]).astype({"media_id": "Int64"})
 
 
+def in_rounds(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """What `_replay` gives, of all components at once: in a round every record is decided that nothing undecided can change any more.
+
+    Owners of ids never change, so a record whose ids have two owners is a conflict, and one whose ids all have one is an update. A record that
+    would give its media a second id of a source is doomed: it is refused, as a conflict if an earlier record may yet take one of its free
+    ids, else as a duplicate. What is left would take free ids. It may if it is the earliest of these for each of its free
+    ids and for its media: whoever could come before it would have to be earlier on one of them. A media takes an id of each source at most, so however many
+    records share it, it is settled after as many rounds as there are sources. Chains that are longer than ``rounds`` are ended by `_replay`.
+    """
+    key = ["media_kind", "source", "source_id"]
+    left = cut(rows.select("seq", "component", *key).distinct())
+    double = left.groupBy("seq", "source").agg((F.count(F.lit(1)) > 1).alias("double")).groupBy("seq").agg(F.bool_or("double").alias("double"))
+    left = cut(left.join(double, "seq"))
+    owners: DataFrame | None = None
+    decided: list[DataFrame] = []
+    for _ in range(rounds):
+        found = left.withColumn("media", F.lit(None).cast("long"))
+        if owners is not None:  # a doomed record may see an id taken by a later one, which doesn't count for it
+            found = left.join(owners.select(*key, "media", "by"), key, "left").withColumn("media", F.when(F.col("by") < F.col("seq"), F.col("media"))).drop("by")
+        media = found.groupBy("seq").agg(F.min("media").alias("own"), (F.min("media") != F.max("media")).alias("several"), F.bool_and(F.col("media").isNotNull()).alias("all_owned"))
+        found = cut(found.join(media.withColumn("several", F.coalesce("several", F.lit(False))), "seq"))
+        clash = found.select("seq", F.lit(False).alias("clash")).limit(0)
+        if owners is not None:
+            held = owners.select(F.col("media").alias("own"), "source", F.col("source_id").alias("held_id"), "by")
+            clash = found.where(~F.col("several")).join(held, ["own", "source"]).where((F.col("held_id") != F.col("source_id")) & (F.col("by") < F.col("seq"))).select("seq", F.lit(True).alias("clash")).distinct()
+        found = cut(found.join(clash, "seq", "left").withColumn("doomed", F.col("double") | F.coalesce("clash", F.lit(False))))
+        live = found.where(~F.col("several") & ~F.col("doomed") & ~F.col("all_owned"))
+        free = F.col("media").isNull()
+        first_of_id = live.where(free).groupBy(*key).agg(F.min("seq").alias("first_of_id"))
+        first_of_media = live.where(F.col("own").isNotNull()).groupBy("own").agg(F.min("seq").alias("first_of_media"))
+        open_ = found.where(~F.col("several") & ~F.col("all_owned")).join(first_of_id, key, "left").join(first_of_media, "own", "left")
+        none_before = ~free | F.col("first_of_id").isNull() | (F.col("first_of_id") >= F.col("seq"))
+        turn = F.col("own").isNull() | (F.col("first_of_media") == F.col("seq"))
+        ready = open_.groupBy("seq").agg(F.bool_and(none_before).alias("free_of_others"), F.bool_and(turn).alias("turn"), F.first("doomed").alias("doomed"), F.first("own").alias("own"))
+        ready = ready.where(F.col("free_of_others") & (F.col("doomed") | F.coalesce("turn", F.lit(False))))
+        by_turn = ready.select("seq", F.when(~F.col("doomed"), F.coalesce("own", "seq")).alias("media_id"), F.when(F.col("doomed"), "duplicate_source").when(F.col("own").isNull(), "inserted").otherwise("updated").alias("status"))
+        at_once = found.where(F.col("several") | F.col("all_owned")).select("seq", F.when(~F.col("several"), F.col("own")).alias("media_id"), F.when(F.col("several"), "conflict").otherwise("updated").alias("status")).distinct()
+        now = cut(at_once.unionByName(by_turn))
+        decided.append(now)
+        taken = found.where(free).join(now.where("media_id IS NOT NULL").select("seq", "media_id"), "seq").select("component", *key, F.col("media_id").alias("media"), F.col("seq").alias("by")).distinct()
+        before = [t for t in (owners, left, found) if t is not None]
+        owners = cut(taken if owners is None else owners.unionByName(taken))
+        left = cut(left.join(now, "seq", "left_anti"))
+        drop_cuts(*before)
+        if left.isEmpty():
+            break
+    out = reduce(DataFrame.unionByName, decided).select(F.col("seq").cast("long").alias("seq"), "media_id", "status")
+    if left.isEmpty():
+        return out
+    rest = left.select("seq", "component", *key, F.lit(0).alias("pos"), F.lit(None).cast("long").alias("media_id"))
+    known = owners.join(left.select("component").distinct(), "component", "left_semi").select(F.lit(-1).cast("long").alias("seq"), "component", *key, F.lit(0).alias("pos"), F.col("media").alias("media_id"))
+    return out.unionByName(rest.unionByName(known).groupBy("component").applyInPandas(_replay, _REPLAYED))
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """``component`` of those where no record can be refused, from ``seq, component, media_kind, source, source_id``.
 
@@ -106,14 +171,19 @@ def replay(ids: DataFrame, component: DataFrame) -> DataFrame:
 
     A record that bridges two media is a conflict; one that would give a media a second id of a source is
     rejected as well; neither changes what follows. Components can't affect each other. Those that are settled
-    need no replay: their media is that of their least record. Only the others are replayed, each in one task.
+    need no replay: their media is that of their least record. Of the others small ones are replayed by a task each, large ones in rounds.
     """
     rows = ids.join(component, "seq").select("seq", "component", "media_kind", "pos", "source", "source_id")
     calm = cut(settled(rows))
     quiet = component.join(rows.select("seq").distinct(), "seq", "left_semi").join(calm, "component")
     status = F.when(F.col("seq") == F.col("component"), "inserted").otherwise("updated")
     quiet = quiet.select(F.col("seq").cast("long").alias("seq"), F.col("component").cast("long").alias("media_id"), status.alias("status"))
-    return quiet.unionByName(rows.join(calm, "component", "left_anti").groupBy("component").applyInPandas(_replay, _REPLAYED))
+    rest = cut(rows.join(calm, "component", "left_anti"))
+    large = cut(large_components(rest.select("seq", "component").distinct(), SMALL).select("component"))
+    if large.isEmpty():
+        return quiet.unionByName(rest.groupBy("component").applyInPandas(_replay, _REPLAYED))
+    small = rest.join(large, "component", "left_anti").groupBy("component").applyInPandas(_replay, _REPLAYED)
+    return quiet.unionByName(small).unionByName(in_rounds(rest.join(large, "component", "left_semi")))
 
 
 def placed(ids: DataFrame, seq: str = "seq") -> DataFrame:

@@ -11,10 +11,10 @@ from marquetry.functions import scalars as S
 from marquetry.functions import scoring
 from marquetry.operators import blocks, episodes, identity, merge, validate
 from marquetry.operators import search as text
-from marquetry.operators.lookups import first_matching_kind, limited_then_filtered, numbered_page, unique_media
+from marquetry.operators.lookups import Paged, first_matching_kind, limited_then_filtered, paged, unique_media
 from marquetry.operators.search import SearchOptions
 from marquetry.plans.views import as_records, episode_rows, id_rows, media, records, stored_ids, table
-from marquetry.store import cut
+from marquetry.store import cut, scratch_path
 from marquetry.streaming.replay import file_stream, replay_events
 from marquetry.streaming.winners import winners_of
 
@@ -32,6 +32,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 _INDEXES: dict[tuple[str, str], blocks.Index] = {}
 
 
+#: Tables in order of ids, likewise.
+_PAGED: dict[tuple[str, str], Paged] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> blocks.Index:
     """The stored index of a folder's documents; the first query that needs it makes it."""
     own = (spark.sparkContext.applicationId, sf_dir)
@@ -338,7 +342,11 @@ def collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_page(media(spark, sf_dir), "media_id", 3, 50).select("media_id", "media_kind")
+    """A page of a table that is kept in order, by the directory of its parts; the first query that needs it writes it."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _PAGED:
+        _PAGED[own] = paged(media(spark, sf_dir).select("media_id", "media_kind"), "media_id", scratch_path(spark, "paged"))
+    return _PAGED[own].page(3, 50)
 
 
 @query

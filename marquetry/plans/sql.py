@@ -149,6 +149,24 @@ SQL["identity_resolve"] = f"{_MET} SELECT seq, min((pos, media_id))[2] AS media_
 SQL["identity_conflicts"] = f"{_MET} SELECT seq, count(DISTINCT media_id) AS n_media FROM met GROUP BY seq HAVING count(DISTINCT media_id) > 1"
 SQL["identity_components"] = f"""WITH RECURSIVE {IDS_SQL}, p AS (SELECT DISTINCT a.seq AS x, b.seq AS y FROM ids a JOIN ids b USING (source, source_id)),
 r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y) SELECT x AS seq, min(y) AS component FROM r GROUP BY x"""
+#: Records of each component one after another; what is owned and held so far goes along as maps.
+SQL["identity_replay"] = f"""WITH RECURSIVE {IDS_SQL}, p AS (SELECT DISTINCT a.seq AS x, b.seq AS y FROM ids a JOIN ids b USING (source, source_id)),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y), c AS (SELECT x AS seq, min(y) AS component FROM r GROUP BY x),
+l AS (SELECT ids.seq, component, list(source || ':' || source_id ORDER BY pos) AS own, list(source ORDER BY pos) AS of FROM ids JOIN c ON c.seq = ids.seq GROUP BY ids.seq, component),
+k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY seq) AS k FROM l),
+s AS (SELECT component, 0::BIGINT AS k, MAP {{}}::MAP(VARCHAR, BIGINT) AS owner, MAP {{}}::MAP(VARCHAR, VARCHAR) AS held, NULL::BIGINT AS seq, NULL::BIGINT AS media_id, NULL::VARCHAR AS status FROM k WHERE k = 1
+  UNION ALL
+  SELECT component, k,
+         CASE WHEN status IN ('inserted', 'updated') THEN map_concat(owner, map_from_entries(list_transform(list_distinct(own), lambda x: row(x, media)))) ELSE owner END,
+         CASE WHEN status IN ('inserted', 'updated') THEN map_concat(held, map_from_entries(list_transform(range(1, len(own) + 1), lambda i: row(media || ':' || of[i], own[i])))) ELSE held END,
+         seq, CASE WHEN status IN ('inserted', 'updated') THEN media END, status
+  FROM (SELECT *, CASE WHEN n > 1 THEN 'conflict'
+                       WHEN len(list_distinct(of)) <> len(list_distinct(own)) OR len(list_filter(range(1, len(own) + 1), lambda i: coalesce(held[media || ':' || of[i]] <> own[i], false))) > 0 THEN 'duplicate_source'
+                       WHEN n > 0 THEN 'updated' ELSE 'inserted' END AS status
+        FROM (SELECT k.component, k.k, k.seq, k.own, k.of, s.owner, s.held, len(list_distinct(list_filter(list_transform(k.own, lambda x: s.owner[x]), lambda x: x IS NOT NULL))) AS n,
+                     coalesce(list_filter(list_transform(k.own, lambda x: s.owner[x]), lambda x: x IS NOT NULL)[1], k.seq) AS media
+              FROM s JOIN k ON k.component = s.component AND k.k = s.k + 1)))
+SELECT seq, media_id, status FROM s WHERE k > 0"""
 SQL["ambiguous_external_id"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT source, source_id, count(DISTINCT media_id) AS n_media FROM stored GROUP BY source, source_id HAVING count(DISTINCT media_id) > 1"
 SQL["second_source_ids"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT media_id, source, count(DISTINCT source_id) AS n_ids FROM stored GROUP BY media_id, source HAVING count(DISTINCT source_id) > 1"
 SQL["unique_lookup"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT DISTINCT media_id FROM stored WHERE source = 'anilist' AND source_id = 'a6'"

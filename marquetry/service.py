@@ -227,10 +227,10 @@ class Service:
     def remote_search(self, fields: list[Field], source: str, query: str, options: dict | None = None) -> list[dict]:
         own, o = self._source(source), self.options(options)
         kind = o.media_kind or ("show" if own.name == "tvmaze" else "anime")
-        found = clients.remote(self.spark, own.name, own.client).search(kind, query)
+        found = clients.remote(self.spark, own.name, own.client).hits(kind, query, o.limit, o.offset)
         if o.format is not None:
             found = found.where(F.upper(F.coalesce("format", F.lit(""))) == o.format.upper())
-        return self._remote_rows(found.offset(o.offset).limit(o.limit), fields)
+        return self._remote_rows(found, fields)
 
     def remote_media(self, fields: list[Field], source: str, source_id: str, media_kind: str) -> dict | None:
         own = self._source(source)

@@ -124,6 +124,27 @@ class Source:
         """Nothing for an empty query, which isn't sent."""
         return self._search(kind, query.strip(), page_size(limit, self.name), page) if query.strip() else []
 
+    #: Whether a search has pages; else its one answer has all hits.
+    SEARCH_PAGES = True
+
+    def hits(self, kind: str, query: str, limit: int = HITS, offset: int = 0) -> list[str]:
+        """``limit`` hits of a search from ``offset`` on, over as many pages as they take, with the source's interval between them."""
+        query, limit, offset = query.strip(), max(limit, 1), max(offset, 0)
+        if not query:
+            return []
+        if not self.SEARCH_PAGES:
+            return self._search(kind, query, offset + limit, 1)[offset : offset + limit]
+        size = page_size(limit, self.name)
+        page, skip = divmod(offset, size)
+        out: list[str] = []
+        while True:
+            page += 1
+            found = self._search(kind, query, size, page)
+            out += found
+            if len(found) < size or len(out) >= skip + limit:
+                return out[skip : skip + limit]
+            self.client.sleep(LIMITS[self.name].interval)
+
     def _search(self, kind: str, query: str, size: int, page: int) -> list[str]:
         raise NotSupported(f"{self.name} has no search")
 
@@ -273,9 +294,16 @@ class ApiSource(Source):
     def trending(self, kind: str) -> list[str]:
         return _texts(self._split(self.client.ask(f"/trending/{LISTS[kind]}")))
 
-    def episodes(self, kind: str, source_id: str) -> list[str]:
-        """The first twenty only."""
-        return _texts((self.client.ask(f"/{LISTS[kind]}/{source_id}/episodes", {"page[limit]": 20}) or {}).get("data"))
+    def episodes(self, kind: str, source_id: str, first_page_only: bool = False) -> list[str]:
+        """All pages, with the source's interval between them, or the first twenty."""
+        size, out = LIMITS[self.name].page_size, []
+        while True:
+            answer = self.client.ask(f"/{LISTS[kind]}/{source_id}/episodes", {"page[limit]": size, **({"page[offset]": len(out)} if out else {})}) or {}
+            found = _texts(answer.get("data"))
+            out += found
+            if first_page_only or not found or not (answer.get("links") or {}).get("next"):
+                return out
+            self.client.sleep(LIMITS[self.name].interval)
 
 
 def _as_list(x: object) -> list:
@@ -284,6 +312,7 @@ def _as_list(x: object) -> list:
 
 class ShowSource(Source):
     name = "tvmaze"
+    SEARCH_PAGES = False
 
     def page(self, kind: str, number: int, size: int) -> tuple[list[str], bool]:
         """Pages are as large as the source makes them, and end where one is missing or empty."""
@@ -304,6 +333,8 @@ class ShowSource(Source):
         return _texts(self.client.ask(f"/shows/{source_id}/episodes")) if kind == "show" else []
 
 
+#: Kinds of items that each source has.
+LISTS_OF = {"anilist": ("anime", "manga"), "jikan": ("anime", "manga"), "kitsu": ("anime", "manga"), "tvmaze": ("show",)}
 SOURCES: dict[str, type[Source]] = {c.name: c for c in (GraphSource, RestSource, ApiSource, ShowSource)}
 
 
@@ -344,9 +375,9 @@ def remote(spark: SparkSession, name: str, client: Client | None = None) -> Remo
     def has(what: str) -> bool:
         return getattr(type(own), what) is not getattr(Source, what)
 
-    parts = {"search": project, "by_id": project, "trending": project, "recommendations": entries, "related": lambda r, k: entries(r, None if name == "jikan" else k)}
-    calls = {"search": own.search, "by_id": own.one, "trending": own.trending, "recommendations": own.recommendations, "related": own.related}
-    methods = {"search": "_search", "by_id": "one"}
+    parts = {"search": project, "hits": project, "by_id": project, "trending": project, "recommendations": entries, "related": lambda r, k: entries(r, None if name == "jikan" else k)}
+    calls = {"search": own.search, "hits": own.hits, "by_id": own.one, "trending": own.trending, "recommendations": own.recommendations, "related": own.related}
+    methods = {"search": "_search", "hits": "_search", "by_id": "one"}
     readers = {k: reader(calls[k], p) for k, p in parts.items() if has(methods.get(k, k))}
     if name in EPISODES:
         readers["episodes"] = reader(own.episodes, EPISODES[name])

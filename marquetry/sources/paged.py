@@ -2,7 +2,8 @@
 
 A fetch function (a module's function, named ``module:function``) gives the items of a page as JSON texts
 and whether there are more; a partition reads one page, or one after another with the source's interval
-between them. Pages are also a stream, whose offset is the next page.
+between them. Pages are also a stream, whose offset is the next page; its batches are read by many tasks, which keep
+the interval together.
 """
 
 from __future__ import annotations
@@ -12,9 +13,13 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from marquetry.sources.pacing import Lanes, Pace
 
 Fetch = Callable[[int, int], tuple[list[str], bool]]
+#: Pages of a stream that doesn't say where it ends.
+AHEAD = 8
 
 
 @dataclass(frozen=True)
@@ -75,6 +80,13 @@ class _Page(InputPartition):
         self.first, self.last = first, last
 
 
+class _Turns(InputPartition):
+    """The pages of a task, and its lane among those that share the source's interval."""
+
+    def __init__(self, pages: range, lanes: Lanes, lane: int) -> None:
+        self.pages, self.lanes, self.lane = pages, lanes, lane
+
+
 class _Options:
     def __init__(self, options: dict) -> None:
         self.source = options.get("source", "imdb")
@@ -113,26 +125,40 @@ class _Reader(DataSourceReader):
             time.sleep(self.o.interval)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
+class _StreamReader(DataSourceStreamReader):
+    """Pages between offsets, read in tasks. The offset is the next page; where the stream ends for now is an option, ``end_page``,
+    else ``max_pages``, else AHEAD pages. A page behind which there is none is followed by a row without an item at place -1."""
+
     def __init__(self, options: dict) -> None:
         self.o = _Options(options)
+        self.end = int(options.get("end_page", self.o.first + (self.o.max_pages or AHEAD)))
+        self.tasks = int(options.get("tasks", 4))
 
     def initialOffset(self) -> dict:
         return {"page": self.o.first}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        number = start["page"]
-        done = start.get("end") or (self.o.max_pages and number >= self.o.first + self.o.max_pages) or (self.o.last and number > self.o.last)
-        if done:
-            return iter([]), start
-        items, more = self.o.page(number)
-        rows = [(self.o.source, number, i, item) for i, item in enumerate(items)]
-        return iter(rows), {"page": number + 1} if more else {"page": number + bool(items), "end": True}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for number in range(start["page"], end["page"]):
-            for i, item in enumerate(self.o.page(number)[0]):
+    def latestOffset(self) -> dict:
+        return {"page": max(self.o.first, min(self.end, (self.o.last or self.end) + 1))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Pages are dealt in turn, so that tasks go through them side by side."""
+        pages = range(start["page"], end["page"])
+        lanes = Lanes(time.time(), self.o.interval, max(1, min(self.tasks, len(pages))))
+        return [_Turns(pages[i :: lanes.lanes], lanes, i) for i in range(lanes.lanes)] if pages else []
+
+    def read(self, partition: _Turns) -> Iterator[tuple]:
+        pace = Pace(partition.lanes, partition.lane)
+        for number in partition.pages:
+            pace.wait()
+            items, more = self.o.page(number)
+            for i, item in enumerate(items):
                 yield (self.o.source, number, i, item)
+            if not more:
+                yield (self.o.source, number, -1, None)
+                return
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept here: a batch is done when the catalog's log names it."""
 
 
 class PagedSource(DataSource):
@@ -148,7 +174,7 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
         return _StreamReader(self.options)
 
 

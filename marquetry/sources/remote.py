@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.functions.scalars import upper_ascii
 from marquetry.operators import episodes
 from marquetry.operators.search import SearchOptions, title_contains
 from marquetry.sources.paged import retried
+from marquetry.sources.pacing import Lanes, Pace
 from marquetry.sources.registry import union_of
+from marquetry.store import cut, drop_cuts
 
 Reader = Callable[..., DataFrame]
 #: Raw JSON texts of an item's episodes, by its id.
@@ -32,11 +34,15 @@ class NotSupported(NotImplementedError):
 
 @dataclass(frozen=True)
 class RemoteSource:
-    """``items(kind)`` gives all rows of a kind; the other readers are for what a source answers itself."""
+    """``items(kind)`` gives all rows of a kind; the other readers are for what a source answers itself.
+
+    ``hits(kind, query, limit, offset)`` is a search that knows its page; ``search(kind, query)`` gives what it gives.
+    """
 
     name: str
     items: Reader | None = None
     search: Reader | None = None
+    hits: Reader | None = None
     by_id: Reader | None = None
     trending: Reader | None = None
     recommendations: Reader | None = None
@@ -66,7 +72,9 @@ class RemoteCollection:
         options = replace(options, format=self.format or options.format)
         if not query.strip():
             return self.source.need("items")(self.kind).limit(0)
-        if self.source.search is not None:
+        if self.source.hits is not None:
+            found = self.source.hits(self.kind, query, max(options.limit, 1), max(options.offset, 0))
+        elif self.source.search is not None:
             found = self.source.search(self.kind, query).offset(max(options.offset, 0)).limit(max(options.limit, 1))
         else:
             rows = self.source.need("items")(self.kind).withColumn("_id", F.col("external_ids")[0]["source_id"])
@@ -142,29 +150,55 @@ class Remote:
         return episodes.merge_effective(rows).orderBy("number")
 
 
-def fetch_each(targets: DataFrame, fetch: FetchItem, interval: float = 0.0, retries: int = 3) -> DataFrame:
-    """``media_id, source, source_id, seq, raw_json, error`` for targets ``media_id, source, source_id``.
+_FETCHED = "media_id long, source string, source_id string, pos long, raw_json string, error string"
+
+
+def fetch_each(targets: DataFrame, fetch: FetchItem, interval: float = 0.0, retries: int = 3, tasks: int | None = None, start: float | None = None) -> DataFrame:
+    """``media_id, source, source_id, pos, raw_json, error`` for targets ``media_id, source, source_id``.
 
-    Each target is fetched in an executor; a failure is a row with its error, so that others go on. A source that wants
-    an interval between calls is asked by one task alone, with that interval; one that asks to wait is asked again.
+    Each target is fetched in an executor; a failure is a row with its error, so that others go on. A source that wants an
+    interval between calls is asked by ``tasks`` tasks that keep it together (see `marquetry.sources.pacing`); one that asks to wait is asked again.
     """
-    names = ["media_id", "source", "source_id", "pos", "raw_json", "error"]
+    lanes = tasks or targets.sparkSession.sparkContext.defaultParallelism
+    pace = Lanes(time.time() if start is None else start, interval, lanes)
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = False
+        own: dict[int, Pace] = {}
         for b in batches:
-            rows = []
-            for media, source, source_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if asked and interval:
-                    time.sleep(interval)
-                asked = True
+            for media, source, source_id, lane in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own.setdefault(lane, Pace(pace, lane)).wait()
                 try:
-                    rows += [(media, source, source_id, i, x, None) for i, x in enumerate(retried(lambda i=source_id: fetch(i), retries))]
+                    rows = [(media, source, source_id, i, x, None) for i, x in enumerate(retried(lambda i=source_id: fetch(i), retries))]
                 except Exception as e:  # noqa: BLE001  whatever goes wrong with one item
-                    rows.append((media, source, source_id, 0, None, str(e)))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    rows = [(media, source, source_id, 0, None, str(e))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _FETCHED.split(", ")])
 
-    targets = targets.select("media_id", "source", "source_id")
-    targets = targets.repartition(1) if interval else targets
-    return targets.mapInArrow(run, "media_id long, source string, source_id string, pos long, raw_json string, error string")
+    lane = F.pmod(F.xxhash64("media_id", "source", "source_id"), F.lit(lanes)).cast("int").alias("lane") if "lane" not in targets.columns else F.col("lane")
+    targets = targets.select("media_id", "source", "source_id", lane)
+    targets = targets.repartitionById(lanes, F.col("lane")) if interval else targets
+    return targets.mapInArrow(run, _FETCHED)
+
+
+def fetch_in_rounds(targets: DataFrame, fetch: FetchItem, interval: float, folder: str, tasks: int | None = None, each: int = 200, retries: int = 3) -> DataFrame:
+    """`fetch_each` in rounds of ``each`` targets a task, written to ``folder`` round by round.
+
+    What a round has fetched survives whatever comes later: a lost task repeats its part of one round, and a call that finds rounds of the
+    same targets in the folder goes on behind them.
+    """
+    spark = targets.sparkSession
+    lanes = tasks or spark.sparkContext.defaultParallelism
+    order = Window.partitionBy("lane").orderBy("source", "source_id", "media_id")
+    numbered = targets.select("media_id", "source", "source_id").distinct()
+    numbered = numbered.withColumn("lane", F.pmod(F.xxhash64("media_id", "source", "source_id"), F.lit(lanes)).cast("int"))
+    numbered = cut(numbered.withColumn("round", F.floor((F.row_number().over(order) - 1) / each).cast("int")))
+    last = numbered.agg(F.max("round")).first()[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i in range(-1 if last is None else last + 1):
+        if not store.exists(path(f"{folder}/round={i}/_SUCCESS")):
+            fetch_each(numbered.where(F.col("round") == i), fetch, interval, retries, lanes).write.mode("overwrite").parquet(f"{folder}/round={i}")
+    drop_cuts(numbered)
+    if last is None:
+        return spark.createDataFrame([], _FETCHED)
+    return spark.read.schema(f"{_FETCHED}, round int").parquet(folder).drop("round")

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from marquetry.api import Catalog
 from marquetry.schemas import SYNC_MODES, SYNC_STATE
 from marquetry.sources.clients import PROJECTIONS, Source
-from marquetry.sources.paged import LIMITS, page_size, retried
-from marquetry.sources.remote import FetchItem, fetch_each
-from marquetry.store import cut
+from marquetry.sources.paged import AHEAD, LIMITS, page_size, retried
+from marquetry.sources.paged import register as register_pages
+from marquetry.sources.remote import FetchItem, fetch_in_rounds
+from marquetry.store import cut, cuts, scratch_path
 
 #: Items that are merged at once: a merge reads what the catalog has of them, so it isn't done for every page.
 BATCH = 2000
@@ -181,7 +182,8 @@ class Sync:
         failed, rows = [], []
         targets = self.catalog.episode_candidates()
         for i, source in enumerate(fetch):
-            got = cut(fetch_each(targets.where(F.col("source") == source), fetch[source], LIMITS[source].interval if self.paced else 0.0))
+            folder = scratch_path(self.catalog.spark, f"episodes-{source}")
+            got = fetch_in_rounds(targets.where(F.col("source") == source), fetch[source], LIMITS[source].interval if self.paced else 0.0, folder)
             failed.append(got.where("error IS NOT NULL").select("media_id", "source", "source_id", "error"))
             # Sources come in order; within an item its own order decides.
             numbered = got.where("raw_json IS NOT NULL").withColumn("seq", F.lit(i << 48).cast("long") + F.col("pos"))
@@ -191,28 +193,73 @@ class Sync:
             self.catalog.ingest_episodes(reduce(DataFrame.unionByName, rows))
         return reduce(DataFrame.unionByName, failed) if failed else targets.select("media_id", "source", "source_id", F.lit("").alias("error")).limit(0)
 
-    def stream(self, pages: DataFrame, project: Project, checkpoint: str):
+    def stream(self, pages: DataFrame, project: Project, checkpoint: str, request: SyncRequest | None = None, seen: dict | None = None):
         """Ingests a stream of pages (``source, page, pos, raw_json``) up to what is there now, a batch at a time.
 
-        A batch that is run again is known by its number and left out.
+        A batch becomes visible with the cursor of ``request`` in one commit, whose name tells a batch that is run again, so that it is left
+        out. ``seen`` gets what there was: pages, the last of them, upserted records, and whether the source has ended.
         """
+        seen = {} if seen is None else seen
 
         def upsert(batch: DataFrame, number: int) -> None:
-            named = self.catalog.store.pointer().get("batch") or ""
-            done = f"stream-{checkpoint}-"
-            if named.startswith(done) and int(named.removeprefix(done).partition(":")[0]) >= number:
-                return
-            batch = cut(batch)
-            base, n, begins = self.next_seq(), 0, {}
-            for r in batch.groupBy("page").agg(F.max("pos").alias("last")).orderBy("page").collect():  # a row for each page of the batch
-                begins[r["page"]] = n
-                n += r["last"] + 1
-            if begins:
-                own = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv])[F.col("page")]
-                self.catalog.ingest(project(batch.select((F.lit(base) + own + F.col("pos")).cast("long").alias("seq"), "raw_json")), f"{done}{number}:{base + n}")
+            with cuts():
+                batch = cut(batch)
+                item = F.col("pos") >= 0
+                of = lambda f, c: f(F.when(item, F.col(c)))
+                own = batch.agg(of(F.min, "page").alias("first"), of(F.max, "page").alias("last"), of(F.max, "pos").alias("pos"), of(F.countDistinct, "page").alias("pages"), F.coalesce(F.bool_or(~item), F.lit(False)).alias("ended")).first()
+                seen["ended"] = seen.get("ended", False) or own["ended"]
+                named, done = self.catalog.store.pointer().get("batch") or "", f"stream-{checkpoint}-"
+                if own["first"] is None or named.startswith(done) and int(named.removeprefix(done).partition(":")[0]) >= number:
+                    return
+                base, size = self.next_seq(), own["pos"] + 1  # places on pages that are less full stay free
+                seq = (F.lit(base) + (F.col("page") - own["first"]) * size + F.col("pos")).cast("long").alias("seq")
+                also = {"sync_state": self.state_row(request, own["last"])} if request else {}
+                upto = base + (own["last"] - own["first"] + 1) * size
+                out = self.catalog.ingest(project(batch.where(item).select(seq, "raw_json")), f"{done}{number}:{upto}", also)
+                seen.update({"pages": seen.get("pages", 0) + own["pages"], "last": own["last"], "upserted": seen.get("upserted", 0) + out.inserted + out.updated})
 
         return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def stream_source(self, fetch: str, project: Project, request: SyncRequest, folder: str, ahead: int = AHEAD, tasks: int = 4, interval: float | None = None) -> SyncOutcome:
+        """A sync whose pages are read in tasks, ``ahead`` of them a batch; ``fetch`` is ``module:function``. The driver holds no item.
+
+        A run has a checkpoint of its own in ``folder``. One that was killed goes on where it was, without a page lost or read into the catalog
+        twice; when the source has ended, the next run starts at the cursor, so the last page is read again for what has been added to it.
+        """
+        limits = LIMITS[request.source]
+        store, path = self.catalog.store._fs, self.catalog.store._path
+        files = {s.getPath().getName() for s in store.listStatus(path(folder))} if store.exists(path(folder)) else set()
+        numbers = sorted(int(f[4:]) for f in files if f.startswith("run-"))
+        run = numbers[-1] if numbers and f"done-{numbers[-1]}" not in files else (numbers[-1] + 1 if numbers else 0)
+        own = f"{folder}/run-{run}"
+        marks = sorted(tuple(map(int, s.getPath().getName().split("-")[1:])) for s in store.listStatus(path(own)) if s.getPath().getName().startswith("pages-")) if store.exists(path(own)) else []
+        if marks:
+            first, end = marks[-1]
+        else:
+            old = self.state(request.source, request.scope) or {}
+            first = end = next(p for p in (request.start_page, old.get("page"), limits.first_page) if p is not None)
+        ends = [1 << 31 if request.max_pages is None else first + request.max_pages, 1 << 31 if limits.last_page is None else limits.last_page + 1]
+        upto = min(ends)
+        seen: dict = {}
+        again = bool(marks)  # what was planned last may not be done
+        register_pages(self.catalog.spark)
+        try:
+            while (again or end < upto) and not seen.get("ended"):
+                end = end if again else min(end + ahead, upto)
+                again = False
+                store.mkdirs(path(f"{own}/pages-{first}-{end}"))
+                options = {"fetch": fetch, "source": request.source, "page_size": request.page_size, "start_page": first, "end_page": end, "tasks": tasks}
+                options |= {} if interval is None else {"interval": interval}
+                pages = self.catalog.spark.readStream.format("marquetry_pages").options(**options).load()
+                self.stream(pages, project, f"{own}/checkpoint", request, seen).awaitTermination()
+            if "last" not in seen:
+                self.save(request, None)
+        except Exception as e:
+            self.save(request, None, str(e).split("\n")[0])
+            raise
+        store.mkdirs(path(f"{folder}/done-{run}"))
+        return SyncOutcome(request.source, request.media_kind, seen.get("pages", 0), seen.get("upserted", 0), seen.get("last"))
+
 
 def sync_database(spark: SparkSession, path: str, sources: dict[str, Source], dump: DataFrame | None = None, **request: object) -> SyncReport:
     """Opens or makes the catalog at ``path`` and syncs all sources into it."""

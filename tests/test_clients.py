@@ -164,3 +164,52 @@ def test_sync_of_all_sources(spark, tmp_path):
     again = sync_database(spark, str(tmp_path / "c"), {"tvmaze": source})
     assert again.upserted == 1 and catalog.media().count() == 4  # from the cursor on: the last page
     assert len(DEFAULT_ORDER) == 9
+
+
+def found_by(total):
+    """A search of many hits, as each source pages them."""
+
+    def answer(request):
+        if request.body:
+            v = json.loads(request.body)["variables"]
+            at, size = (v["page"] - 1) * v["size"], v["size"]
+            return {"data": {"Page": {"pageInfo": {"hasNextPage": at + size < total}, "media": [GRAPH | {"id": i} for i in range(at, min(at + size, total))]}}}
+        p = dict(request.params)
+        if "q" in p and "page" in p:
+            at, size = (int(p["page"]) - 1) * int(p["limit"]), int(p["limit"])
+            return {"data": [{"mal_id": i, "title": f"T{i}"} for i in range(at, min(at + size, total))]}
+        if "page[limit]" in p:
+            at, size = int(p.get("page[offset]", 0)), int(p["page[limit]"])
+            items = [{"id": str(i), "type": "anime", "attributes": {"canonicalTitle": f"K{i}", "number": i}} for i in range(at, min(at + size, total))]
+            return {"data": items, "links": {"next": "n"} if at + size < total else {}}
+        return [{"show": {"id": i, "name": f"S{i}"}} for i in range(min(int(p["limit"]), total))]
+
+    return answer
+
+
+@pytest.mark.parametrize(
+    ("name", "kind", "path", "interval"),
+    [("anilist", "anime", "", 0.7), ("jikan", "anime", "v4/anime", 1.1), ("kitsu", "anime", "api/edge/anime", 0.9), ("tvmaze", "show", "search/shows", 0.5)],
+)
+def test_search_gives_the_page_that_is_asked_for(spark, name, kind, path, interval):
+    own, waits = client(name, {path: found_by(120)})
+    ids = lambda limit, offset: [x["source_id"] for r in Remote().with_source(clients.remote(spark, name, own)).collection(name, kind).search("q", options(limit, offset)).collect() for x in r["external_ids"] if x["source"] in (name, "jikan")]
+
+    def options(limit, offset):
+        from marquetry.operators.search import SearchOptions
+
+        return SearchOptions(limit=limit, offset=offset)
+
+    assert ids(50, 0) == list(map(str, range(50)))
+    assert waits == ([] if name in ("anilist", "tvmaze") else [interval] * (-(-50 // clients.LIMITS[name].page_size) - 1))
+    assert ids(20, 20) == list(map(str, range(20, 40)))
+    assert ids(7, 45) == list(map(str, range(45, 52)))
+    assert ids(50, 100) == list(map(str, range(100, 120)))
+    assert ids(5, 500) == []
+
+
+def test_all_episodes_are_read():
+    own, waits = client("kitsu", {"api/edge/anime/4/episodes": found_by(47)})
+    s = ApiSource(own)
+    assert [json.loads(x)["id"] for x in s.episodes("anime", "4")] == list(map(str, range(47))) and waits == [0.9, 0.9]
+    assert len(s.episodes("anime", "4", first_page_only=True)) == 20

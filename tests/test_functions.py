@@ -104,3 +104,14 @@ def test_tokens_of_all_scripts(spark):
     from marquetry.operators.search import query_terms
 
     assert all(query_terms(w) == list(dict.fromkeys(want[i])) for i, w in enumerate(words) if want[i])
+
+
+def test_pages_read_their_own_parts(spark, tmp_path):
+    from marquetry.operators.lookups import numbered_page, paged
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("v"))
+    table = paged(rows, "k", str(tmp_path / "paged"), per_part=100)
+    for number, size in ((1, 10), (7, 33), (3, 250), (100, 10), (101, 10), (0, 0), (1, 5000)):
+        assert table.page(number, size).collect() == numbered_page(rows, "k", number, size).collect()
+    assert len(table.parts) == 10 and len(table.page(100, 10).inputFiles()) == 10 // len(table.parts)
+    assert paged(rows.limit(0), "k", str(tmp_path / "none")).page(1, 5).count() == 0

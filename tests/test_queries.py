@@ -39,5 +39,5 @@ def test_query(spark, con, name):
     assert _rows(df.select(*cols).collect()) == _rows(want)
 
 
-def test_every_query_but_the_replay_has_sql():
-    assert set(QUERIES) - set(SQL) == {"identity_replay"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
