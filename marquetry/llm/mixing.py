@@ -22,6 +22,8 @@ SHARE = 1.5
 CAP = 2.0
 #: Bits of each level of buckets, and levels.
 BITS, LEVELS = 12, 3
+#: Sources that one task puts in order.
+FEW = 10_000
 
 
 def mix_hash(doc_id: Column) -> Column:
@@ -36,7 +38,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     The excess over a cap is shared again by weight until no source is above: with sources in order of
     cap over weight, those filled form a prefix, so running sums give the level at once.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     ranked, _ = _in_order(per, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "mix-ranks")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     ranked = ranked.select("source", "source_size", "rank", weight.alias("w"), (F.col("source_size") * F.lit(CAP)).alias("cap"))
@@ -52,8 +54,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 def _in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> tuple[DataFrame, dict[str, float]]:
     """``df`` with each sum over the rows before, and the sums of all.
 
-    Rows are sorted over the cluster by ranges; only the sums of whole ranges, one row a partition, meet in one task.
+    Up to FEW rows are summed by one task. More are sorted over the cluster by ranges; only the sums of whole ranges, one row a partition,
+    meet in one task then. Sums are of whole numbers or in the same order, so both ways agree.
     """
+    if df.limit(FEW + 1).count() <= FEW:
+        ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        total = df.agg(*[F.sum(c).alias(k) for k, c in sums.items()]).first().asDict()
+        return df.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(k) for k, c in sums.items()]), {k: v or 0.0 for k, v in total.items()}
     parts = staged(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
     each = parts.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -489,6 +489,13 @@ def test_mixing(request, which):
     assert again == {(r["doc_id"], r["taken"]) for r in out}
 
 
+def test_many_sources_are_put_in_order_over_ranges(odd, monkeypatch):
+    """The same rows whether one task sums the sources or ranges of them do."""
+    rows = sorted((tuple(r) for r in mixing.mix(odd).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted((tuple(r) for r in mixing.mix(odd).collect()), key=str) == rows
+
+
 PAGES = [
     (1, "http://www.b.example.com:8080/x?q=1#f", "<p>a</p>"),
     (2, "http://a.example.com/", "<p>a</p>"),
