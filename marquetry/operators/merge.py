@@ -8,13 +8,13 @@ reasons of losers move. The records that won something are then looked up by ent
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.functions.scalars import lower_ascii, normalize_for_lookup, payload_hash, trim_space
+from marquetry.functions.scalars import let, lower_ascii, normalize_for_lookup, payload_hash, trim_space
 from marquetry.functions.scoring import UNSCORED, Scored, consistency_of_record, score_bool, score_cover, score_int, score_text
 
 TEXT_FIELDS = ("title_display", "title_romaji", "title_english", "title_native", "synopsis", "format", "status", "season", "country_of_origin")
@@ -62,29 +62,47 @@ def arrival(number: Column) -> Column:
     return (F.pmod(number, _whole(_ROOM)) - _whole(_ROOM // 2)).cast("long")
 
 
-def merge_fields(records: DataFrame, entity: str = "entity", seq: str = "seq") -> DataFrame:
-    """One row for each entity: ``media_kind``, ``provider_rating``, and a struct of value, score and origin for each field.
+def score_of(number: Column) -> Column:
+    """The score that a standing holds."""
+    high = (number - F.pmod(number, _whole(_ROOM))) / _whole(_ROOM)
+    return high.cast("long").cast("double") / F.lit(_SCALE)
 
-    ``seq`` is unique within an entity.
+
+def merge_fields(records: DataFrame, entity: str = "entity", seq: str = "seq", fields: Sequence[str] = FIELDS, values: bool = True, reasons: bool = True) -> DataFrame:
+    """One row for each entity: ``media_kind``, ``provider_rating``, and a struct of score, arrival, value and origin for each field.
+
+    ``seq`` is unique within an entity. Scores are worked out once, in the first aggregate, which also gives them back. Winners, one a field at most,
+    are then looked up and gathered as they are, so nothing is sorted; without ``values`` and ``reasons`` no text is read for that.
     """
     rows = records.withColumn("_origin", origin()).withColumn("_bonus", consistency_of_record())
-    parts = {f: scored(f, F.col("_origin.source"), F.col("_bonus")) for f in FIELDS}
+    parts = {f: scored(f, F.col("_origin.source"), F.col("_bonus")) for f in fields}
     best = rows.groupBy(entity).agg(
-        F.min(seq).alias("_first"), F.max("provider_rating").alias("_rating"), *[F.max(standing(F.col(f), parts[f].total, F.col(seq))).alias(f) for f in FIELDS]
+        F.min(seq).alias("_first"), F.max("provider_rating").alias("provider_rating"), *[F.max(standing(F.col(f), parts[f].total, F.col(seq))).alias(f"_at_{f}") for f in fields]
     )
     # Which records won which fields, as bits; the last bit is for the first record, of which the kind is.
-    won = [F.struct(arrival(F.col(f)).alias(seq), F.lit(1 << i).cast("long").alias("bit")) for i, f in enumerate(FIELDS)]
-    won.append(F.struct(F.col("_first").alias(seq), F.lit(1 << len(FIELDS)).cast("long").alias("bit")))
-    won = best.select(entity, "_rating", F.explode(F.array(*won)).alias("w")).where(F.col(f"w.{seq}").isNotNull())
-    won = won.groupBy(entity, f"w.{seq}").agg(F.bit_or("w.bit").alias("_won"), F.first("_rating").alias("_best_rating"))
+    won = [F.struct(arrival(F.col(f"_at_{f}")).alias(seq), F.lit(1 << i).cast("long").alias("bit")) for i, f in enumerate(fields)]
+    won.append(F.struct(F.col("_first").alias(seq), F.lit(1 << len(fields)).cast("long").alias("bit")))
+    won = best.select(entity, F.explode(F.array(*won)).alias("w")).where(F.col(f"w.{seq}").isNotNull())
+    won = won.groupBy(entity, f"w.{seq}").agg(F.bit_or("w.bit").alias("_won"))
     found = rows.join(won, [entity, seq])
-    has = lambda i: F.col("_won").bitwiseAND(F.lit(1 << i).cast("long")) != 0
-    aggs = [F.max(F.when(has(len(FIELDS)), F.col("media_kind"))).alias("media_kind"), F.max("_best_rating").alias("provider_rating")]
-    for i, f in enumerate(FIELDS):
-        more = (F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id"), parts[f].reason.alias("reason"))
-        one = F.struct(parts[f].total.alias("score"), F.col(seq).alias("seq"), F.col(f).alias("value"), *more)
-        aggs.append(F.max(F.when(has(i), one)).alias(f))
-    return found.groupBy(entity).agg(*aggs)
+    has = lambda bits, i: bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    own = [F.col("_won").alias("won"), F.col("media_kind").alias("kind"), F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id")]
+    own += [F.when(has(F.col("_won"), i), F.col(f)).alias(f"v_{f}") for i, f in enumerate(fields) if values]
+    own += [F.when(has(F.col("_won"), i), parts[f].reason).alias(f"r_{f}") for i, f in enumerate(fields) if reasons]
+    lists = found.groupBy(entity).agg(F.collect_list(F.struct(*own)).alias("_w"))
+    winner = lambda i: F.get(F.filter("_w", lambda x: has(x["won"], i)), F.lit(0))
+    out = [winner(len(fields))["kind"].alias("media_kind"), F.col("provider_rating")]
+
+    def of_field(f: str) -> Callable[[Column], Column]:
+        def one(w: Column) -> Column:
+            more = [w[f"v_{f}"].alias("value")] if values else []
+            more += [w["source"].alias("source"), w["source_id"].alias("source_id")] + ([w[f"r_{f}"].alias("reason")] if reasons else [])
+            return F.struct(score_of(F.col(f"_at_{f}")).alias("score"), arrival(F.col(f"_at_{f}")).alias("seq"), *more)
+
+        return one
+
+    out += [F.when(F.col(f"_at_{f}").isNotNull(), let(winner(i), of_field(f))).alias(f) for i, f in enumerate(fields)]
+    return best.join(lists, entity).select(entity, *out)
 
 
 def media_rows(merged: DataFrame, entity: str = "entity") -> DataFrame:
@@ -92,8 +110,11 @@ def media_rows(merged: DataFrame, entity: str = "entity") -> DataFrame:
 
 
 def provenance_rows(merged: DataFrame, entity: str = "entity") -> DataFrame:
-    """A row for each entity and field that has a winner."""
-    each = [F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.source").alias("source"), F.col(f"{f}.source_id").alias("source_id"), F.col(f"{f}.score").alias("score"), F.col(f"{f}.reason").alias("reason")) for f in FIELDS]
+    """A row for each entity and field that has a winner; of a merge without reasons they are null."""
+    each = []
+    for f in FIELDS:
+        reason = F.col(f"{f}.reason") if "reason" in merged.schema[f].dataType.names else F.lit(None).cast("string")
+        each.append(F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.source").alias("source"), F.col(f"{f}.source_id").alias("source_id"), F.col(f"{f}.score").alias("score"), reason.alias("reason")))
     out = merged.select(entity, F.explode(F.array(*each)).alias("p")).where(F.col("p.source").isNotNull())
     return out.select(entity, "p.*")
 

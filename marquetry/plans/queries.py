@@ -82,7 +82,7 @@ def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _winners(fields: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = merge.merge_fields(records(spark, sf_dir))
+        m = merge.merge_fields(records(spark, sf_dir), fields=fields, reasons=False)
         cols = [c for f in fields for c in (F.col(f"{f}.value").alias(f), F.round(f"{f}.score", 6).alias(f"{f}_score"), F.col(f"{f}.source").alias(f"{f}_source"))]
         return m.select("entity", *cols)
 
@@ -97,17 +97,17 @@ QUERIES["scored_merge_bool"] = _winners(("nsfw",))
 
 @query
 def merge_rating_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_fields(records(spark, sf_dir)).select("entity", "provider_rating")
+    return merge.merge_fields(records(spark, sf_dir), fields=(), reasons=False).select("entity", "provider_rating")
 
 
 @query
 def merge_first_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_fields(records(spark, sf_dir)).select("entity", "media_kind")
+    return merge.merge_fields(records(spark, sf_dir), fields=(), reasons=False).select("entity", "media_kind")
 
 
 @query
 def merge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = merge.provenance_rows(merge.merge_fields(records(spark, sf_dir)))
+    rows = merge.provenance_rows(merge.merge_fields(records(spark, sf_dir), values=False, reasons=False))
     return rows.select("entity", "field_name", "source", "source_id", F.round("score", 6).alias("score"))
 
 

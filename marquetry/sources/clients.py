@@ -7,10 +7,12 @@ item for none. What a source gives are JSON texts, one an item, which `marquetry
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 from urllib.error import HTTPError
 from urllib.parse import urlencode
 from urllib.request import ProxyHandler, build_opener
@@ -67,6 +69,36 @@ def http_transport(request: Request) -> Response:
         return Response(e.code, e.read().decode(errors="replace"), float(after) if after and after.isdigit() else None)
 
 
+def _file_of(folder: str, request: Request) -> Path:
+    asked = json.dumps([request.url, sorted(request.params), request.body])
+    return Path(folder) / f"{hashlib.sha1(asked.encode()).hexdigest()}.json"
+
+
+def recording(folder: str, transport: Transport = http_transport) -> Transport:
+    """Asks another transport and keeps each answer as a file."""
+
+    def ask(request: Request) -> Response:
+        answer = transport(request)
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        _file_of(folder, request).write_text(json.dumps({"url": request.url, "status": answer.status, "text": answer.text}))
+        return answer
+
+    return ask
+
+
+def recorded(folder: str) -> Transport:
+    """Answers from files that `recording` has kept, which whoever asks must see; what wasn't asked then isn't there."""
+
+    def ask(request: Request) -> Response:
+        own = _file_of(folder, request)
+        if not own.exists():
+            return Response(404, "")
+        kept = json.loads(own.read_text())
+        return Response(kept["status"], kept["text"])
+
+    return ask
+
+
 @dataclass(frozen=True)
 class Client:
     """``replaced`` by `dataclasses.replace`: another address, a proxy, a timeout."""
