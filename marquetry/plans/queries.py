@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.api import Catalog
 from marquetry.functions import scalars as S
 from marquetry.functions import scoring
 from marquetry.operators import blocks, episodes, identity, merge, validate
@@ -541,3 +542,37 @@ def stream_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files; the winners that are held as state, as provenance."""
     rows = winners_of(as_records(file_stream(spark, sf_dir, "documents.parquet"), table(spark, sf_dir, "labels")))
     return rows.select("entity", "field_name", "source", "source_id", F.round("score", 6).alias("score"))
+
+
+def _shared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of one kind that share the ids of `id_rows`."""
+    of = lambda source, letter, i: F.struct(F.lit(source).alias("source"), F.concat(F.lit(letter), F.floor(i).cast("string")).alias("source_id"), F.lit(None).cast("string").alias("url"))
+    ids = F.array(of("anilist", "a", F.col("seq") / 2), F.when(F.col("seq") % 5 != 0, of("jikan", "j", (F.col("seq") + 1) / 2)))
+    rows = records(spark, sf_dir).drop("entity", "source").withColumn("media_kind", F.lit("anime")).withColumn("external_ids", F.array_compact(ids))
+    return rows.withColumn("genres", F.array("format")).withColumn("tags", F.array().cast("array<string>"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str, *until: int) -> Catalog:
+    """A new catalog that takes all records, in batches that end before these parts of a hundred of the ids."""
+    catalog, rows = Catalog(spark, scratch_path(spark, "catalog")), _shared_records(spark, sf_dir)
+    last, low = rows.agg(F.max("seq")).first()[0] + 1, 0
+    for part in (*until, 100):
+        high = last * part // 100
+        catalog.ingest(rows.where((F.col("seq") >= low) & (F.col("seq") < high)), f"seq:{high}")
+        low = high
+    return catalog
+
+
+@query
+def catalog_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches through identity, merge and store: the media there are then."""
+    out = _catalog(spark, sf_dir, 40).media()
+    return out.select("media_id", "title_display", "title_english", F.md5("synopsis").alias("synopsis"), "season_year", "episodes", "provider_rating", "nsfw")
+
+
+@query
+def catalog_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External ids that are left when every third media is deleted with all its children."""
+    catalog = _catalog(spark, sf_dir)
+    catalog.delete(catalog.media().where("media_id % 3 = 0"))
+    return catalog.table("media_external_id").select("media_id", "source", "source_id")

@@ -167,6 +167,16 @@ s AS (SELECT component, 0::BIGINT AS k, MAP {{}}::MAP(VARCHAR, BIGINT) AS owner,
                      coalesce(list_filter(list_transform(k.own, lambda x: s.owner[x]), lambda x: x IS NOT NULL)[1], k.seq) AS media
               FROM s JOIN k ON k.component = s.component AND k.k = s.k + 1)))
 SELECT seq, media_id, status FROM s WHERE k > 0"""
+#: The same replay of records that have a title, and those that were taken as the merge's records, by media.
+_TITLED = "ids AS (SELECT i.* FROM all_ids i JOIN documents d ON d.doc_id = i.seq WHERE d.doc_id % 7 <> 0 AND regexp_matches(substr(d.text, 1, 60), '\\S'))"
+_REPLAYED = SQL["identity_replay"].removeprefix("WITH RECURSIVE ").replace("\nids AS (", "\nall_ids AS (", 1).replace(", p AS (", f", {_TITLED}, p AS (", 1)
+_TAKEN = _REPLAYED.replace(", c AS (", ", comp AS (").replace(" JOIN c ON c.seq", " JOIN comp c ON c.seq").rsplit("SELECT seq, media_id", 1)[0]
+_OF_MEDIA = RECORDS_SQL.replace("\nc AS (", "\nc0 AS (", 1) + ", c AS (SELECT c0.* EXCLUDE (entity), s.media_id AS entity FROM c0 JOIN s ON s.seq = c0.seq WHERE s.media_id IS NOT NULL)"
+_MEDIA_FIELDS = ("title_display", "title_english", "synopsis", "season_year", "episodes", "nsfw")
+SQL["catalog_ingest"] = f"""WITH RECURSIVE {_TAKEN}, {_OF_MEDIA}, e AS (SELECT entity, max(provider_rating) AS provider_rating FROM c GROUP BY entity), {', '.join(map(_winner, _MEDIA_FIELDS))}
+SELECT e.entity AS media_id, e.provider_rating, {', '.join(f"{'md5(w_synopsis.v)' if f == 'synopsis' else f'w_{f}.v'} AS {f}" for f in _MEDIA_FIELDS)}
+FROM e {' '.join(f'LEFT JOIN w_{f} ON w_{f}.entity = e.entity' for f in _MEDIA_FIELDS)}"""
+SQL["catalog_delete"] = f"""WITH RECURSIVE {_TAKEN} SELECT DISTINCT s.media_id, ids.source, ids.source_id FROM ids JOIN s ON s.seq = ids.seq WHERE s.media_id % 3 <> 0"""
 SQL["ambiguous_external_id"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT source, source_id, count(DISTINCT media_id) AS n_media FROM stored GROUP BY source, source_id HAVING count(DISTINCT media_id) > 1"
 SQL["second_source_ids"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT media_id, source, count(DISTINCT source_id) AS n_ids FROM stored GROUP BY media_id, source HAVING count(DISTINCT source_id) > 1"
 SQL["unique_lookup"] = f"WITH {IDS_SQL}, {STORED_SQL} SELECT DISTINCT media_id FROM stored WHERE source = 'anilist' AND source_id = 'a6'"
