@@ -8,9 +8,10 @@ Texts are parsed in stretches of SEGMENT symbols, all stretches of a batch and a
 must begin in the state in which the one before it ended; that is guessed from the last symbols before it, and stretches whose guess
 was wrong are parsed again until none is, so the phrases are those of the whole text, parsed from its first symbol.
 
-Symbols are lower-cased letters; every run of other characters is one blank. The sample has at most ROWS whole rows of a
-language, whatever their length, in order of a hash of the id. Tasks build the automata, one language at a time, and the driver gets
-their tables only. They are sparse, so they take some 50 bytes a symbol of the samples whatever the alphabets. Languages
+Symbols are lower-cased letters; every run of other characters is one blank. The sample has at most ROWS rows of a
+language, in order of a hash of the id, where a row of more than STRETCH characters stands as its stretches of that length, each as likely
+as any other row: so long rows are learned from by their length, and an automaton has ROWS * STRETCH symbols at most. Tasks build the automata,
+one language at a time, and the driver gets their tables only. They are sparse, so they take some 50 bytes a symbol of the samples whatever the alphabets. Languages
 are taken to be a bounded set, as ISO codes are: the model grows with their number.
 
 Defined results: a null text, one without a letter, and any text where nothing was learned is ``und`` with
@@ -34,6 +35,8 @@ from .common import carried, crc_of, small_batches, staged, tidied
 
 UNKNOWN = "und"
 ROWS = 24
+#: Characters of a labelled row that are learned together.
+STRETCH = 20_000
 SEGMENT = 4096
 #: Symbols before a stretch from which its first state is guessed, and rounds of guesses before a text is parsed by itself.
 RUN_IN, ROUNDS = 256, 4
@@ -274,16 +277,20 @@ def bits_by_language(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
     return counts_by_language(model, each) * model.price, letters
 
 
-def sampled(docs: DataFrame, learn: Column, rows: int = ROWS) -> DataFrame:
-    """``lang, key, text``: labelled whole texts, at most ``rows`` of each language. Staged."""
+def sampled(docs: DataFrame, learn: Column, rows: int = ROWS, stretch: int = STRETCH) -> DataFrame:
+    """``lang, key, text``: labelled rows, or stretches of long ones, at most ``rows`` of each language. Staged."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    key = [F.xxhash64("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text")]
-    usable = usable.select("lang", F.struct(*key).alias("key"), "text")
+    parts = F.greatest(F.ceil(F.char_length("text") / stretch), F.lit(1)).cast("int")
+    usable = usable.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    own = F.when(F.col("part") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "part"))
+    key = [own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text"), F.col("part")]
+    usable = usable.select("lang", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("key"), "text")
     order = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
     picked = usable.select("lang", "key", order.alias("n")).where(F.col("n") <= rows).select("lang", "key").distinct()
     # The few that are picked are read again with their texts: the table's size decides whether it is broadcast.
-    found = usable.join(staged(picked, "lang-sample"), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
-    return staged(found, "lang-texts")
+    found = usable.join(staged(picked, "lang-sample"), ["lang", "key"])
+    found = found.select("lang", "key", F.substring("text", F.col("key.k3") * stretch + 1, F.lit(stretch)).alias("text"))
+    return staged(found.groupBy("lang", "key").agg(F.first("text").alias("text")), "lang-texts")
 
 
 def sample_texts(docs: DataFrame, learn: Column, rows: int = ROWS) -> dict[str, list[str]]:
