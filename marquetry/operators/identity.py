@@ -111,12 +111,14 @@ def in_rounds(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found = left.withColumn("media", F.lit(None).cast("long"))
         if owners is not None:  # a doomed record may see an id taken by a later one, which doesn't count for it
             found = left.join(owners.select(*key, "media", "by"), key, "left").withColumn("media", F.when(F.col("by") < F.col("seq"), F.col("media"))).drop("by")
-        media = found.groupBy("seq").agg(F.min("media").alias("own"), (F.min("media") != F.max("media")).alias("several"), F.bool_and(F.col("media").isNotNull()).alias("all_owned"))
+        several = F.min("media") != F.max("media")
+        media = found.groupBy("seq").agg(F.min("media").alias("own"), several.alias("several"), F.bool_and(F.col("media").isNotNull()).alias("all_owned"))
         found = cut(found.join(media.withColumn("several", F.coalesce("several", F.lit(False))), "seq"))
         clash = found.select("seq", F.lit(False).alias("clash")).limit(0)
         if owners is not None:
             held = owners.select(F.col("media").alias("own"), "source", F.col("source_id").alias("held_id"), "by")
-            clash = found.where(~F.col("several")).join(held, ["own", "source"]).where((F.col("held_id") != F.col("source_id")) & (F.col("by") < F.col("seq"))).select("seq", F.lit(True).alias("clash")).distinct()
+            clash = found.where(~F.col("several")).join(held, ["own", "source"]).where((F.col("held_id") != F.col("source_id")) & (F.col("by") < F.col("seq")))
+            clash = clash.select("seq", F.lit(True).alias("clash")).distinct()
         found = cut(found.join(clash, "seq", "left").withColumn("doomed", F.col("double") | F.coalesce("clash", F.lit(False))))
         live = found.where(~F.col("several") & ~F.col("doomed") & ~F.col("all_owned"))
         free = F.col("media").isNull()
@@ -125,10 +127,14 @@ def in_rounds(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         open_ = found.where(~F.col("several") & ~F.col("all_owned")).join(first_of_id, key, "left").join(first_of_media, "own", "left")
         none_before = ~free | F.col("first_of_id").isNull() | (F.col("first_of_id") >= F.col("seq"))
         turn = F.col("own").isNull() | (F.col("first_of_media") == F.col("seq"))
-        ready = open_.groupBy("seq").agg(F.bool_and(none_before).alias("free_of_others"), F.bool_and(turn).alias("turn"), F.first("doomed").alias("doomed"), F.first("own").alias("own"))
+        ready = open_.groupBy("seq").agg(
+            F.bool_and(none_before).alias("free_of_others"), F.bool_and(turn).alias("turn"), F.first("doomed").alias("doomed"), F.first("own").alias("own")
+        )
         ready = ready.where(F.col("free_of_others") & (F.col("doomed") | F.coalesce("turn", F.lit(False))))
-        by_turn = ready.select("seq", F.when(~F.col("doomed"), F.coalesce("own", "seq")).alias("media_id"), F.when(F.col("doomed"), "duplicate_source").when(F.col("own").isNull(), "inserted").otherwise("updated").alias("status"))
-        at_once = found.where(F.col("several") | F.col("all_owned")).select("seq", F.when(~F.col("several"), F.col("own")).alias("media_id"), F.when(F.col("several"), "conflict").otherwise("updated").alias("status")).distinct()
+        status = F.when(F.col("doomed"), "duplicate_source").when(F.col("own").isNull(), "inserted").otherwise("updated").alias("status")
+        by_turn = ready.select("seq", F.when(~F.col("doomed"), F.coalesce("own", "seq")).alias("media_id"), status)
+        status = F.when(F.col("several"), "conflict").otherwise("updated").alias("status")
+        at_once = found.where(F.col("several") | F.col("all_owned")).select("seq", F.when(~F.col("several"), F.col("own")).alias("media_id"), status).distinct()
         now = cut(at_once.unionByName(by_turn))
         decided.append(now)
         taken = found.where(free).join(now.where("media_id IS NOT NULL").select("seq", "media_id"), "seq").select("component", *key, F.col("media_id").alias("media"), F.col("seq").alias("by")).distinct()
@@ -142,7 +148,8 @@ def in_rounds(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     if left.isEmpty():
         return out
     rest = left.select("seq", "component", *key, F.lit(0).alias("pos"), F.lit(None).cast("long").alias("media_id"))
-    known = owners.join(left.select("component").distinct(), "component", "left_semi").select(F.lit(-1).cast("long").alias("seq"), "component", *key, F.lit(0).alias("pos"), F.col("media").alias("media_id"))
+    known = owners.join(left.select("component").distinct(), "component", "left_semi")
+    known = known.select(F.lit(-1).cast("long").alias("seq"), "component", *key, F.lit(0).alias("pos"), F.col("media").alias("media_id"))
     return out.unionByName(rest.unionByName(known).groupBy("component").applyInPandas(_replay, _REPLAYED))
 
 

@@ -206,7 +206,8 @@ class Sync:
                 batch = cut(batch)
                 item = F.col("pos") >= 0
                 of = lambda f, c: f(F.when(item, F.col(c)))
-                own = batch.agg(of(F.min, "page").alias("first"), of(F.max, "page").alias("last"), of(F.max, "pos").alias("pos"), of(F.countDistinct, "page").alias("pages"), F.coalesce(F.bool_or(~item), F.lit(False)).alias("ended")).first()
+                pages_of = [of(F.min, "page").alias("first"), of(F.max, "page").alias("last"), of(F.countDistinct, "page").alias("pages")]
+                own = batch.agg(*pages_of, of(F.max, "pos").alias("pos"), F.coalesce(F.bool_or(~item), F.lit(False)).alias("ended")).first()
                 seen["ended"] = seen.get("ended", False) or own["ended"]
                 named, done = self.catalog.store.pointer().get("batch") or "", f"stream-{checkpoint}-"
                 if own["first"] is None or named.startswith(done) and int(named.removeprefix(done).partition(":")[0]) >= number:
