@@ -51,12 +51,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
         return bytes(8)
     if len(words) < shingle:
         return xxhash.xxh64_digest(b" ".join(words), SEED)
-    hashes = [xxhash.xxh64_digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return majority(b"".join(xxhash.xxh64_digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def majority(hashes: bytes) -> bytes:
+    """The bits that over half of the hashes, of eight bytes each, have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        bits = np.unpackbits(np.frombuffer(b"".join(hashes[at : at + BLOCK]), np.uint8)).reshape(-1, 64)
-        ones += bits.sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    for at in range(0, len(hashes), 8 * BLOCK):
+        ones += np.unpackbits(np.frombuffer(hashes[at : at + 8 * BLOCK], np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(16 * ones > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

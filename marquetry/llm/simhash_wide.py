@@ -1,13 +1,15 @@
-"""Near copies by similarity of shingles: shared prefixes find pairs of texts, their sets of shingles decide.
+"""Near copies by SimHash with an exact check: fingerprints find pairs of texts, their sets of shingles decide.
 
 Two texts are a link if the Jaccard similarity of their distinct shingles of five words, told apart by 64 bits
-of hash, is 0.8 or more. Candidates come from a prefix filter, which misses none: all shingles have one order,
+of hash, is 0.8 or more. Each set has a SimHash fingerprint, and multi-index hashing, as in `simhash`, finds those at two bits or fewer:
+the sets of such texts are compared first. Fingerprints can't tell all pairs of that similarity, so what they leave apart goes on to
+a prefix filter, which misses none: all shingles have one order,
 those that are common in a sample last, the others by hash, and sets of that similarity share a shingle among the
 first fifth of each. How many shingles are left behind a common one bounds the similarity too, and so do sketches of the sets, whose
 bits can't differ in more places than the sets: small ones at first, then such that grow with the set. They drop nearly
 all other pairs before whole sets are compared.
-Within a bucket each text is first held against the one before it and the first one, in a large bucket against some more, which
-connects nearly all copies at little cost; then all pairs of a bucket whose texts are still in different components are held
+Within a bucket each text is then held against the one before it and the first one, in a large bucket against some more, unless
+fingerprints have connected them, which connects nearly all copies at little cost; then all pairs of a bucket whose texts are still in different components are held
 against each other. So the components are those of all pairs of texts, whatever their order.
 
 A bucket with very many rows is cut up by a hash of its members, and the first of each part are then held
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import drop, small_batches, staged, tidied
 from .components import connected_components
 from .linededup import as_bytes
@@ -103,30 +106,32 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
-    """``id`` of the row; 128 bits ``d0, d1`` that only equal sets of shingles share; their number ``n``, ``prefix`` and odd ``sketch``."""
+    """``id`` of the row; 128 bits ``d0, d1`` that only equal sets of shingles share; their number ``n``, SimHash ``fp``, ``prefix`` and odd ``sketch``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, shingle, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, prefixes, sketches = [], [], [], []
+            digests, sizes, fps, prefixes, sketches = [], [], [], [], []
             for t in as_bytes(b.column(1)):
                 hashes = shingle_hashes(t, shingle)
                 digests.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
+                fps.append(simhash.majority(hashes.astype(">u8").tobytes()))
                 sketches.append(odd_sketch(hashes))
                 prefixes.append(prefix_of(hashes, shared.value, similarity).view(np.int64))
             d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            fp = np.frombuffer(b"".join(fps), ">i8").astype(np.int64)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *prefixes]))
             sketch = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH, np.concatenate([np.zeros(0, np.int64), *sketches]))
-            columns = [b.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), prefix, sketch]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *_SET, "n", "prefix", "sketch"])
+            columns = [b.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(fp), prefix, sketch]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *_SET, "n", "fp", "prefix", "sketch"])
 
     out = docs.select(row_id(docs).alias("id"), F.col("text").cast("string").alias("text"))
     kind = out.schema["id"].dataType.simpleString()
-    return out.mapInArrow(tidied(run), f"id {kind}, d0 long, d1 long, n long, prefix array<long>, sketch array<long>")
+    return out.mapInArrow(tidied(run), f"id {kind}, d0 long, d1 long, n long, fp long, prefix array<long>, sketch array<long>")
 
 
 def row_id(docs: DataFrame) -> Column:
@@ -135,6 +140,22 @@ def row_id(docs: DataFrame) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("tie"))
 
 
+def alike(classes: DataFrame) -> DataFrame:
+    """``node, other`` (the lesser): classes whose fingerprints multi-index hashing links, by the first of each fingerprint."""
+    firsts = staged(classes.groupBy("fp").agg(F.min("node").alias("first")), "wide-fingerprints")
+    same = classes.select("node", "fp").join(firsts, "fp").where("node <> first").select("node", F.col("first").alias("other"))
+    side = lambda fp, first: firsts.select(F.col("fp").alias(fp), F.col("first").alias(first))
+    near = simhash.links(firsts.select("fp")).join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return same.unionByName(near.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))).distinct()
+
+
+def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``node, other`` that ``roots`` leaves in different components."""
+    of = lambda node, root: roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    both = pairs.join(of("node", "_a"), "node", "left").join(of("other", "_b"), "other", "left")
+    return both.where(F.coalesce("_a", "node") != F.coalesce("_b", "other")).select("node", "other")
+
+
 def filed(classes: DataFrame) -> DataFrame:
     """``key, node, place, size``: each class under the shingles of its prefix, where another is too, and how many are.
 
@@ -275,22 +296,26 @@ def remaining(buckets: DataFrame, roots: DataFrame, done: DataFrame, classes: Da
 def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, **hot: int) -> DataFrame:
     """``id, stays`` of each row: what tells it apart, and that of the row that stays for its group."""
     each = staged(signatures(docs, shingle, similarity, hot.get("sample", SAMPLE)), "shingle-prefixes")
-    one = each.groupBy(*_SET).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    one = each.groupBy(*_SET).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     one = staged(one.withColumn("node", F.monotonically_increasing_id()), "shingle-sets-once")  # once written, numbers stand
     ids = staged(each.select("id", *_SET), "row-sets")
     drop(each)
     buckets = staged(filed(one), "buckets")
     classes = staged(one.drop("prefix"), "shingle-classes")
     drop(one)
-    pairs = staged(candidates(buckets, similarity, **hot), "candidates")
+    alikes = staged(alike(classes), "simhash-candidates")
+    first = staged(sketched(alikes, classes, similarity), "simhash-near")
+    links = verified(first, docs, classes, shingle, similarity)
+    pairs = staged(still_apart(candidates(buckets, similarity, **hot), connected_components(links)).join(alikes, ["node", "other"], "left_anti"), "candidates")
     near = staged(sketched(pairs, classes, similarity), "near-candidates")
-    links = verified(near, docs, classes, shingle, similarity)
-    others = remaining(buckets, connected_components(links), pairs, classes, similarity, hot.get("small", SMALL))
-    drop(buckets, pairs, near)
+    links = links.unionByName(verified(near, docs, classes, shingle, similarity))
+    done = alikes.unionByName(pairs)
+    others = remaining(buckets, connected_components(links), done, classes, similarity, hot.get("small", SMALL))
+    drop(buckets, alikes, first, pairs, near)
     more = staged(sketched(others, classes, similarity), "other-candidates")
     roots = connected_components(links.unionByName(verified(more, docs, classes, shingle, similarity)))
     rooted = staged(classes.join(roots, "node", "left").select(*_SET, "id", F.coalesce("root", "node").alias("root")), "rooted-classes")
-    drop(classes, others, more, links)
+    drop(classes, others, more)
     least = staged(rooted.groupBy("root").agg(F.min("id").alias("stays")), "group-least")
     members = staged(rooted.join(least, "root").select(*_SET, "stays"), "wide-members")
     return ids.join(members, list(_SET)).select("id", "stays")

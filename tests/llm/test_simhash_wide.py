@@ -104,3 +104,29 @@ def test_large_sketches_promise_no_more_than_sets():
         apart = len(set(a.tolist()) ^ set(b.tolist()))
         got = simhash_wide.differing(simhash_wide.large_sketch(a), simhash_wide.large_sketch(b))
         assert got <= apart and (n < m / 2 or got > apart / 4)
+
+
+def test_fingerprints_find_the_first_pairs(spark, monkeypatch):
+    """Sets at two bits or fewer of SimHash are compared first, and what these connect is not looked for by prefixes."""
+    import numpy as np
+
+    r, rows = random.Random(7), []
+    for i in range(12):
+        words = [f"w{r.randrange(3000)}" for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words + ["end"])), (3 * i + 2, " ".join(words[5:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    each = simhash_wide.signatures(docs).select("id.doc_id", "fp").collect()
+    for x in each:
+        bits = np.unpackbits(simhash_wide.shingle_hashes(dict(rows)[x["doc_id"]].encode()).astype(">u8").view(np.uint8)).reshape(-1, 64)
+        assert x["fp"] & (1 << 64) - 1 == int("".join(map(str, (2 * bits.sum(0) > len(bits)).astype(int))), 2)
+    of = {x["doc_id"]: x["fp"] & (1 << 64) - 1 for x in each}
+    near = {(a, b) for a in of for b in of if b < a and (of[a] ^ of[b]).bit_count() <= 2}
+    classes = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in of.items()], "node long, fp long")
+    firsts = {v: min(k for k in of if of[k] == v) for v in of.values()}
+    got = {(x["node"], x["other"]) for x in simhash_wide.alike(classes).collect()}
+    assert got and got <= near and {(max(p), min(p)) for a, b in near if (p := (firsts[of[a]], firsts[of[b]]))[0] != p[1]} <= got
+    looked: list[set] = []
+    whole = simhash_wide.still_apart
+    monkeypatch.setattr(simhash_wide, "still_apart", lambda pairs, roots: looked.append((pairs.count(), whole(pairs, roots).count())) or whole(pairs, roots))
+    assert found(spark, rows) == exact(rows)
+    assert looked[0][1] < looked[0][0]
