@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from marquetry.store import cut
 # Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("title_display", "aliases", "synopsis")
+#: Rows whose tokens are counted at once; Spark bounds their bytes.
+BATCH = 1000
 
 
 class EmptyQuery(ValueError):
@@ -86,10 +92,45 @@ def score_of(n_terms: int) -> Column:
     return total
 
 
+def runs_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """Of a batch of lists: the row, the place of the token among the distinct ones, and the count of each token of each row; and those tokens."""
+    found = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    many = max(len(found.dictionary), 1)
+    each, tf = np.unique(row * many + found.indices.to_numpy(), return_counts=True)
+    return each // many, each % many, tf, found.dictionary
+
+
+def batched(rows: DataFrame) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return rows
+
+
+def token_counts(rows: DataFrame, key: str = "media_id") -> DataFrame:
+    """``token, key, tf, dl`` of rows with ``_tokens``; rows that share a key count together, and ``dl`` is that of one of them.
+
+    A row's tokens are counted where the row is read, so nothing is shuffled but the tokens of rows that share a key.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, token, tf, tokens_ = runs_of(b.column(1))
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([tokens_.take(pa.array(token)), b.column(0).take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(sizes[row])], ["token", key, "tf", "dl"])
+
+    each = lambda r: batched(r).select(key, "_tokens").mapInArrow(run, f"token string, `{key}` {kind}, tf long, dl int")
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    if again.isEmpty():
+        return each(rows)
+    marked = rows.join(again, rows[key].eqNullSafe(again["_key"]), "left_anti"), rows.join(again, rows[key].eqNullSafe(again["_key"]), "left_semi")
+    together = each(marked[1]).groupBy("token", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return each(marked[0]).unionByName(together)
+
+
 def postings(media: DataFrame, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``token, key, tf, dl``: an index to be stored in order of tokens, where a term's range prunes files."""
-    rows = index_rows(media, key, fields).select(key, "_tokens", F.size("_tokens").alias("dl"))
-    return rows.select(key, "dl", F.explode("_tokens").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return token_counts(index_rows(media, key, fields).select(key, "_tokens"), key)
 
 
 def postings_stats(media: DataFrame, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:

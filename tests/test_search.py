@@ -67,3 +67,17 @@ def test_postings_agree(media):
     a = {r["media_id"]: round(r["score"], 12) for r in S.bm25(media, "dark").collect()}
     b = {r["media_id"]: round(r["score"], 12) for r in S.bm25_from_postings(S.postings(media), S.postings_stats(media), "dark").collect()}
     assert a == b
+
+
+def test_tokens_are_counted_without_a_shuffle(spark, media, tmp_path):
+    """Rows of one key count together, null keys too; with keys of their own no token moves."""
+    plan = S.postings(media)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    rows = spark.createDataFrame([*ROWS, (4, "show", None, "dark DARK night", [], None), (None, "show", None, "a b a", [], ""), (None, "x", None, "b", [], None), (9, "x", None, None, [], "?")], media.schema)
+    want: dict[tuple, int] = {}
+    for r in S.index_rows(rows).select("media_id", "_tokens").collect():
+        for x in r["_tokens"]:
+            want[r["media_id"], x] = want.get((r["media_id"], x), 0) + 1
+    got = S.postings(rows).collect()
+    assert len(got) == len(want) and {(r["media_id"], r["token"]): r["tf"] for r in got} == want
+    assert {r["dl"] for r in got if r["media_id"] == 1} == {13} and {r["dl"] for r in got if r["media_id"] == 4} <= {2, 3}
