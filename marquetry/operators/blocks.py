@@ -9,12 +9,16 @@ many rows a term or prefix occurs in, and how long rows are, is kept as sums of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.operators.search import B, FIELDS, K1, LEAST_IDF, SearchOptions, filtered, index_rows, matches, page, query_terms
+from marquetry.operators.search import B, FIELDS, K1, LEAST_IDF, SearchOptions, batched, filtered, index_rows, matches, page, query_terms, runs_of, token_counts
 
 #: Ids of a block lie in a range of 2^SPAN, and lengths within a fourth root of two.
 SPAN, TIERS = 10, 4
@@ -63,22 +67,63 @@ def tokenised(media: DataFrame, key: str = "media_id", fields: tuple[str, ...] =
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``term, n``: rows that each prefix occurs in, or token of one character."""
-    sizes = lambda t: F.sequence(F.lit(2), F.least(F.char_length(t), F.lit(PREFIX)))
-    short = lambda t: F.when(F.char_length(t) == 1, F.array(t)).otherwise(F.transform(sizes(t), lambda i: F.substr(t, F.lit(1), i)))
-    terms = F.array_distinct(F.flatten(F.transform(F.array_distinct("_tokens"), short)))
-    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """``term, n``: rows that each prefix occurs in, or token of one character; a batch of rows is counted before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, token, _, tokens = runs_of(b.column(0))
+            lengths = pc.utf8_length(tokens).to_numpy(zero_copy_only=False)
+            for size in range(1, PREFIX + 1):
+                has = lengths == 1 if size == 1 else lengths >= size
+                at = has[token] if len(has) else np.zeros(0, bool)
+                if not at.any():
+                    continue
+                terms = pc.utf8_slice_codeunits(tokens, 0, size).dictionary_encode()
+                many = len(terms.dictionary)
+                each = np.unique(row[at] * many + terms.indices.to_numpy()[token[at]]) % many
+                n = np.bincount(each, minlength=many)
+                yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(np.flatnonzero(n))), pa.array(n[n > 0].astype(np.int64))], ["term", "n"])
+
+    each = batched(rows).select("_tokens").mapInArrow(run, "term string, n long")
+    return each.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _in_place(postings: DataFrame) -> DataFrame:
+    """The directory of postings that lie in order of token and block, without a shuffle.
+
+    A block that is read by two tasks, or in two batches, has several rows, of which the greatest counts, as with those of several writes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token, block = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+            at = np.flatnonzero(new)
+            first = b.take(pa.array(at))
+            most = np.maximum.reduceat(b.column(2).to_numpy(), at) if len(at) else np.zeros(0)
+            n = np.diff(np.append(at, b.num_rows)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([first.column(0), first.column(1), pa.array(most), first.column(3), pa.array(n)], ["token", "block", "ratio", "avg", "n"])
+
+    rows = postings.select("token", "block", ratio(F.col("tf"), F.col("dl"), F.col("avg")).alias("ratio"), "avg")
+    return batched(rows).mapInArrow(run, "token string, block long, ratio double, avg double, n long")
 
 
-def build(rows: DataFrame, key: str = "media_id") -> Index:
-    """The index of `tokenised` rows, which are read several times."""
+def build(rows: DataFrame, key: str = "media_id", stored: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """The index of `tokenised` rows, which are read several times.
+
+    ``stored`` may write the postings in order of token and block and read them again: then the directory is made of them as they lie.
+    """
     dl = F.size("_tokens")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).cast("long").alias("tokens"))
-    token = rows.select(key, dl.alias("dl"), F.explode("_tokens").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    postings = token.withColumn("block", block_of(F.col(key), F.col("dl")))
+    postings = token_counts(rows, key).withColumn("block", block_of(F.col(key), F.col("dl")))
+    postings = stored(postings) if stored else postings
     avg = totals.select(F.greatest(F.col("tokens") / F.greatest("n", F.lit(1)), F.lit(1.0))).scalar()
     each = postings.withColumn("avg", avg)
-    directory = each.groupBy("token", "block").agg(F.max(ratio(F.col("tf"), F.col("dl"), F.col("avg"))).alias("ratio"), F.first("avg").alias("avg"), F.count(F.lit(1)).alias("n"))
+    if stored:
+        directory = _in_place(each)
+    else:
+        directory = each.groupBy("token", "block").agg(F.max(ratio(F.col("tf"), F.col("dl"), F.col("avg"))).alias("ratio"), F.first("avg").alias("avg"), F.count(F.lit(1)).alias("n"))
     return Index(postings, rows.select(key, "media_kind", "format", dl.alias("dl")), directory, counted(rows), totals, key)
 
 

@@ -41,9 +41,10 @@ def _index(spark: SparkSession, sf_dir: str) -> blocks.Index:
     """The stored index of a folder's documents; the first query that needs it makes it."""
     own = (spark.sparkContext.applicationId, sf_dir)
     if own not in _INDEXES:
-        index = blocks.build(cut(blocks.tokenised(media(spark, sf_dir), fields=FIELDS)))
-        order = {"postings": ("token", "block"), "directory": ("token",), "terms": ("term",)}
-        _INDEXES[own] = index.map(lambda name, rows: cut(rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]) if name in order else rows))
+        dealt = lambda rows, *order: cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+        index = blocks.build(cut(blocks.tokenised(media(spark, sf_dir), fields=FIELDS)), stored=lambda rows: dealt(rows, "token", "block"))
+        each = {"postings": lambda rows: rows, "directory": lambda rows: cut(rows.sortWithinPartitions("token")), "terms": lambda rows: dealt(rows, "term")}
+        _INDEXES[own] = index.map(lambda name, rows: each.get(name, cut)(rows))
     return _INDEXES[own]
 
 

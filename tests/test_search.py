@@ -81,3 +81,21 @@ def test_tokens_are_counted_without_a_shuffle(spark, media, tmp_path):
     got = S.postings(rows).collect()
     assert len(got) == len(want) and {(r["media_id"], r["token"]): r["tf"] for r in got} == want
     assert {r["dl"] for r in got if r["media_id"] == 1} == {13} and {r["dl"] for r in got if r["media_id"] == 4} <= {2, 3}
+
+
+def test_stored_index_is_made_without_shuffling_its_directory(spark, media):
+    """The directory of postings that lie in order has the greatest ratio of each block, and terms count rows by prefix."""
+    from marquetry.operators import blocks
+    from marquetry.store import cut
+
+    rows = cut(blocks.tokenised(media))
+    plain = blocks.build(rows)
+    index = blocks.build(rows, stored=lambda p: cut(p.repartitionByRange(2, "token", "block").sortWithinPartitions("token", "block")))
+    assert "Exchange" not in index.directory._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    greatest = lambda d: {(r[0], r[1]): (round(r[2], 12), r[3]) for r in d.groupBy("token", "block").agg({"ratio": "max", "n": "sum"}).select("token", "block", "max(ratio)", "sum(n)").collect()}
+    assert greatest(index.directory) == greatest(plain.directory)
+    want: dict[str, int] = {}
+    for r in rows.select("_tokens").collect():
+        for t in {x[:i] for x in r[0] for i in range(2, min(len(x), 12) + 1)} | {x for x in r[0] if len(x) == 1}:
+            want[t] = want.get(t, 0) + 1
+    assert {r["term"]: r["n"] for r in index.terms.collect()} == want
