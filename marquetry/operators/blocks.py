@@ -25,8 +25,8 @@ SPAN, TIERS = 10, 4
 _ROOM = 1 << 44
 #: Terms of up to so many characters are counted by prefix; longer ones are counted when they are asked for.
 PREFIX = 12
-#: Blocks that are read first.
-FIRST = 16
+#: Blocks that are read first; where rows are filtered, so many for each wanted row if that is more.
+FIRST, FIRST_OF = 16, 4
 
 
 @dataclass(frozen=True)
@@ -177,6 +177,12 @@ def _ranked(index: Index, terms: list[str], avg: float, rarity: list[float], blo
     return hits.select(index.key, score.alias("score"))
 
 
+def _passing(index: Index, options: SearchOptions) -> DataFrame:
+    """``block`` of those with a row that passes the filters; a key's rows may be of several lengths, so all of its blocks."""
+    passes = filtered(index.rows.select(index.key, "media_kind", "format"), options).select(index.key).distinct()
+    return index.rows.join(passes, index.key, "left_semi").select(block_of(F.col(index.key), F.col("dl")).alias("block")).distinct()
+
+
 def search(index: Index, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
     """``key, media_kind, score`` of the page of the best rows that have all terms and pass the filters."""
     terms = query_terms(query)
@@ -186,8 +192,10 @@ def search(index: Index, query: str, options: SearchOptions = SearchOptions()) -
     wanted = max(options.offset, 0) + max(options.limit, 1)
     if not all(found):
         return kinds.limit(0).select(index.key, "media_kind", F.lit(0.0).alias("score"))
-    blocks = bounds(index, terms, avg, rarity)
-    first = [r[0] for r in blocks.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+    blocks, n_first = bounds(index, terms, avg, rarity), FIRST
+    if options.media_kind is not None or options.format is not None:
+        blocks, n_first = blocks.join(_passing(index, options), "block", "left_semi"), max(FIRST, FIRST_OF * wanted)
+    first = [r[0] for r in blocks.orderBy(F.desc("bound"), "block").limit(n_first).collect()]
     top = filtered(_ranked(index, terms, avg, rarity, first).join(kinds, index.key), options)
     last = top.orderBy(F.desc("score"), index.key).offset(wanted - 1).limit(1).select("score").first()
     more = blocks.where(~F.col("block").isin(first))

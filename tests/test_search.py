@@ -99,3 +99,17 @@ def test_stored_index_is_made_without_shuffling_its_directory(spark, media):
         for t in {x[:i] for x in r[0] for i in range(2, min(len(x), 12) + 1)} | {x for x in r[0] if len(x) == 1}:
             want[t] = want.get(t, 0) + 1
     assert {r["term"]: r["n"] for r in index.terms.collect()} == want
+
+
+def test_filtered_page_reads_only_blocks_with_passing_rows(spark, monkeypatch):
+    """Rows that pass are few and in blocks of lower bounds: the first blocks must hold enough of them, so that others are left out."""
+    from marquetry.operators import blocks
+
+    rows = [(i * 1024, "a", "rare" if i % 25 == 24 else "often", ["dark"] * (1 + i % 40) + ["x"] * (40 - i % 40)) for i in range(1000)]
+    index = blocks.build(spark.createDataFrame(rows, "media_id long, media_kind string, format string, _tokens array<string>"))
+    read, ranked = [], blocks._ranked
+    monkeypatch.setattr(blocks, "_ranked", lambda i, t, a, r, b: read.append(b if isinstance(b, list) else [x[0] for x in b.select("block").collect()]) or ranked(i, t, a, r, b))
+    got = ids(blocks.search(index, "dark", S.SearchOptions(limit=3, format="RARE")))
+    tf = {r[0]: r[3].count("dark") for r in rows if r[2] == "rare"}
+    assert got == sorted(tf, key=lambda k: (-tf[k], k))[:3]
+    assert sum(map(len, read)) <= len(tf)
