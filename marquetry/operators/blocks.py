@@ -62,8 +62,26 @@ def ratio(tf: Column, dl: Column, avg: Column) -> Column:
 
 
 def tokenised(media: DataFrame, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``key, media_kind, format, _tokens``: what an index is made of, to be written once."""
-    return index_rows(media, key, fields).select(key, "media_kind", "format", "_tokens")
+    """``key, media_kind, format, _tokens, _dl``: what an index is made of, to be written once."""
+    return index_rows(media, key, fields).select(key, "media_kind", "format", "_tokens", F.size("_tokens").alias("_dl"))
+
+
+def dealt(media: DataFrame, key: str = "media_id") -> DataFrame:
+    """Rows in order of ids, with all of a range of 2^SPAN in one task: rows of a block then lie near one another."""
+    return media.repartition(F.shiftright(F.col(key).cast("long"), SPAN)).sortWithinPartitions(key)
+
+
+def _length(rows: DataFrame) -> Column:
+    return F.col("_dl") if "_dl" in rows.columns else F.size("_tokens")
+
+
+def _sorted_runs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """`runs_of` with the tokens in order."""
+    row, token, tf, tokens = runs_of(lists)
+    order = pc.array_sort_indices(tokens)
+    rank = np.empty(len(tokens), np.int64)
+    rank[order.to_numpy()] = np.arange(len(tokens))
+    return row, rank[token], tf, tokens.take(order)
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -71,18 +89,26 @@ def counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, token, _, tokens = runs_of(b.column(0))
+            row, token, _, tokens = _sorted_runs(b.column(0))
+            # In order of rows and tokens equal prefixes are neighbours, so nothing is sorted for each length.
+            each = np.sort(row * max(len(tokens), 1) + token)
+            row, token = each // max(len(tokens), 1), each % max(len(tokens), 1)
             lengths = pc.utf8_length(tokens).to_numpy(zero_copy_only=False)
             for size in range(1, PREFIX + 1):
                 has = lengths == 1 if size == 1 else lengths >= size
-                at = has[token] if len(has) else np.zeros(0, bool)
-                if not at.any():
+                if not has.any():
                     continue
-                terms = pc.utf8_slice_codeunits(tokens, 0, size).dictionary_encode()
-                many = len(terms.dictionary)
-                each = np.unique(row[at] * many + terms.indices.to_numpy()[token[at]]) % many
-                n = np.bincount(each, minlength=many)
-                yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(np.flatnonzero(n))), pa.array(n[n > 0].astype(np.int64))], ["term", "n"])
+                terms = pc.utf8_slice_codeunits(tokens.filter(pa.array(has)), 0, size)
+                first = np.ones(len(terms), bool)
+                first[1:] = pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)
+                place = np.zeros(len(tokens), np.int64)
+                place[has] = np.cumsum(first) - 1
+                at = has[token]
+                own, term = row[at], place[token[at]]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (term[1:] != term[:-1])
+                n = np.bincount(term[new], minlength=int(first.sum()))
+                yield pa.RecordBatch.from_arrays([terms.filter(pa.array(first)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     each = batched(rows).select("_tokens").mapInArrow(run, "term string, n long")
     return each.groupBy("term").agg(F.sum("n").alias("n"))
@@ -109,21 +135,62 @@ def _in_place(postings: DataFrame) -> DataFrame:
     return batched(rows).mapInArrow(run, "token string, block long, ratio double, avg double, n long")
 
 
-def build(rows: DataFrame, key: str = "media_id", stored: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+def _where_read(rows: DataFrame, avg: Column, key: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and directory of `dealt` rows, each made of a batch of them at once, in order of token and block, without a shuffle.
+
+    A block that several batches have has several rows in the directory, of which the greatest counts, as with those of several writes. Writing
+    postings in order is quick, as it has but batches to merge.
+    """
+
+    def in_order(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+        row, token, tf, tokens = _sorted_runs(b.column(0))
+        block = b.column(1).to_numpy()[row]
+        at = np.lexsort((block, token))
+        return row[at], token[at], tf[at], block[at], tokens
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, token, tf, block, tokens = in_order(b)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token)), b.column(2).take(of), pa.array(tf.astype(np.int64)), b.column(3).take(of), pa.array(block)], ["token", key, "tf", "dl", "block"])
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, token, tf, block, tokens = in_order(b)
+            new = np.ones(len(row), bool)
+            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+            at = np.flatnonzero(new)
+            most = np.maximum.reduceat(tf / b.column(2).to_numpy()[row], at) if len(at) else np.zeros(0)
+            n = np.diff(np.append(at, len(row))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token[at])), pa.array(block[at]), pa.array(most), b.column(3).take(pa.array(row[at])), pa.array(n)], ["token", "block", "ratio", "avg", "n"])
+
+    dl = _length(rows)
+    each, kind = batched(rows).select("_tokens", block_of(F.col(key), dl).alias("block"), key, dl.alias("dl")), rows.schema[key].dataType.simpleString()
+    by = (K1 * (1 - B + B * F.col("dl") / F.col("avg"))).alias("by")
+    return (
+        each.mapInArrow(listed, f"token string, `{key}` {kind}, tf long, dl int, block long"),
+        each.withColumn("avg", avg).select("_tokens", "block", by, "avg").mapInArrow(greatest, "token string, block long, ratio double, avg double, n long"),
+    )
+
+
+def build(rows: DataFrame, key: str = "media_id", stored: Callable[[DataFrame], DataFrame] | None = None, near: bool = False) -> Index:
     """The index of `tokenised` rows, which are read several times.
 
     ``stored`` may write the postings in order of token and block and read them again: then the directory is made of them as they lie.
+    ``near`` says that rows have keys of their own and lie as `dealt` puts them: then both are made where they are read.
     """
-    dl = F.size("_tokens")
+    dl = _length(rows)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).cast("long").alias("tokens"))
-    postings = token_counts(rows, key).withColumn("block", block_of(F.col(key), F.col("dl")))
-    postings = stored(postings) if stored else postings
     avg = totals.select(F.greatest(F.col("tokens") / F.greatest("n", F.lit(1)), F.lit(1.0))).scalar()
-    each = postings.withColumn("avg", avg)
-    if stored:
-        directory = _in_place(each)
+    if near:
+        postings, directory = _where_read(rows, avg, key)
     else:
-        directory = each.groupBy("token", "block").agg(F.max(ratio(F.col("tf"), F.col("dl"), F.col("avg"))).alias("ratio"), F.first("avg").alias("avg"), F.count(F.lit(1)).alias("n"))
+        postings = token_counts(rows, key).withColumn("block", block_of(F.col(key), F.col("dl")))
+        postings = stored(postings) if stored else postings
+    if stored and not near:
+        directory = _in_place(postings.withColumn("avg", avg))
+    elif not near:
+        directory = postings.withColumn("avg", avg).groupBy("token", "block").agg(F.max(ratio(F.col("tf"), F.col("dl"), F.col("avg"))).alias("ratio"), F.first("avg").alias("avg"), F.count(F.lit(1)).alias("n"))
     return Index(postings, rows.select(key, "media_kind", "format", dl.alias("dl")), directory, counted(rows), totals, key)
 
 

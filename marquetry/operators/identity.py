@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,53 @@ _REPLAYED = "seq long, media_id long, status string"
 SMALL, ROUNDS = 10_000, 40
 
 
+def _decided(seq: int, ids: list[tuple], owner: dict[tuple, int], sources: dict[int, dict[str, str]]) -> tuple[int, int | None, str]:
+    """What becomes of a component's next record; ``owner`` and ``sources``, which ids are whose and which each media has, take it up."""
+    ids = list(dict.fromkeys(ids))
+    found = [owner[i] for i in ids if i in owner]
+    media = found[0] if found else int(seq)
+    held = dict(sources.get(media, {}))
+    status = "conflict" if len(set(found)) > 1 else "updated" if found else "inserted"
+    if status != "conflict":
+        for _, s, i in ids:
+            if held.setdefault(s, i) != i:
+                status = "duplicate_source"
+    if status not in ("inserted", "updated"):
+        return int(seq), None, status
+    owner.update(dict.fromkeys(ids, media))
+    sources[media] = held
+    return int(seq), media, status
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_replay` of all components of a task, whose rows come in order of component, seq and pos; only one component is held at a time."""
+    owner: dict[tuple, int] = {}
+    sources: dict[int, dict[str, str]] = {}
+    last, ids = None, []
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["seq", "media_id", "status"])
+    for b in batches:
+        out = []
+        for component, seq, *key in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if last != (component, seq):
+                if last is not None:
+                    out.append(_decided(last[1], ids, owner, sources))
+                if last is not None and last[0] != component:
+                    owner, sources = {}, {}
+                last, ids = (component, seq), []
+            ids.append(tuple(key))
+        if out:
+            yield made(out)
+    if last is not None:
+        yield made([_decided(last[1], ids, owner, sources)])
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """Small components one after another within a task: a call for each would cost far more than what it does."""
+    rows = rows.select("component", F.col("seq").cast("long").alias("seq"), "media_kind", "source", "source_id", "pos")
+    dealt = rows.repartition("component").sortWithinPartitions("component", "seq", "pos")
+    return dealt.drop("pos").mapInArrow(_in_turn, _REPLAYED)
+
+
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     """Records of a component one after another; rows with a media but no status of their own say which ids are taken already."""
     owner: dict[tuple, int] = {}
@@ -74,21 +123,7 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
             sources.setdefault(int(media), {})[source] = source_id
         rows = rows[rows["media_id"].isna()]
     for seq, own in rows.sort_values(["seq", "pos"]).groupby("seq", sort=False):
-        ids = list(dict.fromkeys(zip(own.media_kind, own.source, own.source_id, strict=True)))
-        found = [owner[i] for i in ids if i in owner]
-        media = found[0] if found else int(seq)
-        held = dict(sources.get(media, {}))
-        status = "conflict" if len(set(found)) > 1 else "updated" if found else "inserted"
-        if status != "conflict":
-            for _, s, i in ids:
-                if held.setdefault(s, i) != i:
-                    status = "duplicate_source"
-        if status in ("inserted", "updated"):
-            owner.update(dict.fromkeys(ids, media))
-            sources[media] = held
-            out.append((seq, media, status))
-        else:
-            out.append((seq, None, status))
+        out.append(_decided(seq, list(zip(own.media_kind, own.source, own.source_id, strict=True)), owner, sources))
     return pd.DataFrame(out, columns=["seq", "media_id", "status"]).astype({"media_id": "Int64"})
 
 
@@ -178,7 +213,7 @@ def replay(ids: DataFrame, component: DataFrame) -> DataFrame:
 
     A record that bridges two media is a conflict; one that would give a media a second id of a source is
     rejected as well; neither changes what follows. Components can't affect each other. Those that are settled
-    need no replay: their media is that of their least record. Of the others small ones are replayed by a task each, large ones in rounds.
+    need no replay: their media is that of their least record. Of the others small ones are replayed by tasks that have many each, large ones in rounds.
     """
     rows = ids.join(component, "seq").select("seq", "component", "media_kind", "pos", "source", "source_id")
     calm = cut(settled(rows))
@@ -188,8 +223,8 @@ def replay(ids: DataFrame, component: DataFrame) -> DataFrame:
     rest = cut(rows.join(calm, "component", "left_anti"))
     large = cut(large_components(rest.select("seq", "component").distinct(), SMALL).select("component"))
     if large.isEmpty():
-        return quiet.unionByName(rest.groupBy("component").applyInPandas(_replay, _REPLAYED))
-    small = rest.join(large, "component", "left_anti").groupBy("component").applyInPandas(_replay, _REPLAYED)
+        return quiet.unionByName(_replayed(rest))
+    small = _replayed(rest.join(large, "component", "left_anti"))
     return quiet.unionByName(small).unionByName(in_rounds(rest.join(large, "component", "left_semi")))
 
 

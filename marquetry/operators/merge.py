@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,27 +72,29 @@ def score_of(number: Column) -> Column:
 def merge_fields(records: DataFrame, entity: str = "entity", seq: str = "seq", fields: Sequence[str] = FIELDS, values: bool = True, reasons: bool = True) -> DataFrame:
     """One row for each entity: ``media_kind``, ``provider_rating``, and a struct of score, arrival, value and origin for each field.
 
-    ``seq`` is unique within an entity. Scores are worked out once, in the first aggregate, which also gives them back. Winners, one a field at most,
-    are then looked up and gathered as they are, so nothing is sorted; without ``values`` and ``reasons`` no text is read for that.
+    ``seq`` is unique within an entity. Scores are worked out once, in the first aggregate, and go along with the entity's first record. Winners, one a field at most,
+    are looked up and gathered as they are, so nothing is sorted; without ``values`` and ``reasons`` no text is read for that.
     """
     rows = records.withColumn("_origin", origin()).withColumn("_bonus", consistency_of_record())
     parts = {f: scored(f, F.col("_origin.source"), F.col("_bonus")) for f in fields}
     best = rows.groupBy(entity).agg(
         F.min(seq).alias("_first"), F.max("provider_rating").alias("provider_rating"), *[F.max(standing(F.col(f), parts[f].total, F.col(seq))).alias(f"_at_{f}") for f in fields]
     )
-    # Which records won which fields, as bits; the last bit is for the first record, of which the kind is.
-    won = [F.struct(arrival(F.col(f"_at_{f}")).alias(seq), F.lit(1 << i).cast("long").alias("bit")) for i, f in enumerate(fields)]
-    won.append(F.struct(F.col("_first").alias(seq), F.lit(1 << len(fields)).cast("long").alias("bit")))
-    won = best.select(entity, F.explode(F.array(*won)).alias("w")).where(F.col(f"w.{seq}").isNotNull())
-    won = won.groupBy(entity, f"w.{seq}").agg(F.bit_or("w.bit").alias("_won"))
+    # Which records won which fields, as bits; the last bit is for the first record, of which the kind is, and which takes the standings along.
+    standings = F.struct("provider_rating", *[f"_at_{f}" for f in fields]).alias("_best")
+    by = best.select(entity, standings, F.array(*[arrival(F.col(f"_at_{f}")) for f in fields], F.col("_first").cast("long")).alias("_by"))
+    won = by.select(entity, "_best", "_by", F.explode(F.array_distinct(F.array_compact("_by"))).alias(seq))
+    bits = [F.when(F.get("_by", F.lit(i)) == F.col(seq), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(len(fields) + 1)]
+    won = won.select(entity, seq, reduce(Column.bitwiseOR, bits).alias("_won"), F.when(F.col(seq) == F.get("_by", F.lit(len(fields))), F.col("_best")).alias("_best"))
     found = rows.join(won, [entity, seq])
     has = lambda bits, i: bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0
-    own = [F.col("_won").alias("won"), F.col("media_kind").alias("kind"), F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id")]
+    own = [F.col("_won").alias("won"), F.col("_best").alias("best"), F.col("media_kind").alias("kind"), F.col("_origin.source").alias("source"), F.col("_origin.source_id").alias("source_id")]
     own += [F.when(has(F.col("_won"), i), F.col(f)).alias(f"v_{f}") for i, f in enumerate(fields) if values]
     own += [F.when(has(F.col("_won"), i), parts[f].reason).alias(f"r_{f}") for i, f in enumerate(fields) if reasons]
     lists = found.groupBy(entity).agg(F.collect_list(F.struct(*own)).alias("_w"))
     winner = lambda i: F.get(F.filter("_w", lambda x: has(x["won"], i)), F.lit(0))
-    out = [winner(len(fields))["kind"].alias("media_kind"), F.col("provider_rating")]
+    lists = lists.withColumn("_one", winner(len(fields))).select(entity, "_w", F.col("_one.kind").alias("media_kind"), "_one.best.*")
+    out = [F.col("media_kind"), F.col("provider_rating")]
 
     def of_field(f: str) -> Callable[[Column], Column]:
         def one(w: Column) -> Column:
@@ -102,7 +105,7 @@ def merge_fields(records: DataFrame, entity: str = "entity", seq: str = "seq", f
         return one
 
     out += [F.when(F.col(f"_at_{f}").isNotNull(), let(winner(i), of_field(f))).alias(f) for i, f in enumerate(fields)]
-    return best.join(lists, entity).select(entity, *out)
+    return lists.select(entity, *out)
 
 
 def media_rows(merged: DataFrame, entity: str = "entity") -> DataFrame:

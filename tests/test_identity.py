@@ -73,3 +73,20 @@ def test_records_that_meet_nobody(spark):
     rows = [(1, "anime", 0, "imdb", "a"), (2, "manga", 0, "imdb", "a"), (3, "anime", 0, "imdb", "b"), (3, "anime", 1, "imdb", "c"), (4, "anime", 0, "kitsu", "d"), (5, "anime", 0, "kitsu", "d")]
     got = sorted(tuple(r) for r in identity.placed(spark.createDataFrame(rows, SCHEMA)).select("seq", "media_id", "status").collect())
     assert got == [(1, 1, "inserted"), (2, 2, "inserted"), (3, None, "duplicate_source"), (4, 4, "inserted"), (5, 4, "updated")]
+
+
+def test_small_components_share_a_task(spark):
+    """Many components are replayed in one pass of a task, over batches that end within them; none is a call of its own."""
+    rows, per_batch = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(40):
+        rows += [(k * 300 + seq, kind, pos, s, f"{k}-{i}") for seq, kind, pos, s, i in graph(k, 30, 8, 3, unlike=True)]
+    df = cut(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    out = identity.replay(df, cut(identity.components(df)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    try:
+        for n in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted((tuple(r) for r in out.select("seq", "media_id", "status").collect()), key=lambda r: r[0]) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)

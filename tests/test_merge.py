@@ -194,3 +194,9 @@ def test_merge_is_hashed_and_moves_no_text(spark):
     plan = merge.merge_fields(rows)._jdf.queryExecution().sparkPlan().toString()
     first = plan[plan.rindex("HashAggregate(keys=[entity"):]
     assert "SortAggregate" not in first and "partial_max" in first and "reason" not in first
+
+
+def test_merge_scores_records_once(spark):
+    """Records are read twice, to be scored and for what winners have; standings go along with an entity's first record."""
+    plan = merge.merge_fields(media_frame(spark, [media_row(1, "anilist", "19")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2

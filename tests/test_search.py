@@ -113,3 +113,33 @@ def test_filtered_page_reads_only_blocks_with_passing_rows(spark, monkeypatch):
     tf = {r[0]: r[3].count("dark") for r in rows if r[2] == "rare"}
     assert got == sorted(tf, key=lambda k: (-tf[k], k))[:3]
     assert sum(map(len, read)) <= len(tf)
+
+
+def test_index_of_dealt_rows_is_made_where_they_are_read(spark):
+    """Postings and directory of rows that lie by ranges of ids move nothing, and are those of the plain index."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marquetry.operators import blocks
+    from marquetry.store import cut
+
+    rng, words = random.Random(3), ["the", "then", "\u00e9t\u00e9", "\U0001d51e\U0001d51f", "a", "abcdefghijklmnop", "abcdefghijklmxyz"]
+    rows = [(i * 37 - 4000, "a", None, [rng.choice(words) for _ in range(rng.choice((0, 1, 5, 60)))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "media_id long, media_kind string, format string, _tokens array<string>").withColumn("_dl", F.size("_tokens"))
+    lying = cut(blocks.dealt(df))
+    index, plain = blocks.build(lying, near=True), blocks.build(df)
+    for t in (index.postings, index.directory):
+        plan = t._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Exchange" not in plan and "MapInArrow" in plan
+    columns = ["token", "media_id", "tf", "dl", "block"]
+    assert sorted(map(tuple, index.postings.select(columns).collect())) == sorted(map(tuple, plain.postings.select(columns).collect()))
+    greatest = lambda d: {(r[0], r[1]): (round(r[2], 12), r[3]) for r in d.groupBy("token", "block").agg({"ratio": "max", "n": "sum"}).select("token", "block", "max(ratio)", "sum(n)").collect()}
+    assert greatest(index.directory) == greatest(plain.directory)
+    # The 400 rows are of 15 ranges, each in one batch, so no block is named twice.
+    assert index.directory.count() == plain.directory.count()
+    want: dict[str, int] = {}
+    for r in rows:
+        for t in {x[:i] for x in r[3] for i in range(2, min(len(x), 12) + 1)} | {x for x in r[3] if len(x) == 1}:
+            want[t] = want.get(t, 0) + 1
+    assert {r["term"]: r["n"] for r in index.terms.collect()} == want
