@@ -230,14 +230,15 @@ class Catalog:
     def _tokens(media: DataFrame, alias: DataFrame) -> DataFrame:
         names = alias.groupBy("media_id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
         texts = media.select("media_id", "media_kind", "format", *[f for f in text.FIELDS if f != "aliases"])
-        return cut(blocks.tokenised(blocks.dealt(texts.join(names, "media_id", "left"))))
+        return cut(blocks.packed(blocks.worded(blocks.dealt(texts.join(names, "media_id", "left")))))
 
     @staticmethod
     def _index(new: DataFrame, old: DataFrame) -> dict[str, DataFrame]:
         """Rows of the index's tables for media as they are now; sums lose what the old ones had."""
         batch, index = F.lit(uuid.uuid4().hex).alias("batch"), blocks.build(new, near=True)
         minus = lambda rows, names: rows.select(*[(-F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns])
-        totals = index.totals.unionByName(minus(old.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_dl"), F.lit(0)).cast("long").alias("tokens")), ("n", "tokens")))
+        sizes = old.select(F.inline("rows"))
+        totals = index.totals.unionByName(minus(sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens")), ("n", "tokens")))
         terms = index.terms.unionByName(minus(blocks.counted(old), ("n",))).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
         return {
             "search_posting": index.postings,

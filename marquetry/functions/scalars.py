@@ -40,8 +40,9 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.btrim(c, F.lit(SPACES))
+    """Without Unicode white space at both ends. ``btrim`` lists all characters of a text, so one without any at its ends, as most are, goes without it."""
+    at = lambda place: F.lit(SPACES).contains(F.substring(c, place, 1))
+    return F.when(at(1) | at(-1), F.btrim(c, F.lit(SPACES))).otherwise(c)
 
 
 def normalize_for_lookup(c: Column) -> Column:
@@ -193,3 +194,10 @@ def fold_text(text: str) -> str:
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.array_remove(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def word_text(c: Column) -> Column:
+    """A text that `words_of` of `operators.search` cuts into what `tokens` gives: in lower case, and where it has other scripts folded already, with blanks between words."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    words = F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.when(low.rlike(r"[^\x00-\u024f\u2000-\u206f]"), words).otherwise(low)

@@ -18,11 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.operators.search import B, FIELDS, K1, LEAST_IDF, SearchOptions, batched, filtered, index_rows, matches, page, query_terms, runs_of, token_counts
+from marquetry.functions.scalars import word_text
+from marquetry.operators.search import B, FIELDS, K1, LEAST_IDF, SearchOptions, batched, counted_runs, filtered, index_rows, matches, page, query_terms, runs_of, token_counts, words_of
 
 #: Ids of a block lie in a range of 2^SPAN, and lengths within a fourth root of two.
 SPAN, TIERS = 10, 4
 _ROOM = 1 << 44
+#: Bytes of text, or tokens, of the rows that are packed together, if they are several.
+PACKED = 4 << 20
 #: Terms of up to so many characters are counted by prefix; longer ones are counted when they are asked for.
 PREFIX = 12
 #: Blocks that are read first; where rows are filtered, so many for each wanted row if that is more.
@@ -71,49 +74,95 @@ def dealt(media: DataFrame, key: str = "media_id") -> DataFrame:
     return media.repartition(F.shiftright(F.col(key).cast("long"), SPAN)).sortWithinPartitions(key)
 
 
+def worded(media: DataFrame, key: str = "media_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``key, media_kind, format, _text``: texts that `packed` cuts into the tokens that `tokenised` has."""
+    return media.select(key, "media_kind", "format", F.concat_ws(" ", *[word_text(F.array_join(f, " ") if media.schema[f].dataType.typeName() == "array" else F.col(f)) for f in fields]).alias("_text"))
+
+
 def _length(rows: DataFrame) -> Column:
     return F.col("_dl") if "_dl" in rows.columns else F.size("_tokens")
 
 
-def _sorted_runs(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
-    """`runs_of` with the tokens in order."""
-    row, token, tf, tokens = runs_of(lists)
+def _sorted(row: np.ndarray, token: np.ndarray, tf: np.ndarray, tokens: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """What `runs_of` gives, with the tokens in order."""
     order = pc.array_sort_indices(tokens)
     rank = np.empty(len(tokens), np.int64)
     rank[order.to_numpy()] = np.arange(len(tokens))
     return row, rank[token], tf, tokens.take(order)
 
 
+def _prefixes(row: np.ndarray, token: np.ndarray, tokens: pa.StringArray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
+    """Prefixes of each length, and in how many rows each occurs; of runs of tokens that are in order."""
+    # In order of rows and tokens equal prefixes are neighbours, so nothing is sorted for each length.
+    each = np.sort(row * max(len(tokens), 1) + token)
+    row, token = each // max(len(tokens), 1), each % max(len(tokens), 1)
+    lengths = pc.utf8_length(tokens).to_numpy(zero_copy_only=False)
+    for size in range(1, PREFIX + 1):
+        has = lengths == 1 if size == 1 else lengths >= size
+        if not has.any():
+            continue
+        terms = pc.utf8_slice_codeunits(tokens.filter(pa.array(has)), 0, size)
+        first = np.ones(len(terms), bool)
+        first[1:] = pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)
+        place = np.zeros(len(tokens), np.int64)
+        place[has] = np.cumsum(first) - 1
+        at = has[token]
+        own, term = row[at], place[token[at]]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (term[1:] != term[:-1])
+        yield terms.filter(pa.array(first)), np.bincount(term[new], minlength=int(first.sum())).astype(np.int64)
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """``term, n``: rows that each prefix occurs in, or token of one character; a batch of rows is counted before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, token, _, tokens = _sorted_runs(b.column(0))
-            # In order of rows and tokens equal prefixes are neighbours, so nothing is sorted for each length.
-            each = np.sort(row * max(len(tokens), 1) + token)
-            row, token = each // max(len(tokens), 1), each % max(len(tokens), 1)
-            lengths = pc.utf8_length(tokens).to_numpy(zero_copy_only=False)
-            for size in range(1, PREFIX + 1):
-                has = lengths == 1 if size == 1 else lengths >= size
-                if not has.any():
-                    continue
-                terms = pc.utf8_slice_codeunits(tokens.filter(pa.array(has)), 0, size)
-                first = np.ones(len(terms), bool)
-                first[1:] = pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)
-                place = np.zeros(len(tokens), np.int64)
-                place[has] = np.cumsum(first) - 1
-                at = has[token]
-                own, term = row[at], place[token[at]]
-                new = np.ones(len(own), bool)
-                new[1:] = (own[1:] != own[:-1]) | (term[1:] != term[:-1])
-                n = np.bincount(term[new], minlength=int(first.sum()))
-                yield pa.RecordBatch.from_arrays([terms.filter(pa.array(first)), pa.array(n.astype(np.int64))], ["term", "n"])
-
-    each = batched(rows).select("_tokens").mapInArrow(run, "term string, n long")
+            row, token, _, tokens = _sorted(*runs_of(b.column(0)))
+            for terms, n in _prefixes(row, token, tokens):
+                yield pa.RecordBatch.from_arrays([terms, pa.array(n)], ["term", "n"])
+
+    if "terms" in rows.columns:
+        each = rows.select(F.inline(F.arrays_zip("terms", "n"))).toDF("term", "n")
+    else:
+        each = batched(rows).select("_tokens").mapInArrow(run, "term string, n long")
     return each.groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def packed(rows: DataFrame, key: str = "media_id") -> DataFrame:
+    """`worded` or `tokenised` rows as they are counted: a row for each batch of them, to be written once and read for each table of the index.
+
+    ``rows`` has keys, kinds, formats and lengths, ``tokens`` the distinct tokens in order. Of each token in each row ``row`` and ``token``
+    are the places in these, and ``tf`` says how often it occurs. ``terms`` and ``n`` are what `counted` adds up.
+    """
+    kind, text = rows.schema[key].dataType.simpleString(), "_text" if "_text" in rows.columns else "_tokens"
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        if text == "_text":
+            row, found = words_of(b.column(3).to_pylist())
+            sizes = np.bincount(row, minlength=b.num_rows)
+        else:
+            sizes, found = pc.list_value_length(b.column(3)).fill_null(0).to_numpy(zero_copy_only=False), b.column(3).flatten()
+            row = np.repeat(np.arange(b.num_rows), sizes)
+        row, token, tf, tokens = _sorted(*counted_runs(row, found))
+        terms, n = zip(*_prefixes(row, token, tokens)) if len(row) else ((), ())
+        own = pa.StructArray.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes.astype(np.int32))], [key, "media_kind", "format", "dl"])
+        parts = [own, tokens, *[pa.array(x.astype(np.int32)) for x in (row, token, tf)], pa.concat_arrays(terms) if terms else pa.array([], pa.string()), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts], ["rows", "tokens", "row", "token", "tf", "terms", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.binary_length(b.column(3)) if text == "_text" else pc.list_value_length(b.column(3))
+            piece = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PACKED
+            starts = [0, *(np.flatnonzero(np.diff(piece)) + 1), b.num_rows]
+            for low, high in zip(starts, starts[1:]):
+                if low < high:
+                    yield one(b.slice(low, high - low))
+
+    schema = f"rows array<struct<`{key}`: {kind}, media_kind: string, format: string, dl: int>>, tokens array<string>, row array<int>, token array<int>, tf array<int>, terms array<string>, n array<long>"
+    return batched(rows).select(key, "media_kind", "format", text).mapInArrow(run, schema)
+
+
 def _in_place(postings: DataFrame) -> DataFrame:
     """The directory of postings that lie in order of token and block, without a shuffle.
 
@@ -136,40 +185,43 @@ def _in_place(postings: DataFrame) -> DataFrame:
 
 
 def _where_read(rows: DataFrame, avg: Column, key: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and directory of `dealt` rows, each made of a batch of them at once, in order of token and block, without a shuffle.
+    """Postings and directory of `packed` rows, each made of a batch of them at once, in order of token and block, without a shuffle.
 
     A block that several batches have has several rows in the directory, of which the greatest counts, as with those of several writes. Writing
     postings in order is quick, as it has but batches to merge.
     """
 
-    def in_order(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
-        row, token, tf, tokens = _sorted_runs(b.column(0))
-        block = b.column(1).to_numpy()[row]
-        at = np.lexsort((block, token))
-        return row[at], token[at], tf[at], block[at], tokens
+    def in_order(b: pa.RecordBatch) -> Iterator[tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+        for i in range(b.num_rows):
+            of = lambda name: b.column(name)[i].values  # noqa: B023,E731
+            row, token = of("row").to_numpy(), of("token").to_numpy()
+            block = of("block").to_numpy()[row]
+            at = np.lexsort((block, token))
+            yield of("tokens"), row[at], token[at], of("tf").to_numpy()[at], block[at], of("key"), of("dl")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, token, tf, block, tokens = in_order(b)
-            of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token)), b.column(2).take(of), pa.array(tf.astype(np.int64)), b.column(3).take(of), pa.array(block)], ["token", key, "tf", "dl", "block"])
+            for tokens, row, token, tf, block, keys, dl in in_order(b):
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token)), keys.take(of), pa.array(tf.astype(np.int64)), dl.take(of), pa.array(block)], ["token", key, "tf", "dl", "block"])
 
     def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, token, tf, block, tokens = in_order(b)
-            new = np.ones(len(row), bool)
-            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
-            at = np.flatnonzero(new)
-            most = np.maximum.reduceat(tf / b.column(2).to_numpy()[row], at) if len(at) else np.zeros(0)
-            n = np.diff(np.append(at, len(row))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token[at])), pa.array(block[at]), pa.array(most), b.column(3).take(pa.array(row[at])), pa.array(n)], ["token", "block", "ratio", "avg", "n"])
-
-    dl = _length(rows)
-    each, kind = batched(rows).select("_tokens", block_of(F.col(key), dl).alias("block"), key, dl.alias("dl")), rows.schema[key].dataType.simpleString()
-    by = (K1 * (1 - B + B * F.col("dl") / F.col("avg"))).alias("by")
+            avg = b.column("avg")[0].as_py() if b.num_rows else 1.0
+            for tokens, row, token, tf, block, _, dl in in_order(b):
+                new = np.ones(len(row), bool)
+                new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+                at = np.flatnonzero(new)
+                by = K1 * (1 - B + B * dl.to_numpy() / avg)
+                most = np.maximum.reduceat(tf / by[row], at) if len(at) else np.zeros(0)
+                n = np.diff(np.append(at, len(row))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([tokens.take(pa.array(token[at])), pa.array(block[at]), pa.array(most), pa.array(np.full(len(at), avg)), pa.array(n)], ["token", "block", "ratio", "avg", "n"])
+
+    kind = rows.schema["rows"].dataType.elementType[key].dataType.simpleString()
+    each = rows.select("tokens", "row", "token", "tf", F.transform("rows", lambda r: block_of(r[key], r["dl"])).alias("block"), F.col(f"rows.{key}").alias("key"), F.col("rows.dl").alias("dl"))
     return (
         each.mapInArrow(listed, f"token string, `{key}` {kind}, tf long, dl int, block long"),
-        each.withColumn("avg", avg).select("_tokens", "block", by, "avg").mapInArrow(greatest, "token string, block long, ratio double, avg double, n long"),
+        each.withColumn("avg", avg).mapInArrow(greatest, "token string, block long, ratio double, avg double, n long"),
     )
 
 
@@ -177,13 +229,16 @@ def build(rows: DataFrame, key: str = "media_id", stored: Callable[[DataFrame],
     """The index of `tokenised` rows, which are read several times.
 
     ``stored`` may write the postings in order of token and block and read them again: then the directory is made of them as they lie.
-    ``near`` says that rows have keys of their own and lie as `dealt` puts them: then both are made where they are read.
+    ``near`` says that rows have keys of their own and lie as `dealt` puts them: then both are made where they are read. Such rows may be `packed`.
     """
+    if near:
+        lists = rows if "terms" in rows.columns else packed(rows, key)
+        rows = lists.select(F.inline("rows")).withColumnRenamed("dl", "_dl")
     dl = _length(rows)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).cast("long").alias("tokens"))
     avg = totals.select(F.greatest(F.col("tokens") / F.greatest("n", F.lit(1)), F.lit(1.0))).scalar()
     if near:
-        postings, directory = _where_read(rows, avg, key)
+        postings, directory = _where_read(lists, avg, key)
     else:
         postings = token_counts(rows, key).withColumn("block", block_of(F.col(key), F.col("dl")))
         postings = stored(postings) if stored else postings
@@ -191,7 +246,7 @@ def build(rows: DataFrame, key: str = "media_id", stored: Callable[[DataFrame],
         directory = _in_place(postings.withColumn("avg", avg))
     elif not near:
         directory = postings.withColumn("avg", avg).groupBy("token", "block").agg(F.max(ratio(F.col("tf"), F.col("dl"), F.col("avg"))).alias("ratio"), F.first("avg").alias("avg"), F.count(F.lit(1)).alias("n"))
-    return Index(postings, rows.select(key, "media_kind", "format", dl.alias("dl")), directory, counted(rows), totals, key)
+    return Index(postings, rows.select(key, "media_kind", "format", dl.alias("dl")), directory, counted(lists if near else rows), totals, key)
 
 
 def _near(terms: list[str]) -> Column:

@@ -38,25 +38,37 @@ def ambiguous(stored: DataFrame) -> DataFrame:
 def components(ids: DataFrame, seq: str = "seq", max_rounds: int = 50) -> DataFrame:
     """``seq, component``: records that a chain of shared ids connects; the component is the least seq.
 
-    Records and ids form a graph with two sides. In each round a record takes the least label among its ids' and
-    an id the least among its records', and labels then jump to the label of their own; both are plain
-    minima that combine before the shuffle, so a hot id is no burden. Lineage is cut each round.
+    Each record is tied to the least one that has one of its ids, so of ids nothing is left but pairs of numbers. In a round a node points to its
+    least neighbour, pointers jump until all point to an end, and the pairs of ends that are still apart go on: there are ever fewer. All are plain minima that
+    combine before the shuffle, so a hot id is no burden. Lineage is cut each round.
     """
-    links = cut(ids.select(F.col(seq).alias("r"), F.struct("media_kind", "source", "source_id").alias("k")).distinct())
-    labels, made = links.select("r", F.col("r").alias("label")).distinct(), None
+    links = cut(ids.select(F.col(seq).alias("r"), F.struct("source_id", "source", "media_kind").alias("k")))
+    least = links.groupBy("k").agg(F.min("r").alias("m"))
+    pairs, passes = cut(links.join(least, "k").where("r <> m").select("r", "m").distinct()), []
     for _ in range(max_rounds):
-        of_id = links.join(labels, "r").groupBy("k").agg(F.min("label").alias("label"))
-        near = links.join(of_id, "k").groupBy("r").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("r").alias("near"), F.col("label").alias("far"))
-        new = near.join(labels, "r").join(jump, "near", "left").select("r", F.least("near", F.coalesce("far", "near")).alias("label"), F.col("label").alias("was"))
-        last, made = made, cut(new.select("r", "label", (F.col("label") != F.col("was")).alias("moved")))
-        if last is not None:
-            drop_cuts(last)
-        labels = made.select("r", "label")
-        if made.where("moved").isEmpty():
-            drop_cuts(links)
-            return labels.select(F.col("r").alias(seq), F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if pairs.isEmpty():
+            break
+        both = pairs.select(F.col("r").alias("x"), F.col("m").alias("y")).unionByName(pairs.select(F.col("m").alias("x"), F.col("r").alias("y")))
+        near = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")))
+        moved = True
+        while moved:
+            jump = near.select(F.col("x").alias("label"), F.col("label").alias("far"))
+            new = cut(near.select("x", "label").join(jump, "label").select("x", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+            drop_cuts(near)
+            near, moved = new, not new.where("moved").isEmpty()
+        passes.append(near.select("x", "label"))
+        ends = near.select(F.col("x").alias("r"), F.col("label").alias("a")), near.select(F.col("x").alias("m"), F.col("label").alias("b"))
+        left = cut(pairs.join(ends[0], "r").join(ends[1], "m").where("a <> b").select(F.col("a").alias("r"), F.col("b").alias("m")).distinct())
+        drop_cuts(pairs)
+        pairs = left
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    out = links.select("r", F.col("r").alias("label")).distinct()
+    for p in passes:
+        out = out.join(p.select(F.col("x").alias("label"), F.col("label").alias("to")), "label", "left").select("r", F.coalesce("to", "label").alias("label"))
+    out = cut(out)
+    drop_cuts(links)
+    return out.select(F.col("r").alias(seq), F.col("label").alias("component"))
 
 
 _REPLAYED = "seq long, media_id long, status string"

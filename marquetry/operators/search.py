@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquetry.functions.scalars import fold_text, lower_ascii, tokens, upper_ascii
+from marquetry.functions.scalars import fold_text, folding, lower_ascii, tokens, upper_ascii
 from marquetry.store import cut
 
 # Fixed values of the ranking.
@@ -20,6 +22,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("title_display", "aliases", "synopsis")
 #: Rows whose tokens are counted at once; Spark bounds their bytes.
 BATCH = 1000
+#: Of texts in these characters a task tells words and folds letters as `tokens` does; scripts beyond them are left to Spark's expressions.
+_PLAIN = (*range(0x250), *range(0x2000, 0x2070))
 
 
 class EmptyQuery(ValueError):
@@ -94,13 +98,41 @@ def score_of(n_terms: int) -> Column:
 
 def runs_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
     """Of a batch of lists: the row, the place of the token among the distinct ones, and the count of each token of each row; and those tokens."""
-    found = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return counted_runs(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten())
+
+
+def counted_runs(row: np.ndarray, tokens: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """The same of all tokens one after another and the row of each."""
+    found = tokens.dictionary_encode()
     many = max(len(found.dictionary), 1)
     each, tf = np.unique(row * many + found.indices.to_numpy(), return_counts=True)
     return each // many, each % many, tf, found.dictionary
 
 
+@cache
+def _plain() -> dict[int, str | None]:
+    """What plain characters become: a letter or digit its fold, a blank what stands between words."""
+    table, marks = folding()
+    out: dict[int, str | None] = {}
+    for code in _PLAIN:
+        to = table.get(chr(code), chr(code))
+        out[code] = None if to in marks else to if unicodedata.category(to)[0] in "LN" else " "
+    return out
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, pa.StringArray]:
+    """The row of each word of these `word_text`s, and all words one after another."""
+    table = _plain()
+    data = np.frombuffer("".join(t.translate(table) + "\n" for t in texts).encode(), np.uint8)
+    word = data > 0x20
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(stops - starts, out=offsets[1:])
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[word]))
+    return np.searchsorted(np.flatnonzero(data == 0x0A), starts), found
+
+
 def batched(rows: DataFrame) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return rows

@@ -90,3 +90,13 @@ def test_small_components_share_a_task(spark):
             assert sorted((tuple(r) for r in out.select("seq", "media_id", "status").collect()), key=lambda r: r[0]) == plain(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+
+
+def test_components_need_few_rounds(spark):
+    """Pointers jump to their ends within a round, so a chain of any length is one round; ids without a kind meet as others do."""
+    chain = [(seq, "anime", pos, "imdb", str(seq + pos)) for seq in range(300) for pos in (0, 1)]
+    rows = [*chain, (900, None, 0, "imdb", "x"), (901, None, 0, "imdb", "x"), (902, None, 0, "imdb", "y"), (903, "anime", 0, None, None), (904, "anime", 0, None, None)]
+    got = {r["seq"]: r["component"] for r in identity.components(spark.createDataFrame(rows, SCHEMA), max_rounds=2).collect()}
+    assert got == {seq: 0 for seq in range(300)} | {900: 900, 901: 900, 902: 902, 903: 903, 904: 903}
+    with pytest.raises(RuntimeError):
+        identity.components(spark.createDataFrame(rows, SCHEMA), max_rounds=0)

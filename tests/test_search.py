@@ -143,3 +143,34 @@ def test_index_of_dealt_rows_is_made_where_they_are_read(spark):
         for t in {x[:i] for x in r[3] for i in range(2, min(len(x), 12) + 1)} | {x for x in r[3] if len(x) == 1}:
             want[t] = want.get(t, 0) + 1
     assert {r["term"]: r["n"] for r in index.terms.collect()} == want
+
+
+def test_packed_rows_have_the_tokens_of_spark(spark, monkeypatch):
+    """Words that tasks tell are those of Spark's expressions in every script, rows are packed in pieces, and the index of these is the plain one."""
+    from pyspark.sql import functions as F
+
+    from marquetry.functions.scalars import word_text
+    from marquetry.operators import blocks
+    from marquetry.store import cut
+
+    plain = [chr(c) for c in (*range(1, 0x250), *range(0x2000, 0x2070))]
+    texts = [None, "", " - ", "\n\n", "a\nb\tc", "L'Été à Zürich—naïve’s", "İstanbul İx été ǡ", "Οδός 漢字 हिन مَدُ", "\U0001d51e\U0001d51f \U0001f600 x²½ ªº µm straße", "�­ x‍y"]
+    texts += ["".join(plain), " ".join(plain), *["a" + c + "b" + c + "é" for c in plain], *[f"漢{c}z{c}" for c in plain]]
+    rows = [(i * 31 - 900, "a", None, t, [t, None, "Alias É"] if i % 3 else None, t if i % 2 else None) for i, t in enumerate(texts)]
+    media = spark.createDataFrame(rows, "media_id long, media_kind string, format string, title_display string, aliases array<string>, synopsis string")
+    one = media.select("media_id", S.tokens(F.col("title_display")).alias("t"), word_text(F.col("title_display")).alias("w")).orderBy("media_id").collect()
+    row, words = S.words_of([r["w"] for r in one])
+    got: list[list[str]] = [[] for _ in one]
+    for i, w in zip(row, words.to_pylist(), strict=True):
+        got[i].append(w)
+    assert got == [r["t"] for r in one]
+    monkeypatch.setattr(blocks, "PACKED", 500)
+    lists = cut(blocks.packed(blocks.worded(blocks.dealt(media))))
+    assert lists.count() > 16
+    index, want = blocks.build(lists, near=True), blocks.build(cut(blocks.tokenised(media)))
+    for name in ("postings", "rows", "terms", "totals"):
+        a, b = getattr(index, name), getattr(want, name)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), name
+    greatest = lambda d: {(r[0], r[1]): (round(r[2], 12), r[3]) for r in d.groupBy("token", "block").agg({"ratio": "max", "n": "sum"}).select("token", "block", "max(ratio)", "sum(n)").collect()}
+    assert greatest(index.directory) == greatest(want.directory)
+    assert {r["term"]: r["n"] for r in blocks.counted(lists.limit(0)).collect()} == {}
