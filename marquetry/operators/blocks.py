@@ -24,8 +24,8 @@ from marquetry.operators.search import B, FIELDS, K1, LEAST_IDF, SearchOptions,
 #: Ids of a block lie in a range of 2^SPAN, and lengths within a fourth root of two.
 SPAN, TIERS = 10, 4
 _ROOM = 1 << 44
-#: Bytes of text, or tokens, of the rows that are packed together, if they are several.
-PACKED = 4 << 20
+#: Bytes of text of the rows that are packed together, if they are several; a token counts as eight.
+PACKED = 8 << 20
 #: Terms of up to so many characters are counted by prefix; longer ones are counted when they are asked for.
 PREFIX = 12
 #: Blocks that are read first; where rows are filtered, so many for each wanted row if that is more.
@@ -150,14 +150,26 @@ def packed(rows: DataFrame, key: str = "media_id") -> DataFrame:
         parts = [own, tokens, *[pa.array(x.astype(np.int32)) for x in (row, token, tf)], pa.concat_arrays(terms) if terms else pa.array([], pa.string()), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))]
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts], ["rows", "tokens", "row", "token", "tf", "terms", "n"])
 
+    def sizes_of(b: pa.RecordBatch) -> np.ndarray:
+        sizes = pc.binary_length(b.column(3)) if text == "_text" else pc.multiply(pc.list_value_length(b.column(3)), 8)
+        return sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pa.Table.from_batches(held).combine_chunks().to_batches():
+            piece = np.cumsum(sizes_of(b)) // PACKED
+            starts = [0, *(np.flatnonzero(np.diff(piece)) + 1), b.num_rows]
+            yield from (one(b.slice(low, high - low)) for low, high in zip(starts, starts[1:]) if low < high)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            sizes = pc.binary_length(b.column(3)) if text == "_text" else pc.list_value_length(b.column(3))
-            piece = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PACKED
-            starts = [0, *(np.flatnonzero(np.diff(piece)) + 1), b.num_rows]
-            for low, high in zip(starts, starts[1:]):
-                if low < high:
-                    yield one(b.slice(low, high - low))
+            held.append(b)
+            size += int(sizes_of(b).sum())
+            if size >= PACKED:
+                yield from pieces(held)
+                held, size = [], 0
+        if held:
+            yield from pieces(held)
 
     schema = f"rows array<struct<`{key}`: {kind}, media_kind: string, format: string, dl: int>>, tokens array<string>, row array<int>, token array<int>, tf array<int>, terms array<string>, n array<long>"
     return batched(rows).select(key, "media_kind", "format", text).mapInArrow(run, schema)

@@ -117,3 +117,26 @@ def test_pages_read_their_own_parts(spark, tmp_path):
     plan = table.page(100, 10)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and f"= {table.parts[-1][0]})]" in plan  # the last part's files only
     assert paged(rows.limit(0), "k", str(tmp_path / "none")).page(1, 5).count() == 0
+
+
+def test_a_text_is_looked_at_once_for_its_quality(spark):
+    """Bounds name their value several times: the text's length and marks are found before, and scores stay what they were."""
+    from pyspark.sql import functions as F
+
+    from marquetry.functions.scoring import text_completeness, text_quality
+
+    texts = [None, "", " 　", "a", "x" * 300, " " + "é" * 700 + "\n", "a\nb<i>", "<", " b\n" + "c" * 100]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    scores = [text_completeness(F.col("t")).alias("c"), text_quality(F.col("t"), True).alias("q"), text_quality(F.col("t"), False).alias("p")]
+    df = rows.select("i", *scores)
+    assert str(scores[1]).count("char_length(") == 1 and str(scores[1]).count("contains(") == 5 and str(scores[0]).count("char_length(") == 1
+    within = lambda x, low: min(max(x, low), 1.0)
+    for r in df.collect():
+        t = texts[r["i"]]
+        if t is None:
+            assert (r["c"], r["q"], r["p"]) == (None, None, None)
+            continue
+        t = t.strip()
+        marks = (0.10 if "\n" in t else 0.0, 0.15 if "<" in t or ">" in t else 0.0)
+        want = [0.0 if t == "" else within(within(len(t) / by, low) + marks[0] - marks[1], 0.0) for by, low in ((600.0, 0.15), (80.0, 0.20))]
+        assert (r["c"], r["q"], r["p"]) == (within(len(t) / 240.0, 0.05), *want)
